@@ -40,8 +40,14 @@ def _slim(metrics: DataFrame) -> DataFrame:
     return metrics.select("metric_id", "metric_type", "value", "timestamp", "host", "service")
 
 
+def near(col, places: int = 4):
+    """Rounded for comparison. Sums added up in another order differ in their last bits, so decimal
+    ties are first moved off the edge; the SQL twins do the same."""
+    return F.round(col + F.lit(0.0037 * 10**-places), places)
+
+
 def _r(*names: str, places: int = 4):
-    return [F.round(n, places).alias(n) for n in names]
+    return [near(F.col(n), places).alias(n) for n in names]
 
 
 IDS = ("metric_id", "host", "metric_type")
@@ -83,5 +89,511 @@ def flagged_per_series(spark, sf_dir):
     return (
         _checked(spark, sf_dir)
         .groupBy(*params.KEY)
-        .agg(F.count("*").alias("points"), F.sum(flag).alias("flagged"), F.round(F.max("stat_score"), 4).alias("top_score"))
+        .agg(F.count("*").alias("points"), F.sum(flag).alias("flagged"), near(F.max("stat_score")).alias("top_score"))
+    )
+
+
+# ---- inputs derived from the events table ---------------------------------
+
+
+def _events(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def cloudwatch_points(spark, sf_dir):
+    """Events as exported cloud datapoints."""
+    names = {
+        "click": "CPUUtilization", "signup": "FreeableMemory", "view": "ReadLatency",
+        "error": "HTTPCode_Target_5XX_Count", "purchase": "NetworkIn",
+    }
+    spaces = {0: "AWS/EC2", 1: "AWS/RDS", 2: "AWS/ApplicationELB"}
+    return _events(spark, sf_dir).select(
+        fn.lookup(F.col("user_id") % 3, spaces).alias("namespace"),
+        fn.lookup(F.col("event_type"), names).alias("cw_metric"),
+        F.when(F.col("user_id") > 0, F.concat(F.lit("i-"), F.col("user_id").cast("string"))).alias("dimension_value"),
+        F.when(F.col("value") >= 20, F.col("value")).alias("average"),
+        F.when(F.col("value") >= 10, F.col("value") * 1.5).alias("maximum"),
+        "ts",
+    )
+
+
+def counter_rows(spark, sf_dir):
+    """Events as readings of cumulative byte counters."""
+    names = {"click": "disk_read", "signup": "disk_write", "view": "net_in", "error": "net_out", "purchase": "net_drop"}
+    return _events(spark, sf_dir).select(
+        F.concat(F.lit("host-"), (F.col("user_id") % 4).cast("string")).alias("host"),
+        fn.lookup(F.col("event_type"), names).alias("counter"),
+        (F.col("event_id") * 123456789.0).alias("value"),
+        "ts",
+    )
+
+
+def health_rows(spark, sf_dir):
+    """Events as health reports of five services."""
+    return _events(spark, sf_dir).select(
+        F.col("event_type").alias("service_name"),
+        F.when(F.col("value") > 60, "degraded").otherwise("healthy").alias("status"),
+        (F.unix_micros("ts") / 1e6 - 1704067200.0).alias("uptime_seconds"),
+        F.col("ts").alias("last_check"),
+        F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("details"),
+    )
+
+
+SQUEEZE = 60  # time divisor that makes the month of events dense enough for cooldowns
+ORIGIN = 1704067200000000
+
+
+def stat_anomalies(spark, sf_dir, squeeze: int = SQUEEZE):
+    """Rows flagged by the statistical check, as anomalies, on squeezed time."""
+    scored = score_metrics(co.load_metrics(spark, sf_dir))
+    rows = anomalies_of(scored, "stat_flag", "stat_score")
+    at = F.floor((F.unix_micros("timestamp") - ORIGIN) / squeeze) + ORIGIN
+    return rows.withColumn("timestamp", F.timestamp_micros(at.cast("long")))
+
+
+def user_actions(anomalies: DataFrame) -> DataFrame:
+    """Users acknowledge what began as high after 3 minutes and resolve what began as medium after 7."""
+    wait = F.when(F.col("severity") == "high", 3).otherwise(7) * al.MINUTE
+    return anomalies.where(F.col("severity").isin("high", "medium")).select(
+        al.alert_id_of().alias("alert_id"),
+        F.when(F.col("severity") == "high", "acknowledge").otherwise("resolve").alias("action"),
+        F.concat(F.lit("user-"), F.col("host")).alias("user"),
+        F.timestamp_micros(F.unix_micros("timestamp") + wait).alias("ts"),
+    )
+
+
+def lifecycle(spark, sf_dir, actions: bool = False, **options):
+    found = stat_anomalies(spark, sf_dir)
+    return al.process_anomalies(found, user_actions(found) if actions else None, **options)
+
+
+# ---- sources and sinks ------------------------------------------------------
+
+
+@query("s1_metric_from_json")
+def metric_from_json(spark, sf_dir):
+    texts = co.load_metrics(spark, sf_dir).select(rc.metric_to_json().alias("json"))
+    good, _ = rc.metric_from_json(texts)
+    return good.select(*IDS, "service", _text("timestamp").alias("ts"), *_r("value"), F.col("tags")["k"].alias("tag_k"))
+
+
+@query("s1_metric_quarantine")
+def metric_quarantine(spark, sf_dir):
+    """Errors arrive as their bare properties, which is not a metric record."""
+    metrics = co.load_metrics(spark, sf_dir)
+    text = F.when(F.col("metric_type") == "error_rate", F.to_json("tags")).otherwise(rc.metric_to_json())
+    good, bad = rc.metric_from_json(metrics.select(text.alias("json")))
+    return good.groupBy(F.col("metric_type").alias("outcome")).agg(F.count("*").alias("n")).unionByName(
+        bad.groupBy(F.lit("quarantine").alias("outcome")).agg(F.count("*").alias("n"))
+    )
+
+
+@query("s2_anomaly_json")
+def anomaly_json(spark, sf_dir):
+    texts = stat_anomalies(spark, sf_dir).select(rc.anomaly_to_json().alias("json"))
+    good, _ = rc.anomaly_from_json(texts)
+    pair = rc.range_to_list(F.col("expected_range"))
+    return good.select(
+        "anomaly_id", "severity", fn.micros(F.col("timestamp")).alias("at_us"),
+        near(pair[0], 1).alias("lower"), near(pair[1], 1).alias("upper"),
+    )
+
+
+@query("s3_alert_json")
+def alert_json(spark, sf_dir):
+    texts = al.alert_rows(lifecycle(spark, sf_dir)).select(rc.alert_to_json().alias("json"))
+    good, _ = rc.alert_from_json(texts)
+    return good.select(
+        "alert_id", "severity", "status", "title", fn.micros(F.col("timestamp")).alias("at_us"),
+        fn.micros(F.col("resolved_at")).alias("resolved"),
+    )
+
+
+@query("s3_health_json")
+def health_json(spark, sf_dir):
+    text = health_rows(spark, sf_dir).select(rc.health_to_json().alias("json"))
+    return text.select(
+        F.get_json_object("json", "$.service_name").alias("service_name"),
+        F.get_json_object("json", "$.status").alias("status"),
+        F.get_json_object("json", "$.details.user").alias("user"),
+    ).groupBy("service_name", "status", "user").agg(F.count("*").alias("n"))
+
+
+@query("s8_normalize_cloudwatch")
+def normalize_cloudwatch(spark, sf_dir):
+    rows = co.normalize_cloudwatch(cloudwatch_points(spark, sf_dir))
+    return rows.select(
+        "metric_type", "host", "service", _text("timestamp").alias("ts"), *_r("value"),
+        F.col("tags")["cw_metric"].alias("cw_metric"), near(F.col("tags")["max"].cast("double"), 4).alias("max_value"),
+    )
+
+
+@query("s9_downsample")
+def downsample(spark, sf_dir):
+    rows = co.downsample(_slim(co.load_metrics(spark, sf_dir)), period=300, lookback_minutes=None)
+    return rows.select("host", "metric_type", _text("period_start").alias("period_start"), *_r("average", "maximum"))
+
+
+@query("s9_downsample_lookback")
+def downsample_lookback(spark, sf_dir):
+    rows = co.downsample(_slim(co.load_metrics(spark, sf_dir)), period=300, lookback_minutes=600)
+    return rows.select("host", "metric_type", _text("period_start").alias("period_start"), *_r("average", "maximum"))
+
+
+@query("s10_counters_to_rate")
+def counters_to_rate(spark, sf_dir):
+    rows = co.counters_to_rate(counter_rows(spark, sf_dir))
+    return rows.select("host", "counter", _text("ts").alias("ts"), near(F.col("rate_mb"), 3).alias("rate_mb"))
+
+
+# ---- projections, lookups, joins --------------------------------------------
+
+
+@query("p1_series_key")
+def series_key(spark, sf_dir):
+    return co.load_metrics(spark, sf_dir).select("metric_id", fn.series_key().alias("key"))
+
+
+@query("p2_host_to_service")
+def host_to_service(spark, sf_dir):
+    """Hosts named after the rule parts, in turns."""
+    parts = F.array(*[F.lit(x) for x in ("web", "api", "db", "cache", "worker", "edge", "api-db", "cache-web")])
+    host = F.concat(F.get(parts, (F.col("user_id") % 8).cast("int")), F.lit("-"), F.col("user_id").cast("string"))
+    return _events(spark, sf_dir).select("event_id", host.alias("host"), fn.host_to_service(host).alias("service"))
+
+
+@query("p3_clamp_value")
+def clamp_value(spark, sf_dir):
+    wide = (F.col("value") - 40) * 3
+    return co.load_metrics(spark, sf_dir).select(*IDS, near(fn.clamp_value(F.col("metric_type"), wide), 3).alias("value"))
+
+
+@query("p4_metric_history")
+def metric_history(spark, sf_dir):
+    metrics = co.load_metrics(spark, sf_dir)
+    rows = store.metric_history(metrics, "host-1", "cpu_usage", minutes=60 * 24 * 7, now="2024-01-31 00:00:00")
+    return rows.select("metric_id", _text("timestamp").alias("ts"), *_r("value"))
+
+
+@query("p5_training_history")
+def training_history(spark, sf_dir):
+    rows = store.training_history(co.load_metrics(spark, sf_dir), hours=24 * 15, now="2024-01-31 00:00:00")
+    return rows.groupBy(*params.KEY).agg(F.count("*").alias("n"), near(F.sum("value"), 2).alias("total"))
+
+
+@query("p6_clean_matrix")
+def clean_matrix(spark, sf_dir):
+    """Values with the NaN and infinities a division leaves."""
+    v = F.col("value")
+    odd = F.when(v < 1, float("nan")).when(v < 2, float("inf")).when(v < 3, float("-inf")).otherwise(v)
+    return co.load_metrics(spark, sf_dir).select(
+        "metric_id", near(fn.clean_number(odd), 3).alias("forest_value"),
+        near(fn.clean_number(F.when(v < 1, float("nan")).otherwise(v), None), 3).alias("sequence_value"),
+    )
+
+
+@query("p7_threshold_lookup")
+def threshold_lookup(spark, sf_dir):
+    kind = F.col("metric_type")
+    return co.load_metrics(spark, sf_dir).select("metric_id", *[fn.threshold(kind, s).alias(s) for s in params.SEVERITIES])
+
+
+@query("j2_align_metrics_by_index")
+def align_metrics(spark, sf_dir):
+    metrics = _slim(co.load_metrics(spark, sf_dir))
+    lengths = metrics.groupBy(*params.KEY).agg(F.count("*").alias("n"))
+    sf = ft.training_features(arrange(metrics, frame=31))
+    rows = ft.align_by_index(sf.rows(keep_position=True), lengths)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("host", "i", F.size("features").alias("width"), near(F.get("features", F.lit(0)), 3).alias("first_value"), near(total, 2).alias("total"))
+
+
+@query("j4_anomalies_with_alerts")
+def anomalies_with_alerts(spark, sf_dir):
+    found = stat_anomalies(spark, sf_dir)
+    created = al.alert_rows(al.process_anomalies(found)).where(F.col("action") == "created")
+    rows = al.alerts_of_anomalies(found, created)
+    return rows.select("alert_id", "anomaly_id", "severity", "anomaly_severity", *_r("value", "anomaly_score"))
+
+
+@query("j5_union_sources")
+def union_sources(spark, sf_dir):
+    a = co.load_metrics(spark, sf_dir)
+    b = co.normalize_cloudwatch(cloudwatch_points(spark, sf_dir)).drop("tags")
+    both = co.union_sources(a, b)
+    return both.groupBy("service", "metric_type").agg(
+        F.count("*").alias("n"), F.count("tags").alias("tagged"), near(F.sum("value"), 2).alias("total")
+    )
+
+
+# ---- windows ------------------------------------------------------------------
+
+
+@query("w3_w11_extract_features")
+def extract_features(spark, sf_dir):
+    sf = ft.extract_features(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30))
+    return sf.rows().select(*IDS, *_r(*params.FEATURES, places=3))
+
+
+@query("w12_training_features")
+def training_features(spark, sf_dir):
+    sf = ft.training_features(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=31))
+    return sf.rows().select(*IDS, *_r(*params.FEATURES, places=3))
+
+
+@query("w13_rolling_bands")
+def rolling_bands(spark, sf_dir):
+    sf = ft.rolling_bands(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=10))
+    return sf.rows().select(*IDS, *_r("rolling_mean", "upper_band", "lower_band"), "outside")
+
+
+@query("w14_sequences")
+def sequences(spark, sf_dir):
+    sf = ft.sequences(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30))
+    rows = sf.rows().where(F.col("sequence").isNotNull())
+    total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        *IDS, F.size("sequence").alias("length"), near(F.get("sequence", F.lit(0)), 3).alias("first_value"), near(total, 3).alias("total")
+    )
+
+
+@query("w15_expected_range")
+def expected_range(spark, sf_dir):
+    sf = st.running_stats(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=1))
+    r = st.expected_range(sf.rows())
+    return r.select(*IDS, near(F.col("expected_range.lower"), 1).alias("lower"), near(F.col("expected_range.upper"), 1).alias("upper"))
+
+
+@query("w16_retention_trim")
+def retention_trim(spark, sf_dir):
+    rows = store.retention_trim(co.load_metrics(spark, sf_dir), hours=1, interval=36)
+    return rows.select(*IDS, *_r("value"))
+
+
+@query("w17_buffer_cap")
+def buffer_cap(spark, sf_dir):
+    return store.buffer_cap(co.load_metrics(spark, sf_dir), 200).select(*IDS, *_r("value"))
+
+
+# ---- severity, description, lifecycle --------------------------------------------
+
+
+@query("d8_determine_severity")
+def determine_severity(spark, sf_dir):
+    score = F.col("value") / 100
+    return co.load_metrics(spark, sf_dir).select(
+        *IDS, fn.determine_severity(F.col("metric_type"), F.col("value"), score).alias("severity")
+    )
+
+
+@query("d9_describe_anomaly")
+def describe_anomaly(spark, sf_dir):
+    return stat_anomalies(spark, sf_dir).select("anomaly_id", "host", "metric_type", "severity", "description")
+
+
+LOG = ("host", "metric_type", "action", "trigger_id", "anomaly_count", "alert_id", "severity", "status", "acknowledged_by")
+
+
+def _log(log):
+    return log.select(*LOG, fn.micros(F.col("event_time")).alias("at_us"))
+
+
+@query("l1_process_anomaly")
+def process_anomaly(spark, sf_dir):
+    return _log(lifecycle(spark, sf_dir))
+
+
+@query("l6_l7_actions")
+def lifecycle_with_actions(spark, sf_dir):
+    return _log(lifecycle(spark, sf_dir, actions=True))
+
+
+@query("l8_auto_resolve")
+def auto_resolve(spark, sf_dir):
+    log = lifecycle(spark, sf_dir, as_of="2024-01-01 11:30:00")
+    return _log(log.where(F.col("action") == "auto_resolved"))
+
+
+@query("l2_cooldown")
+def cooldown(spark, sf_dir):
+    """When each alert's cooldown ends."""
+    rows = al.alert_rows(lifecycle(spark, sf_dir)).where(F.col("action") == "created")
+    end = fn.micros(F.col("timestamp")) + fn.cooldown_minutes(F.col("severity")) * al.MINUTE
+    return rows.select("alert_id", "severity", end.alias("cool_until"))
+
+
+@query("l5_next_severity")
+def next_severity(spark, sf_dir):
+    found = stat_anomalies(spark, sf_dir)
+    s = F.col("severity")
+    return found.select(
+        "anomaly_id", "severity", fn.next_severity(s).alias("raised"), fn.severity_rank(s).cast("long").alias("rank"),
+        fn.next_severity(F.concat(s, F.lit("?"))).alias("unknown_stays"),
+    )
+
+
+@query("l9_active_alerts")
+def active_alerts(spark, sf_dir):
+    rows = al.active_alerts(lifecycle(spark, sf_dir, actions=True))
+    return rows.select("host", "metric_type", "alert_id", "severity", "status", "acknowledged_by")
+
+
+@query("l10_alert_title")
+def alert_title(spark, sf_dir):
+    rows = al.alert_rows(lifecycle(spark, sf_dir))
+    return rows.select("alert_id", "action", "title", "description", fn.micros(F.col("event_time")).alias("at_us"))
+
+
+@query("l11_route_notifications")
+def notifications(spark, sf_dir):
+    rows = al.alert_rows(lifecycle(spark, sf_dir)).where(F.col("action").isin("created", "escalated"))
+    out = route_notifications(rows)
+    return out.select("alert_id", "severity", "host", "channel", "subject", F.when(F.col("channel") != "sns", F.col("payload")).alias("payload"))
+
+
+# ---- aggregates and reports --------------------------------------------------------
+
+
+@query("a1_series_catalog")
+def series_catalog(spark, sf_dir):
+    return rp.series_catalog(co.load_metrics(spark, sf_dir))
+
+
+@query("a2_severity_counts")
+def severity_counts(spark, sf_dir):
+    return rp.severity_counts(stat_anomalies(spark, sf_dir), 20)
+
+
+@query("a3_alert_status_counts")
+def alert_status_counts(spark, sf_dir):
+    return rp.alert_status_counts(al.alert_rows(lifecycle(spark, sf_dir)), 20)
+
+
+@query("a4_pipeline_stats")
+def pipeline_stats(spark, sf_dir):
+    found = stat_anomalies(spark, sf_dir)
+    alerts = al.alert_rows(al.process_anomalies(found)).where(F.col("action").isin("created", "escalated"))
+    return rp.pipeline_stats(co.load_metrics(spark, sf_dir), found, alerts)
+
+
+@query("a5_detector_stats")
+def detector_stats(spark, sf_dir):
+    return rp.detector_stats(score_metrics(co.load_metrics(spark, sf_dir)).withColumn("is_anomaly", F.col("stat_flag")))
+
+
+@query("a5_buffer_sizes")
+def buffer_sizes(spark, sf_dir):
+    return rp.buffer_sizes(co.load_metrics(spark, sf_dir))
+
+
+@query("a6_alert_stats")
+def alert_stats(spark, sf_dir):
+    return rp.alert_stats(lifecycle(spark, sf_dir, actions=True))
+
+
+@query("a6_active_alert_details")
+def active_alert_details(spark, sf_dir):
+    return rp.active_alert_details(lifecycle(spark, sf_dir, actions=True))
+
+
+@query("a10_standard_scale")
+def standard_scale(spark, sf_dir):
+    metrics = co.load_metrics(spark, sf_dir).withColumn("one", F.lit(1.0))
+    return fo.standard_scale(metrics, ["value", "one"]).select(*IDS, *_r("value", "one"))
+
+
+@query("a11_detection_quality")
+def detection_quality(spark, sf_dir):
+    """Truth: the tag of the event is in its top tenth."""
+    truth = co.load_metrics(spark, sf_dir).select("metric_id", (F.col("tags")["k"].cast("int") >= 90).alias("label"))
+    return rp.detection_quality(_checked(spark, sf_dir).join(truth, "metric_id"), flag="stat_flag")
+
+
+NOW = "2024-01-31 00:00:00"
+
+
+@query("a12_health_latest")
+def health_latest(spark, sf_dir):
+    rows = rp.health_latest(health_rows(spark, sf_dir), NOW, ttl=1800)
+    return rows.select("service_name", "status", fn.micros(F.col("last_check")).alias("at_us"), fn.format_uptime(F.col("uptime_seconds")).alias("uptime"))
+
+
+@query("a13_dashboard_summary")
+def dashboard_summary(spark, sf_dir):
+    """The countable parts of the summary in one long table."""
+    found = stat_anomalies(spark, sf_dir)
+    alerts = al.alert_rows(al.process_anomalies(found)).where(F.col("action").isin("created", "escalated"))
+    parts = rp.dashboard_summary(co.load_metrics(spark, sf_dir), found, alerts, health_rows(spark, sf_dir), NOW)
+    named = [
+        parts["stats"].select(F.lit("stats").alias("part"), "name", "value"),
+        parts["severity_counts"].select(F.lit("severity").alias("part"), F.col("severity").alias("name"), F.col("n").alias("value")),
+        parts["alert_status_counts"].select(F.lit("status").alias("part"), F.col("status").alias("name"), F.col("n").alias("value")),
+        parts["recent_anomalies"].select(F.lit("anomaly").alias("part"), F.col("anomaly_id").alias("name"), fn.micros(F.col("timestamp")).alias("value")),
+        parts["recent_alerts"].select(F.lit("alert").alias("part"), F.col("alert_id").alias("name"), fn.micros(F.col("event_time")).alias("value")),
+        parts["services"].select(F.lit("service").alias("part"), F.col("service_name").alias("name"), fn.micros(F.col("last_check")).alias("value")),
+    ]
+    return co.union_sources(*named)
+
+
+@query("a14_system_health")
+def system_health(spark, sf_dir):
+    return rp.system_health(health_rows(spark, sf_dir), NOW, ttl=1800)
+
+
+@query("t1_recent_metrics")
+def recent_metrics(spark, sf_dir):
+    return rp.recent_metrics(co.load_metrics(spark, sf_dir), 200).select(*IDS, *_r("value"))
+
+
+@query("t2_recent_anomalies")
+def recent_anomalies(spark, sf_dir):
+    return rp.recent_anomalies(stat_anomalies(spark, sf_dir), 50).select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"))
+
+
+@query("t3_recent_alerts")
+def recent_alerts(spark, sf_dir):
+    rows = al.alert_rows(lifecycle(spark, sf_dir)).where(F.col("action").isin("created", "escalated"))
+    return rp.recent_alerts(rows, 50).select("alert_id", "severity", "action", "title")
+
+
+@query("t3_latest_per_alert")
+def latest_per_alert(spark, sf_dir):
+    rows = al.latest_per_alert(al.alert_rows(lifecycle(spark, sf_dir)))
+    return rows.select("alert_id", "severity", "action", "status")
+
+
+@query("t4_cap_history")
+def cap_history(spark, sf_dir):
+    metrics = co.load_metrics(spark, sf_dir)
+    return store.cap_history(metrics, 777, tie="metric_id").select(*IDS, *_r("value"))
+
+
+@query("t5_host_selector")
+def host_selector(spark, sf_dir):
+    return rp.host_selector(co.load_metrics(spark, sf_dir))
+
+
+@query("t5_metric_selector")
+def metric_selector(spark, sf_dir):
+    return rp.metric_selector(co.load_metrics(spark, sf_dir), "host-2")
+
+
+@query("t6_anomaly_timeline")
+def anomaly_timeline(spark, sf_dir):
+    rows = rp.anomaly_timeline(stat_anomalies(spark, sf_dir))
+    return rows.select("host", "metric_type", fn.micros(F.col("timestamp")).alias("at_us"), *_r("score_pct", "marker_size", places=3), "color", "over_line")
+
+
+@query("scalar_text")
+def scalar_text(spark, sf_dir):
+    """Labels, uptime texts and ages."""
+    ts = F.col("ts")
+    since = fn.minutes_between(F.lit(NOW).cast("timestamp"), ts)
+    return _events(spark, sf_dir).select(
+        "event_id",
+        fn.label(fn.lookup(F.col("event_type"), co.EVENT_METRICS)).alias("label"),
+        fn.format_uptime(F.col("value") * 60).alias("uptime"),
+        near(since, 3).alias("age_minutes"),
+        fn.iso_time(F.date_trunc("second", ts)).alias("iso"),
     )

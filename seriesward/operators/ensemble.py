@@ -1,5 +1,7 @@
 """The ensemble: votes, severity, description, and the composed detection query."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,19 @@ def describe_anomaly(df: DataFrame) -> DataFrame:
             F.when(F.col("sequence_flag"), "lstm"),
         )
     )
+    def shown(name, places):
+        # Without the last bits, so that the text does not depend on the order of a sum.
+        return decimals(F.round(name, 6), places)
+
     text = F.concat(
         F.upper("severity"), F.lit(" anomaly detected on "), F.col("host"),
         F.lit(" for "), F.col("metric_type"),
         F.lit(". Current value: "), decimals(F.col("value"), 2),
-        F.lit(", Expected: "), decimals(F.col("mean"), 2), F.lit(" ± "), decimals(F.col("std"), 2),
+        F.lit(", Expected: "), shown("mean", 2), F.lit(" ± "), shown("std", 2),
         F.lit(". Detected by: "), F.concat_ws(", ", fired),
-        F.lit(". Scores: statistical="), decimals(F.col("stat_score"), 3),
-        F.lit(", isolation_forest="), decimals(F.col("forest_score"), 3),
-        F.lit(", lstm="), decimals(F.col("sequence_score"), 3), F.lit("."),
+        F.lit(". Scores: statistical="), shown("stat_score", 3),
+        F.lit(", isolation_forest="), shown("forest_score", 3),
+        F.lit(", lstm="), shown("sequence_score", 3), F.lit("."),
     )
     return df.withColumn("description", text)
 
@@ -58,26 +64,32 @@ def score_metrics(
     limit: int | None = None,
 ) -> DataFrame:
     """Every metric row with statistics, the three checks and the vote."""
-    sf = arrange(metrics.select("metric_id", "metric_type", "value", "timestamp", "host", "service"), limit=limit)
-    enough = F.col("_pos") >= params.MIN_POINTS
-    sf = running_stats(sf)
+    sf = running_stats(arrange(metrics.select(*METRIC_COLUMNS), limit=limit))
     if forest is not None or sequence is not None:
-        wide = rolling(sf).df
-        if forest is not None:
-            wide = wide.select("*", *[F.when(enough, c).alias("f_" + n) for n, c in feature_columns().items()])
-        wide = wide.withColumn("sequence", F.when(enough, F.col("_recent")))
-        sf = sf.with_df(drop_rolling(wide))
-    df = recent_quartiles(sf).rows()
-    if "sequence" not in df.columns:
-        df = df.withColumn("sequence", F.lit(None).cast("array<double>"))
-    df = statistical_check(df, iqr_warmup)
+        sf = with_vectors(sf.with_df(rolling(sf).df), forest, sequence)
+    return score_rows(recent_quartiles(sf).rows(), forest, sequence, iqr_warmup)
+
+
+METRIC_COLUMNS = ("metric_id", "metric_type", "value", "timestamp", "host", "service")
+
+
+def with_vectors(sf, forest, sequence):
+    """Replace the rolling columns by the inputs of the models that are present."""
+    enough = F.col("_pos") >= params.MIN_POINTS
+    df = sf.df
     if forest is not None:
-        renamed = ForestModel(**{**forest.__dict__, "features": tuple("f_" + n for n in forest.features)})
-        df = isolation_forest_predict(df, renamed).drop(*["f_" + n for n in params.FEATURES])
-    else:
-        df = isolation_forest_predict(df, None)
-    df = sequence_predict(isolation_forest_score(df), sequence).drop("sequence")
-    return ensemble_vote(df)
+        df = df.select("*", *[F.when(enough, c).alias("f_" + n) for n, c in feature_columns().items()])
+    if sequence is not None:
+        df = df.withColumn("sequence", F.when(enough, F.col("_recent")))
+    return sf.with_df(drop_rolling(df))
+
+
+def score_rows(df: DataFrame, forest=None, sequence=None, iqr_warmup: str = "zero") -> DataFrame:
+    """The checks and the vote on rows that carry running statistics, quartiles and model inputs."""
+    df = statistical_check(df, iqr_warmup)
+    vector = forest and replace(forest, features=tuple("f_" + n for n in forest.features))
+    df = isolation_forest_score(isolation_forest_predict(df, vector)).drop(*["f_" + n for n in params.FEATURES])
+    return ensemble_vote(sequence_predict(df, sequence).drop("sequence"))
 
 
 def anomalies_of(scored: DataFrame, flag: str = "is_anomaly", score: str = "ensemble_score") -> DataFrame:
