@@ -66,22 +66,21 @@ def score_metrics(
     """Every metric row with statistics, the three checks and the vote."""
     sf = running_stats(arrange(metrics.select(*METRIC_COLUMNS), limit=limit))
     if forest is not None or sequence is not None:
-        sf = with_vectors(sf.with_df(rolling(sf).df), forest, sequence)
+        sf = sf.with_df(with_vectors(rolling(sf).df, forest, sequence))
     return score_rows(recent_quartiles(sf).rows(), forest, sequence, iqr_warmup)
 
 
 METRIC_COLUMNS = ("metric_id", "metric_type", "value", "timestamp", "host", "service")
 
 
-def with_vectors(sf, forest, sequence):
+def with_vectors(df: DataFrame, forest, sequence) -> DataFrame:
     """Replace the rolling columns by the inputs of the models that are present."""
     enough = F.col("_pos") >= params.MIN_POINTS
-    df = sf.df
     if forest is not None:
         df = df.select("*", *[F.when(enough, c).alias("f_" + n) for n, c in feature_columns().items()])
     if sequence is not None:
         df = df.withColumn("sequence", F.when(enough, F.col("_recent")))
-    return sf.with_df(drop_rolling(df))
+    return drop_rolling(df)
 
 
 def score_rows(df: DataFrame, forest=None, sequence=None, iqr_warmup: str = "zero") -> DataFrame:
@@ -89,7 +88,7 @@ def score_rows(df: DataFrame, forest=None, sequence=None, iqr_warmup: str = "zer
     df = statistical_check(df, iqr_warmup)
     vector = forest and replace(forest, features=tuple("f_" + n for n in forest.features))
     df = isolation_forest_score(isolation_forest_predict(df, vector)).drop(*["f_" + n for n in params.FEATURES])
-    return ensemble_vote(sequence_predict(df, sequence).drop("sequence"))
+    return ensemble_vote(sequence_predict(df, sequence).drop("sequence", "_pos"))
 
 
 def anomalies_of(scored: DataFrame, flag: str = "is_anomaly", score: str = "ensemble_score") -> DataFrame:
