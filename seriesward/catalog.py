@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +15,19 @@ from .operators import features as ft
 from .operators import forest as fo
 from .operators import sequence as sq
 from .operators import stats as st
-from .operators.ensemble import anomalies_of, detect_batch, score_metrics
+from .operators.ensemble import anomalies_of, detect_batch, ensemble_vote, score_metrics
 from .operators.notify import route_notifications
+from .operators.percentile import exact_percentile
 from .operators.series import arrange
 from .plans import reports as rp
 from .plans import training as tr
+from .session import checkpoint_dir
 from .sources import collect as co
 from .sources import records as rc
 from .sources import store
+from .streaming.alerts import alert_stream
+from .streaming.detect import dedup_metrics, detect_stream
+from .streaming.reports import downsample_stream, health_stream, run_to_end
 
 QUERIES: dict = {}
 
@@ -597,3 +605,243 @@ def scalar_text(spark, sf_dir):
         near(since, 3).alias("age_minutes"),
         fn.iso_time(F.date_trunc("second", ts)).alias("iso"),
     )
+
+
+# ---- tables written and read back ---------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    """A new folder for the tables of one call, next to the checkpoints."""
+    return f"{checkpoint_dir(spark)}/seriesward/{uuid.uuid4().hex}"
+
+
+@query("s4_publish_metric")
+def publish_metric(spark, sf_dir):
+    path = _scratch(spark)
+    store.publish_metric(co.load_metrics(spark, sf_dir), path)
+    rows = store.read_metrics(spark, path)
+    return rows.groupBy("host", "metric_type", F.col("day").cast("string").alias("day")).agg(
+        F.count("*").alias("n"), near(F.sum("value"), 2).alias("total")
+    )
+
+
+@query("s5_publish_anomaly")
+def publish_anomaly(spark, sf_dir):
+    log, history = (f"{_scratch(spark)}/{n}" for n in ("log", "history"))
+    store.publish_anomaly(stat_anomalies(spark, sf_dir), log, history)
+    both = spark.read.parquet(log).withColumn("target", F.lit("log")).unionByName(
+        spark.read.parquet(history).withColumn("target", F.lit("history"))
+    )
+    return both.groupBy("target", "severity").agg(F.count("*").alias("n"))
+
+
+@query("s6_publish_alert")
+def publish_alert(spark, sf_dir):
+    path = _scratch(spark)
+    rows = al.alert_rows(lifecycle(spark, sf_dir)).where(F.col("action").isin("created", "escalated"))
+    store.publish_alert(rows, path)
+    return spark.read.parquet(path).groupBy("alert_id").agg(F.count("*").alias("times"))
+
+
+@query("s7_read_after")
+def read_after(spark, sf_dir):
+    metrics = co.load_metrics(spark, sf_dir)
+    last = (pd.Timestamp("2024-01-15 12:00:00", tz="UTC").to_pydatetime(), "0")
+    return store.read_after(metrics, params.ORDER, last, 100).select(*IDS, _text("timestamp").alias("ts"))
+
+
+@query("s7_read_stream")
+def read_stream(spark, sf_dir):
+    """The published table, consumed continuously in bounded batches."""
+    path = _scratch(spark)
+    store.publish_metric(co.load_metrics(spark, sf_dir), f"{path}/metrics")
+    schema = spark.read.parquet(f"{path}/metrics").schema
+    stream = store.read_stream(spark, f"{path}/metrics", schema, files_per_batch=10)
+    run_to_end(stream, f"{path}/out", f"{path}/offsets")
+    return spark.read.parquet(f"{path}/out").groupBy("host", "metric_type").agg(F.count("*").alias("n"))
+
+
+def model_runs(spark, sf_dir):
+    """Events as training runs of five models."""
+    return _events(spark, sf_dir).select(
+        F.col("event_type").alias("name"), "ts",
+        F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("user"), F.col("user_id").cast("string")).alias("state"),
+    )
+
+
+@query("s12_model_state")
+def model_state(spark, sf_dir):
+    rows = store.get_model_state(model_runs(spark, sf_dir))
+    return rows.select("name", fn.micros(F.col("ts")).alias("at_us"), F.col("state")["user"].alias("user"), F.col("state")["value"].alias("value"))
+
+
+@query("d11_should_retrain")
+def should_retrain(spark, sf_dir):
+    rows = store.retrain_due(model_runs(spark, sf_dir), "2024-01-31 23:45:00")
+    return rows.select("name", fn.micros(F.col("last_run")).alias("at_us"), "due")
+
+
+# ---- models -----------------------------------------------------------------------------
+
+_TRAINED: dict = {}
+
+
+def _train(spark, sf_dir):
+    """Models of a data folder, trained once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = tr.train_all(co.load_metrics(spark, sf_dir))
+    return _TRAINED[key]
+
+
+@query("d2_isolation_forest_fit")
+def isolation_forest_fit(spark, sf_dir):
+    """Shape of the grown trees."""
+    forest = tr.train_forest(co.load_metrics(spark, sf_dir))
+    nodes = spark.createDataFrame(forest.nodes, fo.NODES)
+    leaf = F.col("feature") < 0
+    return nodes.groupBy("tree").agg(
+        F.count("*").alias("nodes"), F.sum(F.when(leaf, F.col("size")).otherwise(0)).alias("rows"), F.max("depth").alias("depth")
+    )
+
+
+@query("d3_isolation_forest_predict")
+def isolation_forest_predict(spark, sf_dir):
+    rows = fo.isolation_forest_predict(tr.forest_training_rows(co.load_metrics(spark, sf_dir)), _train(spark, sf_dir)[0])
+    return rows.select(*IDS, "forest_label", *_r("forest_decision"))
+
+
+@query("d4_isolation_forest_score")
+def isolation_forest_score(spark, sf_dir):
+    """The score of a prediction; here the decision is derived from the value."""
+    decision = (F.col("value") - 50) / 100
+    rows = co.load_metrics(spark, sf_dir).withColumn("forest_decision", F.when(F.col("value") > 1, decision))
+    rows = rows.withColumn("forest_label", F.when(F.col("forest_decision") < 0, -1).when(F.col("forest_decision").isNotNull(), 1))
+    return fo.isolation_forest_score(rows).select(*IDS, "forest_flag", *_r("forest_score"))
+
+
+@query("d5_sequence_fit")
+def sequence_fit(spark, sf_dir):
+    model = sq.sequence_fit(co.load_metrics(spark, sf_dir))
+    return rp.training_report(spark, model.stats)
+
+
+@query("d6_sequence_predict")
+def sequence_predict(spark, sf_dir):
+    sf = ft.sequences(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30))
+    rows = sq.sequence_predict(sf.rows(), _train(spark, sf_dir)[1])
+    return rows.select(*IDS, "sequence_flag", *_r("sequence_score", "sequence_mse"))
+
+
+@query("j3_model_by_metric_type")
+def model_by_metric_type(spark, sf_dir):
+    """Rows that have a model for their type; others score (false, 0)."""
+    model = _train(spark, sf_dir)[1]
+    sf = ft.sequences(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30))
+    kept = sq.SequenceModel(model.length, {k: m for k, m in model.types.items() if k != "error_rate"})
+    rows = sq.sequence_predict(sf.rows(), kept)
+    return rows.groupBy("metric_type").agg(F.count("*").alias("n"), F.count("sequence_mse").alias("with_model"))
+
+
+@query("d7_ensemble_vote")
+def vote(spark, sf_dir):
+    """The vote over the statistical check and two flags and scores derived from it."""
+    rows = _checked(spark, sf_dir)
+    rows = rows.withColumn("forest_flag", F.col("iqr_flag")).withColumn("forest_score", F.least(F.lit(1.0), F.col("value") / 100))
+    rows = rows.withColumn("sequence_flag", F.col("abs_flag")).withColumn("sequence_score", F.col("stat_score"))
+    return ensemble_vote(rows).select(*IDS, "votes", "is_anomaly", near(F.col("anomaly_score"), 3).alias("score"))
+
+
+@query("d10_detect_batch")
+def detect(spark, sf_dir):
+    forest, sequence, _ = _train(spark, sf_dir)
+    rows = detect_batch(co.load_metrics(spark, sf_dir), forest, sequence)
+    return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"), "description")
+
+
+@query("d12_train_all")
+def train_all(spark, sf_dir):
+    """Also the report of A7, A8 and A9."""
+    return rp.training_report(spark, _train(spark, sf_dir)[2])
+
+
+@query("a8_exact_percentile")
+def percentile(spark, sf_dir):
+    """The percentile that sets thresholds, per metric type."""
+    metrics = co.load_metrics(spark, sf_dir)
+    found = exact_percentile(metrics, "value", params.SEQUENCE_QUANTILE, by=("metric_type",))
+    return spark.createDataFrame([(k[0], v) for k, v in found.items()], "metric_type string, p double").select(
+        "metric_type", near(F.col("p"), 6).alias("p")
+    )
+
+
+@query("s11_save_and_load_model")
+def save_and_load(spark, sf_dir):
+    """Largest difference between the scores of the models and of their reloaded copies."""
+    forest, sequence, _ = _train(spark, sf_dir)
+    path = _scratch(spark)
+    store.save_forest(spark, forest, f"{path}/forest")
+    store.save_sequence(spark, sequence, f"{path}/sequence")
+    again, seq2 = store.load_forest(spark, f"{path}/forest"), store.load_sequence(spark, f"{path}/sequence")
+    rows = tr.forest_training_rows(co.load_metrics(spark, sf_dir))
+    gap = fo.forest_score_samples(spark, forest) - fo.forest_score_samples(spark, again)
+    sf = ft.sequences(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30))
+    kind = F.col("metric_type")
+    gap2 = sq.reconstruction_error(spark, sequence, F.col("sequence"), kind) - sq.reconstruction_error(spark, seq2, F.col("sequence"), kind)
+
+    def widest(df, col, name):
+        return df.select(F.abs(col).alias("gap")).agg(F.lit(name).alias("model"), near(F.max("gap"), 6).alias("widest_gap"))
+
+    return widest(rows, gap, "forest").unionByName(widest(sf.rows(), gap2, "sequence"))
+
+
+# ---- streams, run to the end of what the folder holds ---------------------------------------
+
+
+def metric_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return co.metrics_from_events(raw)
+
+
+def _run(spark, stream):
+    path = _scratch(spark)
+    query_ = run_to_end(stream, f"{path}/out", f"{path}/offsets")
+    return query_, spark.read.parquet(f"{path}/out")
+
+
+@query("x1_detect_stream")
+def stream_detection(spark, sf_dir):
+    _, rows = _run(spark, detect_stream(metric_stream(spark, sf_dir), delay="0 seconds", flag="stat_flag", score="stat_score"))
+    return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"))
+
+
+@query("x2_alert_stream")
+def stream_alerts(spark, sf_dir):
+    path = _scratch(spark)
+    store.publish_anomaly(stat_anomalies(spark, sf_dir), path)
+    stream = store.read_stream(spark, path, spark.read.parquet(path).schema)
+    _, log = _run(spark, alert_stream(stream, delay="0 seconds"))
+    return _log(log)
+
+
+@query("x3_dedup_metrics")
+def stream_dedup(spark, sf_dir):
+    """Two replicas of the stream, each row kept once."""
+    once = metric_stream(spark, sf_dir)
+    _, rows = _run(spark, dedup_metrics(once.union(metric_stream(spark, sf_dir)), "1 minute"))
+    return rows.groupBy("host", "metric_type").agg(F.count("*").alias("n"), F.countDistinct("metric_id").alias("ids"))
+
+
+@query("x5_downsample_stream")
+def stream_downsample(spark, sf_dir):
+    _, rows = _run(spark, downsample_stream(metric_stream(spark, sf_dir), delay="0 seconds"))
+    return rows.select("host", "metric_type", _text("period_start").alias("period_start"), *_r("average", "maximum"))
+
+
+@query("x6_health_stream")
+def stream_health(spark, sf_dir):
+    query_, rows = _run(spark, downsample_stream(metric_stream(spark, sf_dir)))
+    latest = rp.health_latest(health_stream(spark, query_, "downsampler"), "2000-01-01 00:00:00")
+    return latest.select("service_name", "status", F.col("details")["rows_processed"].cast("long").alias("rows_processed"))

@@ -450,3 +450,38 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'CPU USAGE' WHEN 'signup' THE
   WHEN 'error' THEN 'ERROR RATE' ELSE 'NETWORK IN' END AS label, CASE WHEN value = 0 THEN '--' ELSE {UPTIME.replace("WHEN up = 0 THEN '--'", "WHEN false THEN ''")} END AS uptime,
   {near("(epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 60000000.0", 3)} AS age_minutes,
   strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000000Z' AS iso FROM e"""
+
+# ---- tables, model states, votes, streams ------------------------------------------------------
+
+SQL["s4_publish_metric"] = f"""{BASE} SELECT host, metric_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n,
+  {near("sum(value)", 2)} AS total FROM m GROUP BY host, metric_type, 3"""
+SQL["s5_publish_anomaly"] = f"""{TO_ANOMALIES} SELECT target, severity, count(*) AS n
+  FROM a, (VALUES ('log'), ('history')) t(target) GROUP BY ALL"""
+SQL["s6_publish_alert"] = f"{LIFE} SELECT alert_id, count(*) AS times FROM log WHERE action IN ('created', 'escalated') GROUP BY alert_id"
+SQL["s7_read_after"] = f"""{BASE} SELECT metric_id, host, metric_type, {STAMP} AS ts FROM m
+  WHERE (ts, metric_id) > (TIMESTAMP '2024-01-15 12:00:00', '0') ORDER BY m.ts, metric_id LIMIT 100"""
+SQL["s7_read_stream"] = f"{BASE} SELECT host, metric_type, count(*) AS n FROM m GROUP BY ALL"
+SQL["s12_model_state"] = """SELECT event_type AS name, epoch_us(max(ts)) AS at_us, CAST(arg_max(user_id, ts) AS VARCHAR) AS "user",
+  CAST(arg_max(value, ts) AS VARCHAR) AS value FROM events GROUP BY 1"""
+SQL["d11_should_retrain"] = """SELECT event_type AS name, epoch_us(max(ts)) AS at_us,
+  epoch_us(TIMESTAMP '2024-01-31 23:45:00') - epoch_us(max(ts)) >= 86400000000 AS due FROM events GROUP BY 1"""
+SQL["d4_isolation_forest_score"] = f"""{BASE} SELECT metric_id, host, metric_type, value > 1 AND value < 50 AS forest_flag,
+  {near("CASE WHEN value > 1 THEN 1 / (1 + exp((value - 50) / 100)) ELSE 0.0 END")} AS forest_score FROM m"""
+SQL["d7_ensemble_vote"] = f"""{TO_CHECK},
+v AS (SELECT *, 0.25 * stat_score + 0.40 * least(1.0, value / 100) + 0.35 * stat_score AS score,
+             stat_flag::INTEGER + iqr_flag::INTEGER + abs_flag::INTEGER AS votes FROM c)
+SELECT metric_id, host, metric_type, votes, score >= 0.85 OR votes >= 2 AS is_anomaly, {near("round(score, 4)", 3)} AS score FROM v"""
+SQL["a8_exact_percentile"] = f"{BASE} SELECT metric_type, {near('quantile_cont(value, 0.95)', 6)} AS p FROM m GROUP BY 1"
+SQL["j3_model_by_metric_type"] = f"""{BASE},
+b AS (SELECT *, row_number() OVER (PARTITION BY host, metric_type ORDER BY ts, metric_id) AS k FROM m)
+SELECT metric_type, count(*) AS n, count(*) FILTER (WHERE k >= 30 AND metric_type <> 'error_rate') AS with_model FROM b GROUP BY 1"""
+SQL["s11_save_and_load_model"] = f"SELECT unnest(['forest', 'sequence']) AS model, {near('0.0', 6)} AS widest_gap"
+SQL["x1_detect_stream"] = f"""{TO_ANOMALIES} SELECT anomaly_id, host, metric_type, severity, {near("value")} AS value,
+  {near("anomaly_score")} AS anomaly_score FROM a"""
+SQL["x2_alert_stream"] = SQL["l8_auto_resolve"].replace("TIMESTAMP '2024-01-01 11:30:00'", "(SELECT make_timestamp(max(at_us)) FROM a)").replace(
+    "FROM log WHERE action = 'auto_resolved'", "FROM log"
+)
+SQL["x3_dedup_metrics"] = f"{BASE} SELECT host, metric_type, count(*) AS n, count(DISTINCT metric_id) AS ids FROM m GROUP BY ALL"
+SQL["x5_downsample_stream"] = f"""{BASE} {DOWN} WHERE epoch_us(ts) - epoch_us(ts) % 300000000 + 300000000 <= (SELECT max(epoch_us(ts)) FROM m)
+  GROUP BY host, metric_type, 3"""
+SQL["x6_health_stream"] = "SELECT 'downsampler' AS service_name, 'healthy' AS status, count(*) AS rows_processed FROM events"

@@ -134,10 +134,16 @@ def get_model_state(runs: DataFrame) -> DataFrame:
     return runs.groupBy("name").agg(F.max("ts").alias("ts"), F.max_by("state", "ts").alias("state"))
 
 
+def retrain_due(runs: DataFrame, now, hours: int = params.RETRAIN_HOURS) -> DataFrame:
+    """Per model name, its last run and whether that is ``hours`` old."""
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_run")
+    return runs.groupBy("name").agg(F.max("ts").alias("last_run")).withColumn("due", age >= hours * 3_600_000_000)
+
+
 def should_retrain(runs: DataFrame, now, name: str = "latest_training", hours: int = params.RETRAIN_HOURS) -> bool:
     """Whether the last run of ``name`` is ``hours`` old, or there is none."""
-    last = runs.where(F.col("name") == name).agg(F.max("ts")).first()[0]
-    return last is None or (pd.Timestamp(now) - pd.Timestamp(last)).total_seconds() >= hours * 3600
+    row = retrain_due(runs.where(F.col("name") == name), now, hours).first()
+    return row is None or row["due"]
 
 
 def save_forest(spark: SparkSession, model: ForestModel, path: str) -> None:
