@@ -46,24 +46,27 @@ class ForestModel:
     stats: dict = field(default_factory=dict)
 
     def arrays(self) -> dict:
-        """Nodes of all trees in flat arrays; children are positions in them, leaves point to themselves."""
-        nodes = self.nodes.sort_values(["tree", "node"], ignore_index=True)
-        first = nodes.groupby("tree")["node"].transform("size").groupby(nodes["tree"]).first().cumsum()
-        base = (nodes["tree"].map(first) - nodes.groupby("tree")["node"].transform("size")).to_numpy()
-        at = np.arange(len(nodes))
-        leaf = nodes["feature"].to_numpy() < 0
-        left = np.where(leaf, at, base + nodes["left"].to_numpy())
-        right = np.where(leaf, at, base + nodes["right"].to_numpy())
-        value = np.where(leaf, nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy()), 0.0)
-        return {
-            "feature": np.where(leaf, 0, nodes["feature"].to_numpy()).astype("int64"),
-            "split": nodes["split"].to_numpy(dtype="float64"),
-            "left": left.astype("int64"),
-            "right": right.astype("int64"),
-            "value": value,
-            "roots": np.flatnonzero(nodes["node"].to_numpy() == 0),
-            "depth": int(nodes["depth"].max()),
-        }
+        """All trees as complete binary trees of one depth: node i has children 2i+1 and 2i+2. A leaf
+        above the bottom sends every row left."""
+        depth = int(self.nodes["depth"].max())
+        inner, trees = 2**depth - 1, int(self.nodes["tree"].nunique())
+        feature = np.zeros((trees, inner), dtype="int64")
+        split = np.full((trees, inner), np.inf)
+        value = np.zeros((trees, inner + 1))
+        for t, (_, nodes) in enumerate(self.nodes.groupby("tree")):
+            rows = {n.node: n for n in nodes.itertuples(index=False)}
+            todo = [(0, 0)]
+            while todo:
+                at, n = todo.pop()
+                n = rows[n]
+                if n.feature >= 0:
+                    feature[t, at], split[t, at] = n.feature, n.split
+                    todo += [(2 * at + 1, n.left), (2 * at + 2, n.right)]
+                else:
+                    while at < inner:
+                        at = 2 * at + 1
+                    value[t, at - inner] = n.depth + average_path(n.size)
+        return {"feature": feature, "split": split, "value": value, "depth": depth}
 
 
 def standard_scaler(df: DataFrame, features) -> tuple[int, list, list]:
@@ -132,6 +135,7 @@ def isolation_forest_fit(
     df: DataFrame,
     features=params.FEATURES,
     identity=None,
+    rows: int | None = None,
     trees: int = params.FOREST_TREES,
     contamination: float = params.CONTAMINATION,
     max_samples: int = params.FOREST_SAMPLES,
@@ -139,35 +143,41 @@ def isolation_forest_fit(
 ) -> ForestModel | dict:
     """Train on the rows of ``df``; a dict with status ``insufficient_data`` below 50 rows.
 
-    ``identity`` names the columns that identify a row for sampling (default: the features).
+    ``identity`` names the columns that identify a row for sampling (default: the features), and
+    ``rows`` their number, if known. ``df`` is read twice: for the samples and for the scores that
+    set the offset. The scaler is fitted on the sampled rows: isolation splits do not change under
+    scaling, it only keeps the numbers in range.
     """
     features = tuple(features)
     identity = tuple(identity or features)
+    spark = df.sparkSession
     clean = df.select(
         *[F.col(c) for c in identity if c not in features],
         *[clean_number(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in features],
     )
-    rows, mean, std = standard_scaler(clean, features)
+    rows = clean.count() if rows is None else rows
     if rows < params.FOREST_MIN_ROWS:
         return {"status": "insufficient_data", "samples": rows}
     sample = min(max_samples, rows)
     limit = math.ceil(math.log2(max(sample, 2)))
 
+    bags = deal_to_trees(clean, identity, rows, trees, sample, seed)
+    bags = materialise(bags.select("tree", "_rank", *features))  # at most trees x max_samples rows
+    _, mean, std = standard_scaler(bags, features)
+
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_rank")
         x = (group[list(features)].to_numpy() - mean) / std
         return pd.DataFrame(grow_tree(x, int(group["tree"].iloc[0]), seed, limit), columns=[c.split()[0] for c in NODES.split(", ")])
 
-    bags = deal_to_trees(clean, identity, rows, trees, sample, seed)
-    nodes = bags.select("tree", "_rank", *features).groupBy("tree").applyInPandas(grow, NODES)
-    model = ForestModel(features, mean, std, nodes.toPandas(), 0.0, contamination, rows, sample)
+    spread = bags.repartition(min(trees, spark.sparkContext.defaultParallelism), "tree")
+    nodes = spread.groupBy("tree").applyInPandas(grow, NODES).toPandas()
+    model = ForestModel(features, mean, std, nodes, 0.0, contamination, rows, sample)
 
-    scored = materialise(clean.select(forest_score_samples(clean.sparkSession, model).alias("score")))
+    scored = materialise(clean.select(forest_score_samples(spark, model).alias("score")))
     model.offset = exact_percentile(scored, "score", contamination)[()]
     decision = F.col("score") - F.lit(model.offset)
-    made = scored.agg(
-        F.sum((decision < 0).cast("long")), F.avg(decision), F.stddev_pop(decision)
-    ).first()
+    made = scored.agg(F.sum((decision < 0).cast("long")), F.avg(decision), F.stddev_pop(decision)).first()
     model.stats = {
         "status": "trained",
         "samples": rows,
@@ -180,6 +190,19 @@ def isolation_forest_fit(
     return model
 
 
+def _paths(x: np.ndarray, m: dict) -> np.ndarray:
+    """Mean path length of each row over all trees."""
+    flat, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    total, inner = np.zeros(len(x)), 2 ** m["depth"] - 1
+    for feature, split, value in zip(m["feature"], m["split"], m["value"]):
+        at = np.zeros(len(x), dtype="int64")
+        for _ in range(m["depth"]):
+            right = flat.take(start + feature.take(at)) > split.take(at)
+            at = 2 * at + 1 + right
+        total += value.take(at - inner)
+    return total / len(m["value"])
+
+
 def forest_score_samples(spark, model: ForestModel, features=None) -> Column:
     """-2^(-mean path / c) per row; lower is more anomalous. Null when a feature is null."""
     shipped = spark.sparkContext.broadcast(
@@ -192,14 +215,8 @@ def forest_score_samples(spark, model: ForestModel, features=None) -> Column:
         raw = x.to_numpy(dtype="float64", na_value=np.nan)
         known = ~np.isnan(raw).any(axis=1)
         scaled = (raw - m["mean"]) / m["std"]
-        total, rows = np.zeros(len(raw)), np.arange(len(raw))
-        for root in m["roots"]:
-            at = np.full(len(raw), root)
-            for _ in range(m["depth"]):
-                at = np.where(scaled[rows, m["feature"][at]] <= m["split"][at], m["left"][at], m["right"][at])
-            total += m["value"][at]
-        out = -np.power(2.0, -total / len(m["roots"]) / m["c"])
-        return pd.Series(np.where(known, out, np.nan)).where(known, None)
+        mean_path = np.concatenate([_paths(scaled[i : i + 4096], m) for i in range(0, len(raw), 4096)] or [np.zeros(0)])
+        return pd.Series(np.where(known, -np.power(2.0, -mean_path / m["c"]), np.nan)).where(known, None)
 
     return score(F.struct(*(features or model.features)))
 

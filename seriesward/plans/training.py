@@ -18,8 +18,13 @@ def forest_training_rows(metrics: DataFrame, limit: int | None = None) -> DataFr
 
 
 def train_forest(metrics: DataFrame, limit: int | None = None, **options) -> ForestModel | dict:
+    """Fit on the feature vectors. Their number follows from the series lengths, a scan without the
+    windows."""
+    per_series = metrics.groupBy(*params.KEY).count()
+    vectors = F.greatest(F.col("count") - (params.MIN_POINTS - 1), F.lit(0))
+    rows = per_series.agg(F.sum(vectors)).first()[0] or 0
     return isolation_forest_fit(
-        forest_training_rows(metrics, limit), identity=(*params.KEY, *params.ORDER), **options
+        forest_training_rows(metrics, limit), identity=(*params.KEY, *params.ORDER), rows=rows, **options
     )
 
 
