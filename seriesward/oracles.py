@@ -477,9 +477,14 @@ b AS (SELECT *, row_number() OVER (PARTITION BY host, metric_type ORDER BY ts, m
 SELECT metric_type, count(*) AS n, count(*) FILTER (WHERE k >= 30 AND metric_type <> 'error_rate') AS with_model FROM b GROUP BY 1"""
 SQL["s11_save_and_load_model"] = f"SELECT unnest(['forest', 'sequence']) AS model, {near('0.0', 6)} AS widest_gap"
 SQL["x1_detect_stream"] = f"""{TO_ANOMALIES} SELECT anomaly_id, host, metric_type, severity, {near("value")} AS value,
-  {near("anomaly_score")} AS anomaly_score FROM a"""
-SQL["x2_alert_stream"] = SQL["l8_auto_resolve"].replace("TIMESTAMP '2024-01-01 11:30:00'", "(SELECT make_timestamp(max(at_us)) FROM a)").replace(
-    "FROM log WHERE action = 'auto_resolved'", "FROM log"
+  {near("anomaly_score")} AS anomaly_score FROM a
+  WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM m)"""
+# The stream ends at its watermark, which has milliseconds; rows after it still wait.
+SQL["x2_alert_stream"] = (
+    SQL["l8_auto_resolve"]
+    .replace("epoch_us(TIMESTAMP '2024-01-01 11:30:00')", "(SELECT max(at_us) // 1000 * 1000 FROM a)")
+    .replace("FROM log WHERE action = 'auto_resolved'", "FROM log")
+    .replace("title, description FROM a)),", "title, description FROM a WHERE at_us <= (SELECT max(at_us) // 1000 * 1000 FROM a))),")
 )
 SQL["x3_dedup_metrics"] = f"{BASE} SELECT host, metric_type, count(*) AS n, count(DISTINCT metric_id) AS ids FROM m GROUP BY ALL"
 SQL["x5_downsample_stream"] = f"""{BASE} {DOWN} WHERE epoch_us(ts) - epoch_us(ts) % 300000000 + 300000000 <= (SELECT max(epoch_us(ts)) FROM m)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from .. import params
 from ..operators.alerts import EVENT_COLUMNS, LOG_COLUMNS, MINUTE, RAW_LOG, TIMES, expire, fold, lifecycle_events, new_state, typed_log
-from .detect import use_rocksdb
+from .detect import due_ms, use_rocksdb
 
 PENDING = [c for c in EVENT_COLUMNS if c not in params.KEY]
 KINDS = {"at": T.LongType(), "kind": T.LongType()}
@@ -33,7 +33,7 @@ class AlertState(StatefulProcessor):
         for pdf in rows:
             events = pdf[PENDING].astype(object).where(pdf[PENDING].notna(), None)
             self.pending.appendList([tuple(r) for r in events.itertuples(index=False, name=None)])
-            low = int(pdf["at"].min()) // 1000
+            low = due_ms(pdf["at"].min())
             first = low if first is None else min(first, low)
         if first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
@@ -42,12 +42,12 @@ class AlertState(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         rows = [dict(zip(PENDING, r), host=key[0], metric_type=key[1]) for r in self.pending.get()]
-        due = sorted((e for e in rows if e["at"] // 1000 <= now), key=lambda e: (e["at"], e["kind"], e["event_id"]))
-        waiting = [e for e in rows if e["at"] // 1000 > now]
+        due = sorted((e for e in rows if e["at"] <= now * 1000), key=lambda e: (e["at"], e["kind"], e["event_id"]))
+        waiting = [e for e in rows if e["at"] > now * 1000]
         if due:
             if waiting:
                 self.pending.put([tuple(e[c] for c in PENDING) for e in waiting])
-                self.handle.registerTimer(min(e["at"] for e in waiting) // 1000)
+                self.handle.registerTimer(due_ms(min(e["at"] for e in waiting)))
             else:
                 self.pending.clear()
         state = json.loads(self.saved.get()[0]) if self.saved.exists() else new_state()

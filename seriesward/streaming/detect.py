@@ -56,8 +56,13 @@ def dedup_metrics(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def settle(pending, watermark_ms: int):
     """Rows that the watermark has passed, in order, and the rows that still wait."""
     rows = list(pending)
-    done = sorted((r for r in rows if r[2] // 1000 <= watermark_ms), key=lambda r: (r[2], r[0]))
-    return done, [r for r in rows if r[2] // 1000 > watermark_ms]
+    done = sorted((r for r in rows if r[2] <= watermark_ms * 1000), key=lambda r: (r[2], r[0]))
+    return done, [r for r in rows if r[2] > watermark_ms * 1000]
+
+
+def due_ms(at) -> int:
+    """The first watermark, in milliseconds, that passes a time in microseconds."""
+    return -(-int(at) // 1000)
 
 
 class SeriesState(StatefulProcessor):
@@ -70,7 +75,7 @@ class SeriesState(StatefulProcessor):
         first = None
         for pdf in rows:
             self.pending.appendList(list(pdf[ROW.fieldNames()].itertuples(index=False, name=None)))
-            low = int(pdf["at"].min()) // 1000
+            low = due_ms(pdf["at"].min())
             first = low if first is None else min(first, low)
         if first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
@@ -82,7 +87,7 @@ class SeriesState(StatefulProcessor):
             return
         if waiting:
             self.pending.put(waiting)
-            self.handle.registerTimer(min(r[2] for r in waiting) // 1000)
+            self.handle.registerTimer(due_ms(min(r[2] for r in waiting)))
         else:
             self.pending.clear()
         state = blocks.empty()
