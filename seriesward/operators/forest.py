@@ -22,6 +22,7 @@ from .percentile import exact_percentile
 
 NODES = "tree int, node int, feature int, split double, left int, right int, depth int, size long"
 EULER = 0.5772156649015329
+SPARE = 1.5  # rows per wanted sample from which bags may be disjoint
 
 
 def average_path(n):
@@ -44,28 +45,36 @@ class ForestModel:
     samples: int
     max_samples: int
     stats: dict = field(default_factory=dict)
+    flat: dict | None = field(default=None, repr=False)
 
     def arrays(self) -> dict:
         """All trees as complete binary trees of one depth: node i has children 2i+1 and 2i+2. A leaf
         above the bottom sends every row left."""
+        if self.flat is None:
+            self.flat = self._flatten()
+        return self.flat
+
+    def _flatten(self) -> dict:
         depth = int(self.nodes["depth"].max())
         inner, trees = 2**depth - 1, int(self.nodes["tree"].nunique())
-        feature = np.zeros((trees, inner), dtype="int64")
+        feature = np.zeros((trees, inner), dtype="int32")
         split = np.full((trees, inner), np.inf)
         value = np.zeros((trees, inner + 1))
-        for t, (_, nodes) in enumerate(self.nodes.groupby("tree")):
-            rows = {n.node: n for n in nodes.itertuples(index=False)}
+        path = self.nodes["depth"] + average_path(self.nodes["size"])
+        columns = self.nodes[["tree", "node", "feature", "split", "left", "right"]].assign(path=path)
+        for t, (_, nodes) in enumerate(columns.groupby("tree")):
+            rows = {n[1]: n[2:] for n in nodes.itertuples(index=False, name=None)}
             todo = [(0, 0)]
             while todo:
-                at, n = todo.pop()
-                n = rows[n]
-                if n.feature >= 0:
-                    feature[t, at], split[t, at] = n.feature, n.split
-                    todo += [(2 * at + 1, n.left), (2 * at + 2, n.right)]
+                at, node = todo.pop()
+                f, s, left, right, length = rows[node]
+                if f >= 0:
+                    feature[t, at], split[t, at] = f, s
+                    todo += [(2 * at + 1, left), (2 * at + 2, right)]
                 else:
                     while at < inner:
                         at = 2 * at + 1
-                    value[t, at - inner] = n.depth + average_path(n.size)
+                    value[t, at - inner] = length
         return {"feature": feature, "split": split, "value": value, "depth": depth}
 
 
@@ -90,21 +99,17 @@ def deal_to_trees(df: DataFrame, identity, rows: int, trees: int, sample: int, s
     per row, into disjoint bags; small ones are drawn per tree, so that bags may overlap."""
     ident = [F.col(c).cast("string") for c in identity]
     unit = 2.0**63
-    if rows > 2 * trees * sample:
-        share = 2.0 * trees * sample / rows
+    if rows > SPARE * trees * sample:
+        share = min(1.0, 2.0 * trees * sample / rows)
         dealt = df.where(F.abs(F.xxhash64(F.lit(seed), *ident)) < share * unit).withColumn(
             "tree", F.pmod(F.xxhash64(F.lit(seed + 1), *ident), F.lit(trees)).cast("int")
         )
     else:
         share = min(1.0, 2.0 * sample / rows)
-        dealt = df.withColumn("_row", F.xxhash64(F.lit(seed), *ident)).withColumn(
-            "tree",
-            F.explode(
-                F.filter(
-                    F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.abs(F.xxhash64(t, F.col("_row"))) < share * unit,
-                )
-            ),
+        dealt = (
+            df.withColumn("_row", F.xxhash64(F.lit(seed), *ident))
+            .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+            .where(F.abs(F.xxhash64("tree", "_row")) < share * unit)
         )
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", *ident)))
     return dealt.withColumn("_rank", rank).where(F.col("_rank") <= sample)
@@ -192,13 +197,16 @@ def isolation_forest_fit(
 
 def _paths(x: np.ndarray, m: dict) -> np.ndarray:
     """Mean path length of each row over all trees."""
-    flat, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
-    total, inner = np.zeros(len(x)), 2 ** m["depth"] - 1
-    for feature, split, value in zip(m["feature"], m["split"], m["value"]):
-        at = np.zeros(len(x), dtype="int64")
+    rows, inner = len(x), 2 ** m["depth"] - 1
+    flat = np.ascontiguousarray(x.T).ravel()  # column after column
+    start, total = np.arange(rows), np.zeros(rows)
+    for column, split, value in zip(m["feature"].astype("int64") * rows, m["split"], m["value"]):
+        at = np.zeros(rows, dtype="int64")
         for _ in range(m["depth"]):
-            right = flat.take(start + feature.take(at)) > split.take(at)
-            at = 2 * at + 1 + right
+            right = flat.take(column.take(at) + start) > split.take(at)
+            at *= 2
+            at += 1
+            at += right
         total += value.take(at - inner)
     return total / len(m["value"])
 
@@ -215,10 +223,11 @@ def forest_score_samples(spark, model: ForestModel, features=None) -> Column:
         raw = x.to_numpy(dtype="float64", na_value=np.nan)
         known = ~np.isnan(raw).any(axis=1)
         scaled = (raw - m["mean"]) / m["std"]
-        mean_path = np.concatenate([_paths(scaled[i : i + 4096], m) for i in range(0, len(raw), 4096)] or [np.zeros(0)])
+        mean_path = np.concatenate([_paths(scaled[i : i + 16384], m) for i in range(0, len(raw), 16384)] or [np.zeros(0)])
         return pd.Series(np.where(known, -np.power(2.0, -mean_path / m["c"]), np.nan)).where(known, None)
 
-    return score(F.struct(*(features or model.features)))
+    # Declared nondeterministic so that a filter on the result does not evaluate it a second time.
+    return score.asNondeterministic()(F.struct(*(features or model.features)))
 
 
 def isolation_forest_predict(df: DataFrame, model: ForestModel | None) -> DataFrame:

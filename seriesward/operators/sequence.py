@@ -30,26 +30,22 @@ class SequenceModel:
 
 
 def _type_moments(metrics: DataFrame, length: int) -> dict:
-    """Rows, mean and population std per metric type over its series of more than ``length`` rows,
-    merged from one partial per series."""
-    series = metrics.groupBy(*params.KEY).agg(
+    """Rows, mean and population std per metric type over its series of more than ``length`` rows.
+    The data is read once, for one partial per series; the partials are merged twice, for the mean
+    and for the spread around it."""
+    series = metrics.where(F.col("metric_type").isin(*params.METRIC_TYPES)).groupBy(*params.KEY).agg(
         F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )
-    kept = series.where((F.col("n") > length) & F.col("metric_type").isin(*params.METRIC_TYPES))
-    overall = kept.groupBy("metric_type").agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
-        (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within"),
-    )
-    rows = {r["metric_type"]: r for r in overall.collect()}
+    kept = materialise(series.where(F.col("n") > length))
+    n = F.sum("n")
+    means = kept.groupBy("metric_type").agg(n.alias("n"), (F.sum(F.col("n") * F.col("m")) / n).alias("mean"))
+    rows = {r["metric_type"]: r for r in means.collect()}  # one row per metric type
     if not rows:
         return {}
-    center = lookup(F.col("metric_type"), {k: r["mean"] for k, r in rows.items()})
-    between = kept.groupBy("metric_type").agg(
-        (F.sum(F.col("n") * F.pow(F.col("m") - center, 2)) / F.sum("n")).alias("b")
-    )
-    spread = {r["metric_type"]: r["b"] for r in between.collect()}
-    return {k: (r["n"], r["mean"], float(np.sqrt(r["within"] + spread[k]))) for k, r in rows.items()}
+    off = F.col("m") - lookup(F.col("metric_type"), {k: r["mean"] for k, r in rows.items()})
+    spread = kept.groupBy("metric_type").agg((F.sum(F.col("n") * (F.col("v") + off * off)) / n).alias("var"))
+    var = {r["metric_type"]: r["var"] for r in spread.collect()}
+    return {k: (r["n"], r["mean"], float(np.sqrt(var[k]))) for k, r in rows.items()}
 
 
 def _products(batches):
@@ -192,7 +188,8 @@ def reconstruction_error(spark, model: SequenceModel, seq: Column, metric_type:
             out[part] = np.mean(r * r, axis=1)
         return pd.Series(out).where(~np.isnan(out), None)
 
-    return mse(seq, metric_type)
+    # Declared nondeterministic so that a filter on the result does not evaluate it a second time.
+    return mse.asNondeterministic()(seq, metric_type)
 
 
 def sequence_predict(df: DataFrame, model: SequenceModel | None, pad: bool = False) -> DataFrame:
