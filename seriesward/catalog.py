@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +19,7 @@ from .operators.percentile import exact_percentile
 from .operators.series import arrange
 from .plans import reports as rp
 from .plans import training as tr
-from .session import checkpoint_dir
+from .session import scratch
 from .sources import collect as co
 from .sources import records as rc
 from .sources import store
@@ -610,14 +608,9 @@ def scalar_text(spark, sf_dir):
 # ---- tables written and read back ---------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    """A new folder for the tables of one call, next to the checkpoints."""
-    return f"{checkpoint_dir(spark)}/seriesward/{uuid.uuid4().hex}"
-
-
 @query("s4_publish_metric")
 def publish_metric(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark)
     store.publish_metric(co.load_metrics(spark, sf_dir), path)
     rows = store.read_metrics(spark, path)
     return rows.groupBy("host", "metric_type", F.col("day").cast("string").alias("day")).agg(
@@ -627,7 +620,7 @@ def publish_metric(spark, sf_dir):
 
 @query("s5_publish_anomaly")
 def publish_anomaly(spark, sf_dir):
-    log, history = (f"{_scratch(spark)}/{n}" for n in ("log", "history"))
+    log, history = (f"{scratch(spark)}/{n}" for n in ("log", "history"))
     store.publish_anomaly(stat_anomalies(spark, sf_dir), log, history)
     both = spark.read.parquet(log).withColumn("target", F.lit("log")).unionByName(
         spark.read.parquet(history).withColumn("target", F.lit("history"))
@@ -637,7 +630,7 @@ def publish_anomaly(spark, sf_dir):
 
 @query("s6_publish_alert")
 def publish_alert(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark)
     rows = al.alert_rows(lifecycle(spark, sf_dir)).where(F.col("action").isin("created", "escalated"))
     store.publish_alert(rows, path)
     return spark.read.parquet(path).groupBy("alert_id").agg(F.count("*").alias("times"))
@@ -653,7 +646,7 @@ def read_after(spark, sf_dir):
 @query("s7_read_stream")
 def read_stream(spark, sf_dir):
     """The published table, consumed continuously in bounded batches."""
-    path = _scratch(spark)
+    path = scratch(spark)
     store.publish_metric(co.load_metrics(spark, sf_dir), f"{path}/metrics")
     schema = spark.read.parquet(f"{path}/metrics").schema
     stream = store.read_stream(spark, f"{path}/metrics", schema, files_per_batch=10)
@@ -779,7 +772,7 @@ def percentile(spark, sf_dir):
 def save_and_load(spark, sf_dir):
     """Largest difference between the scores of the models and of their reloaded copies."""
     forest, sequence, _ = _train(spark, sf_dir)
-    path = _scratch(spark)
+    path = scratch(spark)
     store.save_forest(spark, forest, f"{path}/forest")
     store.save_sequence(spark, sequence, f"{path}/sequence")
     again, seq2 = store.load_forest(spark, f"{path}/forest"), store.load_sequence(spark, f"{path}/sequence")
@@ -806,7 +799,7 @@ def metric_stream(spark, sf_dir):
 
 
 def _run(spark, stream):
-    path = _scratch(spark)
+    path = scratch(spark)
     query_ = run_to_end(stream, f"{path}/out", f"{path}/offsets")
     return query_, spark.read.parquet(f"{path}/out")
 
@@ -819,7 +812,7 @@ def stream_detection(spark, sf_dir):
 
 @query("x2_alert_stream")
 def stream_alerts(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark)
     store.publish_anomaly(stat_anomalies(spark, sf_dir), path)
     stream = store.read_stream(spark, path, spark.read.parquet(path).schema)
     _, log = _run(spark, alert_stream(stream, delay="0 seconds"))

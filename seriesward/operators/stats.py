@@ -1,6 +1,7 @@
 """Running statistics of a series and the statistical check."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,12 +90,12 @@ def trailing_order_stats(values: np.ndarray, window: int, minimum: int):
         head = np.sort(values[: i + 1])
         q1[i], q3[i] = head[(i + 1) // 4], head[3 * (i + 1) // 4]
     if len(values) >= window:
-        frames = np.lib.stride_tricks.sliding_window_view(values, window)
-        low, high = window // 4, 3 * window // 4
-        for start in range(0, len(frames), 8192):
-            block = np.partition(frames[start : start + 8192], (low, high), axis=1)
-            at = start + window - 1
-            q1[at : at + len(block)], q3[at : at + len(block)] = block[:, low], block[:, high]
+        full, rolled = slice(window - 1, None), pd.Series(values).rolling(window)
+        for out, kth in ((q1, window // 4), (q3, 3 * window // 4)):
+            # Half a step below the wanted rank, taken upwards: exactly the kth smallest.
+            out[full] = rolled.quantile((kth - 0.5) / (window - 1), interpolation="higher").to_numpy()[full]
+            for i in np.flatnonzero(np.isnan(out)):  # windows that hold a NaN: it sorts last
+                out[i] = np.partition(values[i - window + 1 : i + 1], kth)[kth]
     return q1, q3
 
 

@@ -1,6 +1,7 @@
 """Session helpers: reliable materialisation and limits."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, on storage that all executors share."""
+    return f"{checkpoint_dir(spark)}/seriesward/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage: a parquet table in the shared folder. Unlike a plain
+    checkpoint it is compressed, readers prune columns, and its size is known to the optimizer."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rows_per_task(spark: SparkSession, override: int | None = None) -> int:
