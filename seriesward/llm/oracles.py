@@ -1,3 +1,43 @@
 """SQL twins of the queries of this subpackage, for DuckDB."""
 
 SQL: dict[str, str] = {}
+
+#: A-Z lower-cased, nothing else.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def near_duplicates(width: int, percent: int, source: str = "documents") -> str:
+    """doc_id, n_shingles, component_id, kept."""
+    joined = " || ' ' || ".join(f"w[i + {j}]" for j in range(width))
+    return f"""
+with recursive words as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from {source}
+), grams as (
+  select distinct doc_id, gram from (
+    select doc_id, unnest(list_transform(range(1, len(w) - {width} + 2), lambda i: {joined})) as gram from words where len(w) >= {width}
+    union all
+    select doc_id, array_to_string(w, ' ') from words where len(w) between 1 and {width - 1})
+), sized as (
+  select doc_id, count(*) as n, sum(hash(gram)::hugeint % 1000000007) as h1, bit_xor(hash(gram, 1)) as h2 from grams group by doc_id
+), classes as (
+  select n, h1, h2, min(doc_id) as rep from sized group by n, h1, h2
+), members as (
+  select doc_id, rep, n from sized join classes using (n, h1, h2)
+), links as (
+  select a.doc_id as a, b.doc_id as b
+  from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id
+  join members ma on ma.doc_id = a.doc_id and ma.rep = a.doc_id
+  join members mb on mb.doc_id = b.doc_id and mb.rep = b.doc_id
+  group by a.doc_id, b.doc_id, ma.n, mb.n having 100 * count(*) >= {percent} * (ma.n + mb.n - count(*))
+), steps as (
+  select a, b from links union all select b, a from links union all select doc_id, rep from members where doc_id <> rep
+  union all select rep, doc_id from members where doc_id <> rep
+), reach as (
+  select doc_id as origin, doc_id as at from words
+  union select r.origin, s.b from reach r join steps s on s.a = r.at
+), roots as (select origin as doc_id, min(at) as component_id from reach group by origin)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id, d.doc_id = r.component_id as kept
+from words d join roots r on r.doc_id = d.doc_id left join sized s on s.doc_id = d.doc_id"""
+
+
+SQL["op3_odd_sketch_near_duplicates"] = near_duplicates(4, 80)

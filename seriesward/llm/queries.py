@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import packing, token_files
+from . import neardup, packing, token_files
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ def op1(spark, sf_dir):
     return token_files.read_token_files(spark, manifest)
 
 
+@query("op3_odd_sketch_near_duplicates")
+def op3(spark, sf_dir):
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 @query("op6_sum_of_squares_packing")
 def op6(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), "leading", end_id=0)
