@@ -33,11 +33,38 @@ with recursive words as (
   select a, b from links union all select b, a from links union all select doc_id, rep from members where doc_id <> rep
   union all select rep, doc_id from members where doc_id <> rep
 ), reach as (
-  select doc_id as origin, doc_id as at from words
-  union select r.origin, s.b from reach r join steps s on s.a = r.at
-), roots as (select origin as doc_id, min(at) as component_id from reach group by origin)
+  select doc_id as origin, doc_id as place from words
+  union select r.origin, s.b from reach r join steps s on s.a = r.place
+), roots as (select origin as doc_id, min(place) as component_id from reach group by origin)
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id, d.doc_id = r.component_id as kept
 from words d join roots r on r.doc_id = d.doc_id left join sized s on s.doc_id = d.doc_id"""
 
 
 SQL["op3_odd_sketch_near_duplicates"] = near_duplicates(4, 80)
+
+
+def decontamination(source: str = "documents") -> str:
+    words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with items as (
+  select distinct item_id, {words} as w from benchmark where item_id is not null
+), windows as (
+  select distinct item_id, array_to_string(list_slice(w, i, i + 9), ' ') as gram, least(10, len(w)) as size
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)
+), docs as (
+  select row_number() over () as k, doc_id, {words} as w from {source}
+), sizes as (select distinct size from windows), places as (
+  select k, w, size, unnest(range(1, len(w) - size + 2)) as i from docs cross join sizes where len(w) >= size
+), found as (
+  select p.k, p.i, p.size, x.item_id from places p join windows x on x.size = p.size and x.gram = array_to_string(list_slice(p.w, p.i, p.i + p.size - 1), ' ')
+), hit as (
+  select k, count(distinct j) as n_hit from (select k, unnest(range(i, i + size)) as j from found) group by k
+), named as (
+  select k, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct k, item_id::varchar as name from found) group by k
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(n.n_items, 0)::bigint as n_items,
+  sha256(coalesce(n.names, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from docs d left join hit h on h.k = d.k left join named n on n.k = d.k"""
+
+
+SQL["op5_prefix_filtered_decontamination"] = decontamination()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import neardup, packing, token_files
+from . import decontaminate, neardup, packing, token_files
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -34,6 +34,13 @@ def op3(spark, sf_dir):
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+@query("op5_prefix_filtered_decontamination")
+def op5(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.hits(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 @query("op6_sum_of_squares_packing")
 def op6(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), "leading", end_id=0)
