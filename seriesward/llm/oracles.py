@@ -68,3 +68,38 @@ from docs d left join hit h on h.k = d.k left join named n on n.k = d.k"""
 
 
 SQL["op5_prefix_filtered_decontamination"] = decontamination()
+
+
+def line_dedup(min_words: int, source: str = "documents") -> str:
+    """Runs as texts: from every line forwards and backwards, the shortest run of enough words."""
+    return f"""
+with lines as (
+  select doc_id, i, line, len(trim(line, ' ')) - len(replace(trim(line, ' '), ' ', '')) + 1 as words
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from {source})
+  where len(trim(line, ' ')) > 0
+), sums as (
+  select *, row_number() over (partition by doc_id order by i) as n, sum(words) over (partition by doc_id order by i) as total from lines
+), docs as (
+  select doc_id, list(line order by n) as l, list(total order by n) as c, list(i order by n) as p from sums group by doc_id
+), ends as (
+  select doc_id, l, c, p, unnest(range(1, len(l) + 1)) as x from docs
+), runs as (
+  select doc_id, l, p, x as a, list_position(list_transform(c, lambda t: t - coalesce(c[x - 1], 0) >= {min_words}), true) as b from ends
+  union
+  select doc_id, l, p, len(list_filter(c[:x], lambda t: c[x] - t >= {min_words})) + 1, x from ends where c[x] >= {min_words}
+), keyed as (
+  select doc_id, p, a, b, md5(array_to_string(l[a:b], chr(10))) as run from runs where b is not null and b >= a
+), firsts as (
+  select *, first_value(doc_id) over w as d1, first_value(a) over w as a1 from keyed window w as (partition by run order by doc_id, a)
+), gone as (
+  select distinct doc_id, unnest(p[a:b]) as i from firsts where (doc_id, a) <> (d1, a1)
+), rest as (
+  select l.doc_id, count(g.i) as n_deleted, string_agg(l.line, chr(10) order by l.i) filter (where g.i is null) as text
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from {source}) l
+  left join gone g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id
+)
+select d.doc_id, case when d.text is null then null else coalesce(r.text, '') end as text, coalesce(r.n_deleted, 0)::bigint as n_deleted
+from {source} d left join rest r on r.doc_id = d.doc_id"""
+
+
+SQL["op10_suffix_array_line_dedup"] = line_dedup(50)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, neardup, packing, token_files
+from . import decontaminate, line_dedup, neardup, packing, token_files
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -44,3 +44,9 @@ def op5(spark, sf_dir):
 @query("op6_sum_of_squares_packing")
 def op6(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), "leading", end_id=0)
+
+
+@query("op10_suffix_array_line_dedup")
+def op10(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_later_copies(docs, line_dedup.MIN_WORDS, "n_deleted")
