@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, line_dedup, neardup, packing, token_files
+from . import decontaminate, labelled, line_dedup, neardup, packing, quality, token_files, toxicity
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -50,3 +50,19 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_later_copies(docs, line_dedup.MIN_WORDS, "n_deleted")
+
+
+def _judged(model, least: float, spark, sf_dir: str):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = model.score(docs, model.train(docs, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op7_ftrl_toxicity")
+def op7(spark, sf_dir):
+    return _judged(toxicity, 0.5, spark, sf_dir)
+
+
+@query("op8_nbsvm_quality")
+def op8(spark, sf_dir):
+    return _judged(quality, quality.KEEP, spark, sf_dir)
