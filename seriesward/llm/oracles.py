@@ -103,3 +103,17 @@ from {source} d left join rest r on r.doc_id = d.doc_id"""
 
 
 SQL["op10_suffix_array_line_dedup"] = line_dedup(50)
+
+
+SQL["op2_term_at_a_time_top_k"] = """
+with vectors as (
+  select vec_id, min(list_transform(embedding, lambda x: floor(64 * x::double)::bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from vectors q join vectors c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20"""

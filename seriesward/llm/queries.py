@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, labelled, line_dedup, neardup, packing, quality, token_files, toxicity
+from . import decontaminate, labelled, line_dedup, neardup, packing, quality, token_files, topk, toxicity
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ def op1(spark, sf_dir):
     return token_files.read_token_files(spark, manifest)
 
 
+@query("op2_term_at_a_time_top_k")
+def op2(spark, sf_dir):
+    return topk.top_k(topk.quantised(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op3_odd_sketch_near_duplicates")
 def op3(spark, sf_dir):
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
