@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, labelled, line_dedup, neardup, packing, quality, token_files, topk, toxicity
+from . import decontaminate, html_blocks, labelled, line_dedup, neardup, packing, quality, token_files, topk, toxicity
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -71,3 +71,9 @@ def op7(spark, sf_dir):
 @query("op8_nbsvm_quality")
 def op8(spark, sf_dir):
     return _judged(quality, quality.KEEP, spark, sf_dir)
+
+
+@query("op9_recurrent_block_labeller")
+def op9(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages))
