@@ -3,7 +3,7 @@
 Documents with the same set form one class, represented by its smallest doc_id. Representatives that share a band meet in
 cells of bounded size; there the XOR of their odd sketches (parity bitmaps of MinHash samples, then of the whole sets)
 drops pairs that are surely too different. Surviving pairs are confirmed on full sets. Pairs inside one component need no
-test, so two rounds take the nearest pairs that would join components (a spanning forest per cell), and a last round
+test, so a first round takes the nearest pairs that would join components (a spanning forest per cell), and a last round
 takes every surviving pair between components that are still apart; no link between components is lost.
 
 Rows: no words or a null text is an empty set, linked with nothing. A null doc_id is linked with nothing and kept. Of
@@ -27,7 +27,7 @@ from .components import components
 
 BLOCK = 512
 PAIRS_AT_ONCE = 200_000
-FOREST_ROUNDS = 2
+FOREST_ROUNDS = 1
 _SKETCHED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd binary, parity binary"
 
 
@@ -50,7 +50,8 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _surviving(cell, start, doc, comp, block, diagonal, size, odd, parity, most, similarity):
-    """Index pairs of rows in one cell and different components whose sketches allow a link, with their distance."""
+    """Batches of index pairs of rows in one cell and different components whose sketches allow a link, nearest first.
+    ``comp`` may change in between."""
     before = np.arange(len(cell)) - start
     ends, first = np.cumsum(before), 0
     while first < len(cell):
@@ -63,10 +64,37 @@ def _surviving(cell, start, doc, comp, block, diagonal, size, odd, parity, most,
         fits &= np.minimum(size[left], size[right]) >= similarity * np.maximum(size[left], size[right])
         left, right = left[fits], right[fits]
         near = np.bitwise_count(odd[left] ^ odd[right]).sum(axis=1) <= most
-        for a, b in zip(left[near].tolist(), right[near].tolist()):
-            apart, bits = sh.parity_distance(parity[a], parity[b])
-            if apart <= sh.most_parity(size[a], size[b], bits, similarity):
-                yield apart / (size[a] + size[b]), a, b
+        left, right = left[near], right[near]
+        apart, bits = sh.parity_distances(parity, left, right)
+        total = size[left] + size[right]
+        allowed = apart <= sh.most_parity(total, bits, similarity)
+        left, right, apart = left[allowed], right[allowed], (apart / np.maximum(total, 1))[allowed]
+        order = np.lexsort((right, left, apart))
+        yield left[order], right[order]
+
+
+def _forest(batches, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of these pairs, those that join components not joined before; ``comp`` (numbers from 0 on) follows."""
+    parent = np.arange(int(comp.max(initial=-1)) + 1)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for left, right in batches:
+        while len(left):
+            for a, b in zip(left[:2048].tolist(), right[:2048].tolist()):
+                x, y = root(int(comp[a])), root(int(comp[b]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    yield a, b
+            while not np.array_equal(flat := parent[parent], parent):
+                parent[:] = flat
+            comp[:] = parent[comp]
+            apart = comp[left] != comp[right]
+            left, right = left[apart], right[apart]
 
 
 def _pairs(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
@@ -75,29 +103,18 @@ def _pairs(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         get = lambda c: rows[c].to_numpy()
-        key, i, j, doc, comp = get("key"), get("i"), get("j"), get("doc_id"), get("comp")
+        key, i, j, doc = get("key"), get("i"), get("j"), get("doc_id")
+        comp = np.unique(get("comp"), return_inverse=True)[1]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         cell = np.cumsum(new) - 1
         start = np.flatnonzero(new)[cell]
         odd = np.frombuffer(b"".join(rows["odd"].to_pylist()), np.uint64).reshape(len(cell), -1)
         pairs = _surviving(cell, start, doc, comp, get("block"), i == j, get("n_shingles"), odd, rows["parity"].to_pylist(), most, similarity)
         if forest:
-            parent: dict = {}
-
-            def root(x):
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = parent.get(up, up)
-                    x = up
-                return x
-
-            out = set()
-            for _, a, b in sorted(pairs):
-                x, y = root(int(comp[a])), root(int(comp[b]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.add((max(int(doc[a]), int(doc[b])), min(int(doc[a]), int(doc[b]))))
+            chosen = list(_forest(pairs, comp))
         else:
-            out = {(max(int(doc[a]), int(doc[b])), min(int(doc[a]), int(doc[b]))) for _, a, b in pairs}
+            chosen = [x for left, right in pairs for x in zip(left.tolist(), right.tolist())]
+        out = {(max(int(doc[a]), int(doc[b])), min(int(doc[a]), int(doc[b]))) for a, b in chosen}
         a, b = zip(*sorted(out)) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

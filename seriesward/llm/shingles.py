@@ -100,18 +100,35 @@ def parities(sets: np.ndarray, at: np.ndarray, least: int = 256, most: int = 819
     return out
 
 
-def parity_distance(a: bytes, b: bytes) -> tuple[int, int]:
-    """Population count of the XOR of two parity sketches, the longer one folded; and their bits."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()), 64 * len(x)
-
-
-def most_parity(size_a: int, size_b: int, bits: int, similarity: float, deviations: float = 6.0) -> float:
-    """As ``most_odd_bits``, for parity sketches of whole sets of these sizes."""
-    differ = (size_a + size_b) * (1 - similarity) / (1 + similarity)
+def _folded(parity: list[bytes], words: int) -> np.ndarray:
+    """Parity sketches as rows of ``words`` 64-bit integers, longer ones folded by XOR, shorter ones left at 0."""
+    out = np.zeros((len(parity), words), np.uint64)
+    for k, raw in enumerate(parity):
+        if len(raw) >= 8 * words:
+            out[k] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def parity_distances(parity: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Population count of the XOR of two parity sketches each, the longer one folded; and their bits."""
+    words = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
+    common = np.minimum(words[left], words[right])
+    apart = np.empty(len(left), np.int64)
+    for w in np.unique(common):
+        mine = np.flatnonzero(common == w)
+        rows, inverse = np.unique(np.concatenate([left[mine], right[mine]]), return_inverse=True)
+        table = _folded([parity[k] for k in rows], int(w))
+        a, b = inverse[: len(mine)], inverse[len(mine) :]
+        step = max(1, 500_000 // int(w))
+        for at in range(0, len(mine), step):
+            apart[mine[at : at + step]] = np.bitwise_count(table[a[at : at + step]] ^ table[b[at : at + step]]).sum(axis=1)
+    return apart, common * 64
+
+
+def most_parity(total: np.ndarray, bits: np.ndarray, similarity: float, deviations: float = 6.0) -> np.ndarray:
+    """A bound on that distance for sets of this similarity and total size. Elements in one set only flip a bit each, so
+    their number is a sure bound; where they are many for the bits, collisions make the distance smaller."""
+    differ = np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9)
     mean = bits / 2 * (1 - np.exp(-2 * differ / bits))
-    return mean + deviations * np.sqrt(bits / 4 * (1 - np.exp(-4 * differ / bits)) * min(1, differ / bits)) + 1
+    spread = np.sqrt(bits / 4 * (1 - np.exp(-4 * differ / bits)) * np.minimum(1, differ / bits))
+    return np.minimum(differ, mean + deviations * spread + 1)
