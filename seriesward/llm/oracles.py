@@ -117,3 +117,49 @@ with vectors as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
 )
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20"""
+
+
+def url_filter(rules: list[tuple[str, str]], order: int = 5, weight: float = 2.0, alphabet: int = 256) -> str:
+    fits, told = "null", "null"
+    for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+        host, slash, rest = rule.partition("/")
+        fits = f"case when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{slash + rest}') then '{rule}' else {fits} end"
+        told = f"case when rule = '{rule}' then '{verdict}' else {told} end"
+    levels = [f"c{order} as (select gram, sum(good) as good, sum(bad) as bad from places group by gram)"]
+    for k in range(order - 1, 0, -1):
+        levels.append(f"c{k} as (select substr(gram, 2) as gram, sum(good) as good, sum(bad) as bad from c{k + 1} group by 1)")
+    for k in range(1, order + 1):
+        lower = f"l.p_good as q_good, l.p_bad as q_bad from c{k} c join l{k - 1} l on l.gram = substr(c.gram, 2)" if k > 1 else f"1.0::double / {alphabet} as q_good, 1.0::double / {alphabet} as q_bad from c{k} c"
+        levels.append(f"""l{k} as (
+  select gram, (good + {weight} * q_good) / (all_good + {weight}) as p_good, (bad + {weight} * q_bad) / (all_bad + {weight}) as p_bad from (
+    select c.gram, c.good, c.bad, x.all_good, x.all_bad, {lower}
+    join (select left(gram, {k - 1}) as context, sum(good) as all_good, sum(bad) as all_bad from c{k} group by 1) x on x.context = left(c.gram, {k - 1})))""")
+    return f"""
+with parts as (
+  select page_id, coalesce(url, '') as url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), split as (
+  select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts
+), ruled as (select *, {fits} as rule from split), told as (select *, {told} as told from ruled
+), urls as (
+  select url, count(*) filter (where told = 'allow') as good, count(*) filter (where told = 'block') as bad from told group by url
+), places as (
+  select url, good, bad, substr(padded, i, {order}) as gram from (
+    select url, good, bad, repeat(chr(2), {order - 1}) || url || chr(3) as padded, unnest(range(1, length(url) + 2)) as i from urls)
+), {", ".join(levels)}, scored as (
+  select p.url, sum(round((ln(p_good) - ln(p_bad)) * 1e6)::bigint)::bigint as total, count(*) as n from places p join l{order} l using (gram) group by p.url
+), bins as (
+  select greatest(-1000, least(1000, floor(total / (n * 10000))))::bigint as t, sum(good) as good, sum(bad) as bad
+  from scored join urls using (url) where good > 0 or bad > 0 group by 1
+), gains as (
+  select t, round(coalesce(sum(bad) over w, 0) / greatest(sum(bad) over (), 1) - coalesce(sum(good) over w, 0) / greatest(sum(good) over (), 1), 9) as gain
+  from bins window w as (order by t rows between unbounded preceding and 1 preceding)
+  union all select 0, -2.0
+), best as (select t from gains order by gain desc, abs(t), t limit 1)
+select page_id, host, path, rule, coalesce(told, case when total >= t * 10000 * n then 'allow' else 'block' end) as verdict
+from told join scored using (url) cross join best"""
+
+
+SQL["op4_markov_url_filter"] = url_filter(
+    [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, html_blocks, labelled, line_dedup, neardup, packing, quality, token_files, topk, toxicity
+from . import decontaminate, html_blocks, labelled, line_dedup, neardup, packing, quality, token_files, topk, toxicity, urls
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -77,3 +77,11 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages")
     return html_blocks.extract(pages, html_blocks.train(pages))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op4_markov_url_filter")
+def op4(spark, sf_dir):
+    return urls.judged(_read(spark, sf_dir, "pages"), RULES).drop("score")
