@@ -1,20 +1,50 @@
-"""A corpus in four or five stages, each a table of documents that the next one reads."""
+"""A training corpus in five stages. Each is a table of documents that the next one reads; the last packs sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesward.llm import packing
+from seriesward.llm import decontaminate, line_dedup, neardup, packing, quality
 from seriesward.llm.encode import default_path
 from seriesward.session import materialise
 
 
+def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps (8)."""
+    return quality.kept(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs of 50 words or more are cut out (10); documents that consist of nothing else go."""
+    out = line_dedup.line_deduplicated(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (3): five words, similarity 0.8."""
+    return neardup.deduplicated(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark (5)."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens, by sum-of-squares packing."""
+    """Pieces of the documents in sequences of at most 2048 tokens (6)."""
     return packing.pack_documents(docs, default_path("byte_bpe_50k.json"), "leading", end_id=0)
 
 
-STAGES = [("best-fit packing", packed)]
+STAGES = [
+    ("quality classifier", judged),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
+
+#: A trained model decides in the first stage, which SQL can't express; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
