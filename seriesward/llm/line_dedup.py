@@ -18,8 +18,6 @@ gives no rows. Other columns stay. All work is DataFrame operations.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +31,6 @@ def _key(docs: DataFrame) -> tuple[Column, Column]:
     return docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line that isn't blank: its document, place, two hashes and number of words."""
     d, t = _key(docs)
@@ -59,12 +53,13 @@ def numbered(keys: DataFrame, columns: list[str], name: str) -> DataFrame:
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Repeated lines in stretches of enough words: d, t, n (place among the document's lines), i, words, s (stretch), r0."""
-    place = F.row_number().over(Window.partitionBy(*DOC).orderBy("i"))
-    lines = materialise(lines)
+    # Rows that repeat a document give each line twice; one goes before lines are numbered.
+    within = Window.partitionBy(*DOC).orderBy("i")
+    lines = lines.withColumn("_before", F.lag("i").over(within)).where("_before is null or _before < i").drop("_before")
+    lines = materialise(lines.withColumn("n", F.row_number().over(within)))
     counts = materialise(lines.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     ids = numbered(counts, ["h1", "h2"], "r0")
-    rows = lines.withColumn("n", place)
-    rows = materialise(rows).join(ids, ["h1", "h2"]).drop("h1", "h2")
+    rows = lines.join(ids, ["h1", "h2"]).drop("h1", "h2")
     inside = Window.partitionBy(*DOC)
     rows = rows.withColumn("s", F.col("n") - F.row_number().over(inside.orderBy("n")))
     rows = rows.withColumn("_all", F.sum("words").over(Window.partitionBy(*DOC, "s")))
@@ -121,20 +116,18 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS, deleted: str = "_deleted") -> DataFrame:
     """``docs`` with the later copies cut out of ``text``, and the number of lines deleted in column ``deleted``."""
-    gone = later_copies(docs, min_words)
-    counts = materialise(gone.groupBy(*DOC).agg(F.count("*").alias("_gone")))
+    cut = later_copies(docs, min_words).groupBy(F.col("d").alias("_cut_d"), F.col("t").alias("_cut_t"))
+    cut = materialise(cut.agg(F.sort_array(F.collect_set("i")).alias("_cut")))
     d, t = _key(docs)
-    keyed = docs.select(d.alias("d"), t.alias("t"), docs["text"].cast("string").alias("text"))
-    touched = keyed.join(counts.select(F.col("d").alias("d1"), F.col("t").alias("t1")), F.col("d").eqNullSafe(F.col("d1")) & (F.col("t") == F.col("t1")), "left_semi")
-    lines = touched.dropDuplicates(DOC).select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    gone = gone.select(F.col("d").alias("d1"), F.col("t").alias("t1"), F.col("i").alias("i1"))
-    lines = lines.join(gone, F.col("d").eqNullSafe(F.col("d1")) & (F.col("t") == F.col("t1")) & (F.col("i") == F.col("i1")), "left_anti")
-    rest = lines.groupBy(*DOC).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("_rest"))
-    rest = counts.join(rest, _same(counts, rest, DOC), "left").select(counts["d"].alias("_d"), counts["t"].alias("_t"), "_gone", F.coalesce("_rest", F.lit("")).alias("_rest"))
-    rest = materialise(rest)
-    out = docs.join(rest, d.eqNullSafe(F.col("_d")) & (t == F.col("_t")), "left")
-    kept = [F.coalesce("_rest", docs["text"].cast("string")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return out.select(*kept, F.coalesce("_gone", F.lit(0)).cast("long").alias(deleted))
+    out = docs.join(cut, d.eqNullSafe(F.col("_cut_d")) & (t == F.col("_cut_t")), "left")
+    # Split once per row: the generator keeps the lines out of the lambda below.
+    split = F.when(F.col("_cut").isNotNull(), F.split(docs["text"].cast("string"), "\n", -1))
+    out = out.select(*(docs[c] for c in docs.columns), "_cut", F.explode(F.array(split)).alias("_cut_lines"))
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), "_cut").alias("a"), F.concat("_cut", F.array(F.size("_cut_lines"))).alias("b"))
+    stay = F.flatten(F.transform(ends, lambda z: F.slice("_cut_lines", z["a"] + 2, z["b"] - z["a"] - 1)))
+    text = F.when(F.col("_cut").isNull(), F.col("text").cast("string")).otherwise(F.array_join(stay, "\n"))
+    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*kept, F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long").alias(deleted))
 
 
 def line_deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
