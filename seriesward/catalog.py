@@ -84,6 +84,20 @@ def statistical_check(spark, sf_dir):
     return _checked(spark, sf_dir).select(*IDS, "stat_flag", "iqr_flag", "abs_flag", *_r("stat_score"))
 
 
+def dirty(metrics: DataFrame) -> DataFrame:
+    """Every seventh point without a finite value."""
+    n = F.col("metric_id").cast("long")
+    lost = F.when(n % 21 == 3, F.lit(float("nan"))).when(n % 21 == 10, F.lit(float("inf")))
+    return metrics.withColumn("value", F.when(n % 7 == 3, lost).otherwise(F.col("value")))
+
+
+@query("d1_dirty_values")
+def dirty_values(spark, sf_dir):
+    sf = arrange(_slim(dirty(co.load_metrics(spark, sf_dir))))
+    checked = st.statistical_check(st.recent_quartiles(st.running_stats(sf)).rows())
+    return checked.select(*IDS, "stat_flag", "iqr_flag", "abs_flag", *_r("stat_score"))
+
+
 @query("d1_statistical_check_mean_std")
 def statistical_check_mean_std(spark, sf_dir):
     return _checked(spark, sf_dir, iqr_warmup="mean_std").select(*IDS, "stat_flag", "iqr_flag", *_r("stat_score"))
@@ -195,6 +209,19 @@ def metric_quarantine(spark, sf_dir):
     )
 
 
+@query("s1_missing_fields")
+def missing_fields(spark, sf_dir):
+    """One kind of records without a value, one without a type."""
+    kind = F.col("metric_type")
+    metrics = co.load_metrics(spark, sf_dir)
+    text = F.when(kind == "cpu_usage", rc.metric_to_json(["metric_type", "host", "timestamp"]))
+    text = text.when(kind == "error_rate", rc.metric_to_json(["value", "host", "timestamp"])).otherwise(rc.metric_to_json())
+    good, bad = rc.metric_from_json(metrics.select(text.alias("json")))
+    return good.groupBy(F.col("metric_type").alias("outcome")).agg(F.count("*").alias("n")).unionByName(
+        bad.groupBy(F.lit("quarantine").alias("outcome")).agg(F.count("*").alias("n"))
+    )
+
+
 @query("s2_anomaly_json")
 def anomaly_json(spark, sf_dir):
     texts = stat_anomalies(spark, sf_dir).select(rc.anomaly_to_json().alias("json"))
@@ -455,7 +482,7 @@ def alert_title(spark, sf_dir):
 def notifications(spark, sf_dir):
     rows = al.alert_rows(lifecycle(spark, sf_dir)).where(F.col("action").isin("created", "escalated"))
     out = route_notifications(rows)
-    return out.select("alert_id", "severity", "host", "channel", "subject", F.when(F.col("channel") != "sns", F.col("payload")).alias("payload"))
+    return out.select("alert_id", "severity", "host", "channel", "subject", "payload")
 
 
 # ---- aggregates and reports --------------------------------------------------------

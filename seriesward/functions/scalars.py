@@ -1,5 +1,7 @@
 """Column expressions used across the operators. All of them stay in generated JVM code."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,18 +47,24 @@ def clean_number(value: Column, infinity: float | None = 1e6) -> Column:
     )
 
 
+def finite(value: Column) -> Column:
+    """Whether a number is there and neither NaN nor infinite."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
 def threshold(metric_type: Column, level: str) -> Column:
     """Threshold of a metric type at a severity; null for types without thresholds."""
     return lookup(metric_type, {k: float(v[level]) for k, v in params.THRESHOLDS.items()})
 
 
 def determine_severity(metric_type: Column, value: Column, score: Column) -> Column:
-    expr = None
+    """By the thresholds of the type, else by the score; NaN reaches no threshold."""
+    expr, known = None, F.nanvl(value, F.lit(float("-inf")))
     for level in reversed(params.SEVERITIES):
-        test = value >= threshold(metric_type, level)
+        test = known >= threshold(metric_type, level)
         expr = F.when(test, level) if expr is None else expr.when(test, level)
     for level, least in params.SCORE_SEVERITY.items():
-        expr = expr.when(score >= least, level)
+        expr = expr.when(F.nanvl(score, F.lit(0.0)) >= least, level)
     return expr.otherwise("low")
 
 
@@ -66,9 +74,7 @@ def severity_rank(severity: Column) -> Column:
 
 def next_severity(severity: Column) -> Column:
     """One level up, saturating; an unknown level stays."""
-    order = params.SEVERITIES
-    ups = {name: order[min(i + 1, len(order) - 1)] for i, name in enumerate(order)}
-    return F.coalesce(lookup(severity, ups), severity)
+    return F.coalesce(lookup(severity, params.RAISED), severity)
 
 
 def cooldown_minutes(severity: Column) -> Column:
@@ -80,11 +86,13 @@ def decimals(value: Column, places: int) -> Column:
     return F.call_function("format_number", value, F.lit("0." + "0" * places))
 
 
+def filled(text: str, **values: Column) -> Column:
+    """A fixed text with columns in the places of its {names}."""
+    return F.concat(*(F.lit(t) if k % 2 == 0 else values[t] for k, t in enumerate(re.split(r"[{}]", text)) if t))
+
+
 def alert_title(severity: Column, metric_type: Column, host: Column, score: Column) -> Column:
-    return F.concat(
-        F.lit("["), F.upper(severity), F.lit("] "), metric_type, F.lit(" anomaly on "), host,
-        F.lit(" (score: "), decimals(score, 2), F.lit(")"),
-    )
+    return filled(params.TITLE, severity=F.upper(severity), metric=metric_type, host=host, score=decimals(score, 2))
 
 
 def label(name: Column) -> Column:

@@ -10,61 +10,25 @@ from ..functions.scalars import iso_time, lookup
 def route_notifications(
     alerts: DataFrame, sns: bool = True, slack: bool = True, sender: str = "Incident Desk"
 ) -> DataFrame:
-    """Channel, subject and payload per alert; the log channel is always on."""
+    """Channel, subject and payload per alert; the log channel is always on. The mail lists the fields below, one a
+    line; the chat card holds the same fields as a map."""
     severity = F.col("severity")
     emoji = lookup(severity, params.SEVERITY_EMOJI, params.DEFAULT_EMOJI)
     color = lookup(severity, params.SEVERITY_COLOR, params.DEFAULT_COLOR)
-    time = iso_time(F.col("timestamp"))
     title = F.concat(emoji, F.lit(" "), F.col("title"))
-    line = F.lit("=" * 50)
-
-    def field(name, value, short=True):
-        return F.struct(F.lit(name).alias("title"), value.alias("value"), F.lit(short).alias("short"))
-
-    mail = F.concat_ws(
-        "\n",
-        F.lit(""),
-        F.concat(emoji, F.lit(f" {sender.upper()} ALERT "), emoji),
-        line,
-        F.concat(F.lit("Title:      "), F.col("title")),
-        F.concat(F.lit("Severity:   "), F.upper(severity)),
-        F.concat(F.lit("Status:     "), F.col("status")),
-        F.concat(F.lit("Time:       "), time),
-        F.lit(""),
-        F.concat(F.lit("Host:       "), F.col("host")),
-        F.concat(F.lit("Service:    "), F.col("service")),
-        F.concat(F.lit("Metric:     "), F.col("metric_type")),
-        F.concat(F.lit("Alert ID:   "), F.col("alert_id")),
-        F.lit(""),
-        F.lit("Description:"),
-        F.col("description"),
-        F.lit(""),
-        line,
-        F.lit(f"This is an automated alert from {sender}."),
-        F.concat(F.lit("To acknowledge: POST /api/alerts/"), F.col("alert_id"), F.lit("/acknowledge")),
-        F.concat(F.lit("To resolve:     POST /api/alerts/"), F.col("alert_id"), F.lit("/resolve")),
-        F.lit(""),
-    )
-    card = F.struct(
-        color.alias("color"),
-        title.alias("title"),
-        F.col("description").alias("text"),
-        F.array(
-            field("Host", F.col("host")),
-            field("Metric", F.col("metric_type")),
-            field("Severity", F.upper(severity)),
-            field("Status", F.col("status")),
-            field("Time", time, short=False),
-        ).alias("fields"),
-        F.lit(sender).alias("footer"),
-        time.alias("ts"),
-    )
-    chat = F.to_json(
-        F.struct(F.lit(sender).alias("username"), F.lit(":warning:").alias("icon_emoji"), F.array(card).alias("attachments"))
-    )
-    audit = F.concat(
-        F.lit("ALERT ["), F.upper(severity), F.lit("] "), F.col("host"), F.lit("/"), F.col("metric_type"), F.lit(": "), F.col("title")
-    )
+    fields = {
+        "what": F.col("metric_type"),
+        "where": F.concat_ws(" / ", "service", "host"),
+        "level": severity,
+        "state": F.col("status"),
+        "since": iso_time(F.col("timestamp")),
+        "id": F.col("alert_id"),
+    }
+    listed = [F.concat(F.lit(f"{name} = "), F.coalesce(value, F.lit("?"))) for name, value in fields.items()]
+    mail = F.concat_ws("\n", F.col("description"), *listed, F.lit(f"({sender})"))
+    card = F.struct(color.alias("accent"), title.alias("headline"), F.col("description").alias("body"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("fields"))
+    chat = F.to_json(F.struct(F.lit(sender).alias("from"), card.alias("card")))
+    audit = F.concat_ws(" | ", severity, "host", "metric_type", "title")
 
     def channel(name, subject, payload):
         return F.struct(F.lit(name).alias("channel"), subject.alias("subject"), payload.alias("payload"))

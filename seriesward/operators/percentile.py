@@ -9,13 +9,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
+
 BINS = 2048
 
 
 def exact_percentile(df: DataFrame, value: str, q: float, by: tuple = ()) -> dict:
     """Percentile ``q`` of ``value`` per group; group keys are tuples. The number of groups must be
-    small by nature (metric types). Nulls are ignored."""
-    data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    small by nature (metric types). Missing, NaN and infinite values are ignored."""
+    data = df.select(*by, F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
     ranks, out = {}, {}
     for row in data.groupBy(*by).agg(F.count("*"), F.min("_v"), F.max("_v")).collect():
         group, (n, low, high) = tuple(row[: len(by)]), tuple(row[len(by) :])
@@ -36,7 +38,7 @@ def exact_percentile(df: DataFrame, value: str, q: float, by: tuple = ()) -> dic
 
 def value_at_rank(df: DataFrame, value: str, rank: int) -> float:
     """The value at a 0-based rank of the ascending column."""
-    data = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    data = df.select(F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
     low, high = data.agg(F.min("_v"), F.max("_v")).first()
     return _select(data, (), {(rank,): {"low": low, "high": high, "before": 0, "value": None}})[(rank,)]
 
@@ -66,6 +68,8 @@ def _select(data: DataFrame, by: tuple, ranks: dict) -> dict:
                         break
                     left -= b["n"]
                 r["before"] = key[-1] - left
+                if (b["low"], b["high"]) == (r["low"], r["high"]):
+                    raise ArithmeticError(f"the span {r['low']} to {r['high']} no longer narrows")
                 r["low"], r["high"] = b["low"], b["high"]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions.scalars import finite
 from ..session import materialise, rows_per_task
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
@@ -96,7 +97,10 @@ def arrange(
     order: tuple = params.ORDER,
     limit: int | None = None,
 ) -> SeriesFrame:
-    """Lay out ``df`` for windows of at most ``frame`` rows; adds ``_pos``, 1-based per series."""
+    """Lay out ``df`` for windows of at most ``frame`` rows; adds ``_pos``, 1-based per series. Rows whose ``value`` is
+    missing, NaN or infinite are no points of a series: they are left out, in streams too."""
+    if "value" in df.columns:
+        df = df.where(finite(F.col("value")))
     limit = max(rows_per_task(df.sparkSession, limit), 2 * frame)
     sizes = df.groupBy(*key).count().agg(F.sum("count"), F.max("count")).first()
     total, longest = sizes[0] or 0, sizes[1] or 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import params
-from ..functions.scalars import threshold
+from ..functions.scalars import finite, threshold
 from .series import SeriesFrame
 
 
@@ -135,7 +135,7 @@ def statistical_check(df: DataFrame, iqr_warmup: str = "zero") -> DataFrame:
         q3 = F.when(warm, F.col("mean") + F.col("std")).otherwise(q3)
     elif iqr_warmup != "zero":
         raise ValueError(f"unknown iqr_warmup: {iqr_warmup}")
-    ready = (F.col("count") >= params.MIN_POINTS) & (F.col("std") >= params.STD_FLOOR)
+    ready = finite(F.col("value")) & finite(F.col("std")) & (F.col("count") >= params.MIN_POINTS) & (F.col("std") >= params.STD_FLOOR)
     reach = 1.5 * (q3 - q1)
     z = F.abs(F.col("value") - F.col("mean")) / F.col("std")
     return (
@@ -153,7 +153,7 @@ def statistical_check(df: DataFrame, iqr_warmup: str = "zero") -> DataFrame:
             F.when(
                 ready,
                 F.greatest(
-                    F.least(F.lit(1.0), F.col("stat_z") / 5.0),
+                    F.when(F.col("stat_z").isNotNull(), F.least(F.lit(1.0), F.col("stat_z") / 5.0)),
                     F.when(F.col("iqr_flag"), 0.8).otherwise(0.0),
                     F.when(F.col("abs_flag"), 0.9).otherwise(0.0),
                 ),

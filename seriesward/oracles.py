@@ -79,6 +79,11 @@ SQL["d1_statistical_check_mean_std"] = f"""{BASE},{RUNNING},{QUARTILES},
 {check("CASE WHEN n < 100 THEN mean - std ELSE q1 END", "CASE WHEN n < 100 THEN mean + std ELSE q3 END")}
 SELECT metric_id, host, metric_type, stat_flag, iqr_flag, {near("stat_score", 4)} AS stat_score FROM c"""
 
+# Every seventh event lost its value in one way or another; such rows are no points of a series.
+SQL["d1_dirty_values"] = SQL["d1_statistical_check"].replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 7 <> 3)")
+SQL["s1_missing_fields"] = f"""{BASE} SELECT CASE WHEN metric_type IN ('cpu_usage', 'error_rate') THEN 'quarantine' ELSE metric_type END AS outcome,
+  count(*) AS n FROM m GROUP BY 1"""
+
 SQL["flagged_per_series"] = f"""{TO_CHECK}
 SELECT host, metric_type, count(*) AS points, CAST(sum(CASE WHEN stat_flag THEN 1 ELSE 0 END) AS BIGINT) AS flagged,
        {near("max(stat_score)", 4)} AS top_score
@@ -241,15 +246,16 @@ COLOR = _case("severity", {k: f"'{v}'" for k, v in params.SEVERITY_COLOR.items()
 ISO = "strftime(make_timestamp(created_at), '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
 SQL["l11_route_notifications"] = f"""{LIFE},
 n AS (SELECT *, {EMOJI} AS emoji, {COLOR} AS color, {ISO} AS iso FROM log WHERE action IN ('created', 'escalated'))
-SELECT alert_id, severity, host, 'sns' AS channel, left(emoji || ' ' || title, 100) AS subject, NULL AS payload FROM n
+SELECT alert_id, severity, host, 'sns' AS channel, left(emoji || ' ' || title, 100) AS subject,
+  concat_ws(chr(10), description, 'what = ' || metric_type, 'where = unknown / ' || host, 'level = ' || severity, 'state = ' || status,
+    'since = ' || iso, 'id = ' || alert_id, '(Incident Desk)') AS payload FROM n
 UNION ALL
-SELECT alert_id, severity, host, 'log', NULL, 'ALERT [' || upper(severity) || '] ' || host || '/' || metric_type || ': ' || title FROM n
+SELECT alert_id, severity, host, 'log', NULL, concat_ws(' | ', severity, host, metric_type, title) FROM n
 UNION ALL
 SELECT alert_id, severity, host, 'slack', NULL,
-  '{{"username":"Incident Desk","icon_emoji":":warning:","attachments":[{{"color":"' || color || '","title":"' || emoji || ' ' || title ||
-  '","text":"' || description || '","fields":[{{"title":"Host","value":"' || host || '","short":true}},{{"title":"Metric","value":"' || metric_type ||
-  '","short":true}},{{"title":"Severity","value":"' || upper(severity) || '","short":true}},{{"title":"Status","value":"' || status ||
-  '","short":true}},{{"title":"Time","value":"' || iso || '","short":false}}],"footer":"Incident Desk","ts":"' || iso || '"}}]}}' FROM n"""
+  '{{"from":"Incident Desk","card":{{"accent":"' || color || '","headline":"' || emoji || ' ' || title || '","body":"' || description ||
+  '","fields":{{"what":"' || metric_type || '","where":"unknown / ' || host || '","level":"' || severity || '","state":"' || status ||
+  '","since":"' || iso || '","id":"' || alert_id || '"}}}}}}' FROM n"""
 
 SQL["s2_anomaly_json"] = f"""{TO_ANOMALIES} SELECT anomaly_id, severity, at_us, {near("lower", 1)} AS lower, {near("upper", 1)} AS upper FROM a"""
 SQL["s3_alert_json"] = f"""{LIFE} SELECT alert_id, severity, status, title, created_at AS at_us, resolved FROM log WHERE {CHANGES}"""
@@ -390,16 +396,16 @@ SQL["a3_alert_status_counts"] = f"""{LIFE} SELECT status, count(*) AS n FROM
   (SELECT * FROM log WHERE {CHANGES} ORDER BY at_us DESC, alert_id DESC LIMIT 20) GROUP BY 1"""
 STATS = """
 pieces AS (
-  SELECT 'metrics_stream_length' AS name, least((SELECT count(*) FROM m), 100000) AS value
+  SELECT 'metrics_stream_length' AS name, (SELECT count(*) FROM m) AS value
   UNION ALL SELECT 'total_metric_series', (SELECT count(*) FROM (SELECT DISTINCT host, metric_type FROM m))
-  UNION ALL SELECT 'anomalies_stream_length', least((SELECT count(*) FROM a), 10000)
-  UNION ALL SELECT 'anomaly_history_count', least((SELECT count(*) FROM a), 10000)
-  UNION ALL SELECT 'alerts_stream_length', least((SELECT count(*) FROM log WHERE action IN ('created', 'escalated')), 10000)
-  UNION ALL SELECT 'alert_history_count', least((SELECT count(*) FROM log WHERE action IN ('created', 'escalated')), 10000))"""
+  UNION ALL SELECT 'anomalies_stream_length', (SELECT count(*) FROM a)
+  UNION ALL SELECT 'anomaly_history_count', (SELECT count(*) FROM a)
+  UNION ALL SELECT 'alerts_stream_length', (SELECT count(*) FROM log WHERE action IN ('created', 'escalated'))
+  UNION ALL SELECT 'alert_history_count', (SELECT count(*) FROM log WHERE action IN ('created', 'escalated')))"""
 SQL["a4_pipeline_stats"] = f"{LIFE},{STATS} SELECT name, value FROM pieces"
 SQL["a5_detector_stats"] = f"""{TO_CHECK} SELECT count(*) AS total_checked, count(*) FILTER (WHERE stat_flag) AS anomalies_detected,
   round(count(*) FILTER (WHERE stat_flag) / count(*), 4) AS anomaly_rate, count(DISTINCT host || ':' || metric_type) AS metric_series_tracked FROM c"""
-SQL["a5_buffer_sizes"] = f"""{BASE} SELECT host || ':' || metric_type AS key, least(count(*), 5000) AS size FROM m
+SQL["a5_buffer_sizes"] = f"""{BASE} SELECT host || ':' || metric_type AS key, count(*) AS size FROM m
   GROUP BY host, metric_type ORDER BY min(ts), host, metric_type LIMIT 10"""
 SQL["a6_alert_stats"] = f"""{LIFE_ACTED},{LATEST} SELECT count(*) FILTER (WHERE action = 'created') AS alerts_created_total,
   count(*) FILTER (WHERE action = 'suppressed') AS alerts_suppressed_total, (SELECT count(*) FROM active) AS active_alerts FROM log"""
@@ -439,7 +445,7 @@ SQL["t2_recent_anomalies"] = f"""{TO_ANOMALIES} SELECT anomaly_id, host, metric_
   {near("anomaly_score")} AS anomaly_score FROM ({RECENT_ANOMALIES} 50)"""
 SQL["t3_recent_alerts"] = f"{LIFE} SELECT alert_id, severity, action, title FROM ({RECENT_ALERTS} 50)"
 SQL["t3_latest_per_alert"] = f"{LIFE},{LATEST} SELECT alert_id, severity, action, status FROM latest"
-SQL["t4_cap_history"] = f"""{BASE} SELECT metric_id, host, metric_type, {near("value")} AS value FROM m ORDER BY ts DESC, metric_id LIMIT 777"""
+SQL["t4_cap_history"] = f"""{BASE} SELECT metric_id, host, metric_type, {near("value")} AS value FROM m ORDER BY ts DESC, metric_id DESC LIMIT 777"""
 SQL["t5_host_selector"] = f"{BASE} SELECT DISTINCT host FROM m ORDER BY host"
 SQL["t5_metric_selector"] = f"""{BASE} SELECT DISTINCT metric_type, upper(replace(metric_type, '_', ' ')) AS label FROM m WHERE host = 'host-2' ORDER BY 1"""
 SQL["t6_anomaly_timeline"] = f"""{TO_ANOMALIES} SELECT host, metric_type, at_us, {near("anomaly_score * 100", 3)} AS score_pct,

@@ -5,6 +5,13 @@ results are only comparable when these agree."""
 
 SEVERITIES = ("low", "medium", "high", "critical")
 
+# severity -> what it is raised to
+RAISED = {"low": "medium", "medium": "high", "high": "critical", "critical": "critical"}
+
+# texts of alerts
+TITLE = "[{severity}] {metric} anomaly on {host} (score: {score})"
+ESCALATED = "ESCALATED from {old} to {new}. {description}"
+
 METRIC_TYPES = (
     "cpu_usage",
     "memory_usage",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.scalars import label, lookup, series_key
-from ..operators.alerts import active_alerts
+from ..operators.alerts import ACTION_ORDER, active_alerts, step_order
 
 
 def series_catalog(metrics: DataFrame) -> DataFrame:
@@ -42,22 +42,20 @@ def alert_status_counts(alerts: DataFrame, newest: int = 20) -> DataFrame:
     return recent_alerts(alerts, newest).groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def pipeline_stats(metrics: DataFrame, anomalies: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Lengths of the capped logs and the number of series, as name and value."""
+def pipeline_stats(metrics: DataFrame, anomalies: DataFrame, alerts: DataFrame, cap: int | None = None) -> DataFrame:
+    """Lengths of the logs and the number of series, as name and value. ``cap`` bounds what is shown, for stores that
+    keep no more. Each input is counted once and its row then unfolded."""
+    shown = lambda n: F.coalesce(F.col(n), F.lit(0)) if cap is None else F.least(F.coalesce(F.col(n), F.lit(0)), F.lit(cap))
+
+    def unfolded(df, **values):
+        pairs = [F.struct(F.lit(name).alias("name"), value.cast("long").alias("value")) for name, value in values.items()]
+        return df.select(F.inline(F.array(*pairs)))
+
     series = metrics.groupBy(*params.KEY).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("s"))
-    capped = [
-        (series, "metrics_stream_length", F.least(F.coalesce("n", F.lit(0)), F.lit(params.METRIC_CAP))),
-        (series, "total_metric_series", F.col("s")),
-    ]
-    for name, df in (("anomaly", anomalies), ("alert", alerts)):
+    out = unfolded(series, metrics_stream_length=shown("n"), total_metric_series=F.col("s"))
+    for name, plural, df in (("anomaly", "anomalies", anomalies), ("alert", "alerts", alerts)):
         total = df.agg(F.count("*").alias("n"))
-        plural = "anomalies" if name == "anomaly" else "alerts"
-        value = F.least("n", F.lit(params.HISTORY_CAP))
-        capped += [(total, f"{plural}_stream_length", value), (total, f"{name}_history_count", value)]
-    out = None
-    for df, name, value in capped:
-        one = df.select(F.lit(name).alias("name"), value.cast("long").alias("value"))
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(unfolded(total, **{f"{plural}_stream_length": shown("n"), f"{name}_history_count": shown("n")}))
     return out
 
 
@@ -74,27 +72,30 @@ def detector_stats(scored: DataFrame) -> DataFrame:
     )
 
 
-def buffer_sizes(metrics: DataFrame, series: int = 10) -> DataFrame:
-    """Rows held per series, for the series that appeared first."""
-    return (
-        metrics.groupBy(*params.KEY)
-        .agg(F.count("*").alias("n"), F.min("timestamp").alias("first"))
-        .orderBy("first", *params.KEY)
-        .limit(series)
-        .select(series_key().alias("key"), F.least("n", F.lit(params.BUFFER_ROWS)).alias("size"))
-    )
+def buffer_sizes(metrics: DataFrame, series: int | None = 10, cap: int | None = None) -> DataFrame:
+    """Rows per series, for the ``series`` that appeared first (None: all); ``cap`` bounds what is shown."""
+    rows = metrics.groupBy(*params.KEY).agg(F.count("*").alias("n"), F.min("timestamp").alias("first"))
+    if series is not None:
+        rows = rows.orderBy("first", *params.KEY).limit(series)
+    return rows.select(series_key().alias("key"), (F.col("n") if cap is None else F.least("n", F.lit(cap))).alias("size"))
 
 
 def alert_stats(log: DataFrame) -> DataFrame:
     """Active, created and suppressed alerts of a lifecycle log."""
-    active = active_alerts(log)
-    counts = log.agg(
-        F.coalesce(F.sum((F.col("action") == "created").cast("long")), F.lit(0)).alias("alerts_created_total"),
-        F.coalesce(F.sum((F.col("action") == "suppressed").cast("long")), F.lit(0)).alias("alerts_suppressed_total"),
+    counted = ("created", "suppressed")
+    newest = F.struct("timestamp", *step_order())
+    # One aggregate per series, combined before the shuffle, then one over the series.
+    changes = F.col("action").isin(*ACTION_ORDER)
+    series = log.groupBy(*params.KEY).agg(
+        *(F.sum((F.col("action") == a).cast("long")).alias(a) for a in counted),
+        F.max_by(F.when(changes, F.col("status")), F.when(changes, newest)).alias("status"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return series.agg(
+        total("created").alias("alerts_created_total"),
+        total("suppressed").alias("alerts_suppressed_total"),
+        total((F.col("status").isNotNull() & (F.col("status") != "resolved")).cast("long")).alias("active_alerts"),
     )
-    one = F.lit(1).alias("_one")
-    live = active.agg(F.count("*").alias("active_alerts")).select(one, "*")
-    return counts.select(one, "*").join(live, "_one").drop("_one")
 
 
 def active_alert_details(log: DataFrame) -> DataFrame:

@@ -9,17 +9,25 @@ from .. import schema as S
 CORRUPT = "_corrupt_record"
 
 
-def _parse(df: DataFrame, column: str, schema: T.StructType):
-    """Parsed rows and quarantined texts. A text that is not JSON of the schema, or that has an
-    unknown field, goes to quarantine."""
+#: Fields without which a record is none.
+METRIC_NEEDS = ("metric_type", "value")
+ANOMALY_NEEDS = ("metric_type", "value", "expected_range", "anomaly_score", "severity")
+ALERT_NEEDS = ("anomaly_id", "severity", "title", "description", "metric_type")
+
+
+def _parse(df: DataFrame, column: str, schema: T.StructType, needs: tuple):
+    """Parsed rows and quarantined texts. A text that is not JSON of the schema, that has an unknown field or lacks a
+    needed one, goes to quarantine. A record without a time gets the time of the query."""
     read = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     parsed = df.withColumn(
         "_r", F.from_json(column, read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     ).withColumn("_unknown", F.size(F.array_except(F.coalesce(F.json_object_keys(column), F.array()), known)) > 0)
     bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull() | F.col("_unknown")
+    for name in needs:
+        bad = bad | F.col(f"_r.{name}").isNull()
     good = parsed.where(~bad).select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
-    return good, parsed.where(bad).select(column)
+    return good.withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp())), parsed.where(bad).select(column)
 
 
 def _or_unknown(df: DataFrame, *names: str) -> DataFrame:
@@ -28,7 +36,7 @@ def _or_unknown(df: DataFrame, *names: str) -> DataFrame:
 
 def metric_from_json(df: DataFrame, column: str = "json"):
     """Metric rows and quarantine; the identifier is derived when the record has none."""
-    good, bad = _parse(df, column, S.METRIC)
+    good, bad = _parse(df, column, S.METRIC, METRIC_NEEDS)
     good = _or_unknown(good, "host", "service")
     made = F.sha2(F.concat_ws("|", "host", "metric_type", F.col("timestamp").cast("string"), F.col("value").cast("string")), 256)
     return good.withColumn("metric_id", F.coalesce("metric_id", made)), bad
@@ -43,7 +51,7 @@ def anomaly_from_json(df: DataFrame, column: str = "json"):
     wire = T.StructType(
         [T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == "expected_range" else f.dataType) for f in S.ANOMALY.fields]
     )
-    good, bad = _parse(df, column, wire)
+    good, bad = _parse(df, column, wire, ANOMALY_NEEDS)
     good = good.withColumn("expected_range", range_from_list(F.col("expected_range")))
     return _or_unknown(good, "host", "service", "model_used"), bad
 
@@ -62,7 +70,7 @@ def anomaly_to_json() -> Column:
 
 
 def alert_from_json(df: DataFrame, column: str = "json"):
-    good, bad = _parse(df, column, S.ALERT)
+    good, bad = _parse(df, column, S.ALERT, ALERT_NEEDS)
     good = _or_unknown(good, "host", "service")
     return good.withColumn("status", F.coalesce("status", F.lit("firing"))), bad
 

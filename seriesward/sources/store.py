@@ -119,7 +119,7 @@ def cap_history(df: DataFrame, keep: int = params.HISTORY_CAP, time: str = "time
         return df
     cut = int(value_at_rank(df.select(at.cast("double").alias("v")), "v", total - keep))
     newer = df.where(at > cut)
-    ties = df.where(at == cut).orderBy(tie).limit(keep - newer.count())
+    ties = df.where(at == cut).orderBy(F.col(tie).desc()).limit(keep - newer.count())
     return newer.unionByName(ties)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from .. import params
+from ..functions.scalars import finite
 from ..operators.ensemble import anomalies_of, score_rows, with_vectors
 from . import blocks
 
@@ -109,6 +110,7 @@ def score_stream(stream: DataFrame, forest=None, sequence=None, iqr_warmup: str
     use_rocksdb(stream.sparkSession)
     if delay is not None:
         stream = stream.withWatermark("timestamp", delay)
+    stream = stream.where(finite(F.col("value")))
     rows = stream.select("host", "metric_type", "metric_id", "value", F.unix_micros("timestamp").alias("at"), "service", "timestamp")
     stated = rows.groupBy(*params.KEY).transformWithStateInPandas(
         statefulProcessor=SeriesState(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"

@@ -20,17 +20,24 @@ def downsample_stream(stream: DataFrame, period: int = 300, delay: str = "10 min
     )
 
 
-def health_stream(spark, query, service: str, stats: dict | None = None) -> DataFrame:
-    """Health rows of a streaming query, one per progress report it still keeps, with its counters
-    and the service's own statistics as details."""
-    rows, total, begin = [], 0, None
+def health_stream(spark, query, service: str, stats: dict | None = None, before: dict | None = None) -> DataFrame:
+    """Health rows of a streaming query, one per progress report since ``before``, with its counters and the service's
+    own statistics as details. A query keeps its last reports only (``spark.sql.streaming.numRecentProgressUpdates``);
+    a service that outlives them calls this in between and passes ``totals`` of the rows so far. Lost reports raise."""
+    before = before or {"batch": -1, "rows_processed": 0, "begin": None}
+    rows, total, begin, last = [], before["rows_processed"], before["begin"], before["batch"]
     for progress in query.recentProgress:
+        batch = progress["batchId"]
+        if batch < last or batch == last and before["batch"] == last:
+            continue
+        if batch > last + 1:
+            raise ValueError(f"the reports of batches {last + 1} to {batch - 1} are gone; pass the totals before them")
         at = pd.Timestamp(progress["timestamp"]).tz_localize(None)
-        begin = begin if begin is not None else at
+        begin, last = (begin if begin is not None else at), batch
         total += progress["numInputRows"]
         states = progress["stateOperators"]
         details = {
-            "batch": progress["batchId"],
+            "batch": batch,
             "rows_processed": total,
             "rows_dropped_late": sum(s["numRowsDroppedByWatermark"] for s in states),
             "rows_in_state": sum(s["numRowsTotal"] for s in states),
@@ -41,6 +48,15 @@ def health_stream(spark, query, service: str, stats: dict | None = None) -> Data
     return spark.createDataFrame(rows, HEALTH)
 
 
+def totals(health: DataFrame, before: dict | None = None) -> dict:
+    """What ``health_stream`` needs to go on after these rows."""
+    rows = health.selectExpr("cast(details['batch'] as long) as batch", "cast(details['rows_processed'] as long) as rows", "last_check", "uptime_seconds").collect()
+    if not rows:
+        return before or {"batch": -1, "rows_processed": 0, "begin": None}
+    last = max(rows, key=lambda r: (r.batch, r.rows))
+    return {"batch": last.batch, "rows_processed": last.rows, "begin": pd.Timestamp(last.last_check) - pd.Timedelta(seconds=last.uptime_seconds)}
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str):
     """Process everything a stream has now into parquet; returns the finished query."""
     query = (

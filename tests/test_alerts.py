@@ -141,8 +141,9 @@ def one_by_one(rows, actions, stale=30):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [None, 5])
-def test_random_lives(lifecycle, spark, limit):
+@pytest.mark.parametrize("limit", [None, 3, 5])
+@pytest.mark.parametrize("stale", [1, 5, 30])
+def test_random_lives(lifecycle, spark, stale, limit):
     """Dense and sparse series with actions, whole and in slices, against the plain simulation."""
     rng = random.Random(11)
     rows, actions, want = [], [], []
@@ -156,8 +157,8 @@ def test_random_lives(lifecycle, spark, limit):
                 acted.append((key, rng.choice(["acknowledge", "resolve"] if s > 5 else ["acknowledge"]), minute + rng.choice([0.5, 6, 20])))
         rows += [anomaly(i, m, sev, host) for i, m, sev in mine]
         actions += [(f"a{i:05d}", what, "ops", m) for i, what, m in acted]
-        want += one_by_one(mine, acted)
-    log = lifecycle(rows, actions, limit=limit)
+        want += one_by_one(mine, acted, stale)
+    log = lifecycle(rows, actions, limit=limit, stale=stale)
     got = [(r["action"], r["anomaly_id"] and int(r["anomaly_id"][1:]), r["severity"], r["anomaly_count"]) for r in log]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
@@ -184,7 +185,7 @@ def test_notifications(spark, lifecycle):
     rows = {r["channel"]: r for r in route_notifications(alerts).collect()}
     assert set(rows) == {"sns", "slack", "log"}
     assert len(rows["sns"]["subject"]) == 100 and rows["sns"]["subject"].startswith("🔴 [HIGH] cpu_usage")
-    assert "Severity:   HIGH" in rows["sns"]["payload"] and "Test anomaly description" in rows["sns"]["payload"]
-    card = spark.range(1).select(F.get_json_object(F.lit(rows["slack"]["payload"]), "$.attachments[0].color").alias("c")).first()["c"]
+    assert "level = high" in rows["sns"]["payload"] and "Test anomaly description" in rows["sns"]["payload"]
+    card = spark.range(1).select(F.get_json_object(F.lit(rows["slack"]["payload"]), "$.card.accent").alias("c")).first()["c"]
     assert card == "#F44336"
     assert [r["channel"] for r in route_notifications(alerts, sns=False, slack=False).collect()] == ["log"]
