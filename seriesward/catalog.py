@@ -725,6 +725,18 @@ def isolation_forest_fit(spark, sf_dir):
     )
 
 
+@query("d2_forest_bounds")
+def forest_bounds(spark, sf_dir):
+    """What holds for every tree whatever its random splits: its rows, one leaf more than splits, a bounded depth."""
+    forest = tr.train_forest(co.load_metrics(spark, sf_dir))
+    leaf = F.col("feature") < 0
+    return spark.createDataFrame(forest.nodes, fo.NODES).groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("size")).otherwise(0)).alias("rows"),
+        (F.count(F.when(leaf, 1)) - F.count(F.when(~leaf, 1))).alias("more_leaves"),
+        (F.max("depth") <= 8).alias("depth_bounded"),
+    )
+
+
 @query("d3_isolation_forest_predict")
 def isolation_forest_predict(spark, sf_dir):
     rows = fo.isolation_forest_predict(tr.forest_training_rows(co.load_metrics(spark, sf_dir)), _train(spark, sf_dir)[0])
@@ -746,6 +758,18 @@ def sequence_fit(spark, sf_dir):
     return rp.training_report(spark, model.stats)
 
 
+@query("d5_sequence_counts")
+def sequence_counts(spark, sf_dir):
+    """What each fit was made of, with the normalisation of its type."""
+    model = sq.sequence_fit(co.load_metrics(spark, sf_dir))
+    rows = []
+    for kind, stats in model.stats.items():
+        own = model.types.get(kind)
+        rows.append((kind, stats["status"], stats["samples"], stats.get("sequences"), own and float(own["mean"]), own and float(own["std"])))
+    rows = spark.createDataFrame(rows, "metric_type string, status string, samples long, sequences long, mean double, std double")
+    return rows.select("metric_type", "status", "samples", "sequences", *_r("mean", "std"))
+
+
 @query("d6_sequence_predict")
 def sequence_predict(spark, sf_dir):
     sf = ft.sequences(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30))
@@ -785,6 +809,14 @@ def train_all(spark, sf_dir):
     return rp.training_report(spark, _train(spark, sf_dir)[2])
 
 
+@query("d12_training_status")
+def training_status(spark, sf_dir):
+    """The exact part of the training report: status, samples and share flagged of the forest, status per type."""
+    results = _train(spark, sf_dir)[2]
+    rows = [(model, stats["status"], stats["samples"]) for model, stats in results.items()]
+    return spark.createDataFrame(rows, "model string, status string, samples long")
+
+
 @query("a8_exact_percentile")
 def percentile(spark, sf_dir):
     """The percentile that sets thresholds, per metric type."""

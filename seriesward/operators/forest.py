@@ -22,7 +22,6 @@ from .percentile import exact_percentile
 
 NODES = "tree int, node int, feature int, split double, left int, right int, depth int, size long"
 EULER = 0.5772156649015329
-SPARE = 1.5  # rows per wanted sample from which bags may be disjoint
 
 
 def average_path(n):
@@ -95,22 +94,14 @@ def standard_scale(df: DataFrame, features) -> DataFrame:
 
 
 def deal_to_trees(df: DataFrame, identity, rows: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows for every tree, chosen by hash. Large inputs are thinned first, with one hash
-    per row, into disjoint bags; small ones are drawn per tree, so that bags may overlap."""
-    ident = [F.col(c).cast("string") for c in identity]
-    unit = 2.0**63
-    if rows > SPARE * trees * sample:
-        share = min(1.0, 2.0 * trees * sample / rows)
-        dealt = df.where(F.abs(F.xxhash64(F.lit(seed), *ident)) < share * unit).withColumn(
-            "tree", F.pmod(F.xxhash64(F.lit(seed + 1), *ident), F.lit(trees)).cast("int")
-        )
-    else:
-        share = min(1.0, 2.0 * sample / rows)
-        dealt = (
-            df.withColumn("_row", F.xxhash64(F.lit(seed), *ident))
-            .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .where(F.abs(F.xxhash64("tree", "_row")) < share * unit)
-        )
+    """``sample`` rows for every tree, chosen by hash, the same way at every size: one hash per row thins the rows to
+    those that some tree may want, and these look up their trees; about twice ``sample`` rows a tree are then ranked."""
+    ident, unit = [F.col(c).cast("string") for c in identity], 2.0**63
+    share = min(1.0, 2.0 * sample / max(rows, 1))
+    some = min(1.0, share * trees)
+    row = F.xxhash64(F.lit(seed), *ident)
+    wants = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.abs(F.xxhash64(t, "_row")) < share / some * unit)
+    dealt = df.withColumn("_row", row).where(F.abs("_row") < some * unit).withColumn("tree", F.explode(wants))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", *ident)))
     return dealt.withColumn("_rank", rank).where(F.col("_rank") <= sample)
 

@@ -496,3 +496,22 @@ SQL["x3_dedup_metrics"] = f"{BASE} SELECT host, metric_type, count(*) AS n, coun
 SQL["x5_downsample_stream"] = f"""{BASE} {DOWN} WHERE epoch_us(ts) - epoch_us(ts) % 300000000 + 300000000 <= (SELECT max(epoch_us(ts)) FROM m)
   GROUP BY host, metric_type, 3"""
 SQL["x6_health_stream"] = "SELECT 'downsampler' AS service_name, 'healthy' AS status, count(*) AS rows_processed FROM events"
+
+# ---- what holds for fitted models whatever their random choices ---------------
+
+SIZES = """,
+sizes AS (SELECT host, metric_type, count(*) AS n FROM m GROUP BY ALL),
+vectors AS (SELECT coalesce(sum(greatest(n - 29, 0)), 0)::bigint AS n FROM sizes)"""
+KINDS = ", ".join(f"('{kind}')" for kind in params.METRIC_TYPES)
+PER_KIND = f"""{SIZES},
+kinds AS (
+  SELECT k.kind AS metric_type, coalesce((SELECT count(*) FROM m WHERE metric_type = k.kind), 0)::bigint AS samples,
+    (SELECT sum(CASE WHEN n > 30 THEN n - 29 ELSE 0 END)::bigint FROM sizes WHERE metric_type = k.kind) AS sequences,
+    (SELECT avg(value) FROM m WHERE metric_type = k.kind) AS mean, (SELECT stddev_pop(value) FROM m WHERE metric_type = k.kind) + 1e-8 AS std
+  FROM (VALUES {KINDS}) AS k(kind))"""
+SQL["d2_forest_bounds"] = f"""{BASE}{SIZES} SELECT t::int AS tree, least(256, n)::bigint AS "rows", 1::bigint AS more_leaves, true AS depth_bounded
+  FROM vectors, range(200) AS r(t) WHERE n >= 50"""
+SQL["d5_sequence_counts"] = f"""{BASE}{PER_KIND} SELECT metric_type, 'trained' AS status, samples, sequences, {near("mean")} AS mean, {near("std")} AS std
+  FROM kinds WHERE samples >= 80 UNION ALL SELECT metric_type, 'insufficient_data', samples, NULL, NULL, NULL FROM kinds WHERE samples < 80"""
+SQL["d12_training_status"] = f"""{BASE}{PER_KIND} SELECT 'isolation_forest' AS model, 'trained' AS status, n AS samples FROM vectors
+  UNION ALL SELECT 'lstm_' || metric_type, CASE WHEN samples >= 80 THEN 'trained' ELSE 'insufficient_data' END, samples FROM kinds"""

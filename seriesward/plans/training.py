@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions.scalars import finite
 from ..operators.features import extract_features
 from ..operators.forest import ForestModel, isolation_forest_fit
 from ..operators.sequence import sequence_fit
@@ -20,7 +21,7 @@ def forest_training_rows(metrics: DataFrame, limit: int | None = None) -> DataFr
 def train_forest(metrics: DataFrame, limit: int | None = None, **options) -> ForestModel | dict:
     """Fit on the feature vectors. Their number follows from the series lengths, a scan without the
     windows."""
-    per_series = metrics.groupBy(*params.KEY).count()
+    per_series = metrics.where(finite(F.col("value"))).groupBy(*params.KEY).count()
     vectors = F.greatest(F.col("count") - (params.MIN_POINTS - 1), F.lit(0))
     rows = per_series.agg(F.sum(vectors)).first()[0] or 0
     return isolation_forest_fit(
