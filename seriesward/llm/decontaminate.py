@@ -161,15 +161,15 @@ def _shingle_counts(docs: DataFrame, items: list, window: int, shingle: int, key
     return counts
 
 
-def _step(docs: DataFrame, items: list, counts: dict, window: int, shingle: int, key: str, column: str, drop: list[str], final: bool) -> DataFrame:
+def _step(docs: DataFrame, items: list, counts: dict, window: int, shingle: int, key: str, column: str, extra: str, final: bool) -> DataFrame:
     kind = T._parse_datatype_string(HITS if final else _FOUND)
-    fields = [f for f in docs.schema.fields if f.name != column and not (final and f.name in drop)]
+    fields = [f for f in docs.schema.fields if f.name != column and not (final and f.name == extra)]
     schema = T.StructType([*fields, T.StructField(column, kind)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(key, items, window, shingle, counts)
-        for batch in tx.slices(batches, "_text"):
-            ids, at = index.ids(batch.column("_text"))
+        for batch in tx.slices(batches, extra):
+            ids, at = index.ids(batch.column(extra))
             starts, windows = map(np.concatenate, zip(*[(np.empty(0, np.int64),) * 2, *index.occurrences(ids, at)]))
             text = np.searchsorted(at, starts, side="right") - 1
             begins, ends, found = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
@@ -199,17 +199,19 @@ def _step(docs: DataFrame, items: list, counts: dict, window: int, shingle: int,
 
 def hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits", window: int = WINDOW, shingle: int = SHINGLE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """``docs`` with the struct ``column``: n_words, n_hit (words inside any occurrence of a window), n_items and
-    items_sha256 (of the sorted ids of items with occurring windows, comma-joined)."""
+    items_sha256 (of the sorted ids of items with occurring windows, comma-joined). A column of that name is replaced."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_chars))
-    docs = docs.withColumn("_text", F.col("text").cast("string")).withColumn(column, F.expr(_EMPTY).cast(_FOUND))
+    docs, text = docs.drop(column), docs["text"].cast("string")
+    extra = tx.spare(docs, "_text")
+    docs = docs.withColumn(extra, text).withColumn(column, F.expr(_EMPTY).cast(_FOUND))
     for k in range(slices):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
         own = [(r.item_id, r.text) for r in own]
         key = hashlib.sha256(repr((own, window, shingle)).encode()).hexdigest()
-        counts = _shingle_counts(docs, own, window, shingle, key)
-        docs = _step(docs, own, counts, window, shingle, f"{key}-chosen", column, ["_text"], k == slices - 1)
+        counts = _shingle_counts(docs.select(F.col(extra).alias("text")), own, window, shingle, key)
+        docs = _step(docs, own, counts, window, shingle, f"{key}-chosen", column, extra, k == slices - 1)
         if k < slices - 1:
             docs = materialise(docs)
     return docs
@@ -217,4 +219,5 @@ def hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits", window: in
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without an occurrence of any window; all columns stay."""
-    return hits(docs, benchmark, "_hits", **options).where("_hits.n_hit = 0").drop("_hits")
+    name = tx.spare(docs, "_hits")
+    return hits(docs, benchmark, name, **options).where(F.col(name)["n_hit"] == 0).drop(name)

@@ -124,11 +124,13 @@ def curve(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[flo
     return float(beta[0] / spread), float(beta[1] - beta[0] * margins.mean() / spread)
 
 
-def scored(docs: DataFrame, score: Callable, column: str, extra: str) -> DataFrame:
-    """``docs`` with a double column; ``score(texts)`` works on Arrow strings. ``extra`` is a spare name."""
+def scored(docs: DataFrame, score: Callable, column: str) -> DataFrame:
+    """``docs`` with a double column; ``score(texts)`` works on Arrow strings. A column of that name is replaced."""
     from pyspark.sql import types as T
 
-    rows = docs.withColumn(extra, docs["text"].cast("string"))
+    docs, text = docs.drop(column), docs["text"].cast("string")
+    extra = tx.spare(docs, "_text")
+    rows = docs.withColumn(extra, text)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

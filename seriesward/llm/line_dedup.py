@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from . import text as tx
 
 MIN_WORDS = 50
 DOC = ["d", "t"]  # the document: its id and a hash of its text
@@ -115,22 +116,25 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS, deleted: str = "_deleted") -> DataFrame:
-    """``docs`` with the later copies cut out of ``text``, and the number of lines deleted in column ``deleted``."""
-    cut = later_copies(docs, min_words).groupBy(F.col("d").alias("_cut_d"), F.col("t").alias("_cut_t"))
-    cut = materialise(cut.agg(F.sort_array(F.collect_set("i")).alias("_cut")))
+    """``docs`` with the later copies cut out of ``text``, and the number of lines deleted in column ``deleted``, which
+    replaces one of that name."""
+    cut_d, cut_t, cut_, cut_lines = (tx.spare(docs, name) for name in ("_cut_d", "_cut_t", "_cut", "_cut_lines"))
+    cut = later_copies(docs, min_words).groupBy(F.col("d").alias(cut_d), F.col("t").alias(cut_t))
+    cut = materialise(cut.agg(F.sort_array(F.collect_set("i")).alias(cut_)))
     d, t = _key(docs)
-    out = docs.join(cut, d.eqNullSafe(F.col("_cut_d")) & (t == F.col("_cut_t")), "left")
+    out = docs.join(cut, d.eqNullSafe(F.col(cut_d)) & (t == F.col(cut_t)), "left")
     # Split once per row: the generator keeps the lines out of the lambda below.
-    split = F.when(F.col("_cut").isNotNull(), F.split(docs["text"].cast("string"), "\n", -1))
-    out = out.select(*(docs[c] for c in docs.columns), "_cut", F.explode(F.array(split)).alias("_cut_lines"))
-    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), "_cut").alias("a"), F.concat("_cut", F.array(F.size("_cut_lines"))).alias("b"))
-    stay = F.flatten(F.transform(ends, lambda z: F.slice("_cut_lines", z["a"] + 2, z["b"] - z["a"] - 1)))
-    text = F.when(F.col("_cut").isNull(), F.col("text").cast("string")).otherwise(F.array_join(stay, "\n"))
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*kept, F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long").alias(deleted))
+    split = F.when(F.col(cut_).isNotNull(), F.split(docs["text"].cast("string"), "\n", -1))
+    out = out.select(*(docs[c] for c in docs.columns), cut_, F.explode(F.array(split)).alias(cut_lines))
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), cut_).alias("a"), F.concat(cut_, F.array(F.size(cut_lines))).alias("b"))
+    stay = F.flatten(F.transform(ends, lambda z: F.slice(cut_lines, z["a"] + 2, z["b"] - z["a"] - 1)))
+    text = F.when(F.col(cut_).isNull(), F.col("text").cast("string")).otherwise(F.array_join(stay, "\n"))
+    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() != deleted.lower()]
+    return out.select(*kept, F.when(F.col(cut_).isNull(), 0).otherwise(F.size(cut_)).cast("long").alias(deleted))
 
 
 def line_deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """As above; documents that lose all their lines go too."""
-    out = without_later_copies(docs, min_words, "_deleted")
-    return out.where("_deleted = 0 or length(trim(replace(text, '\\n', ' '))) > 0").drop("_deleted")
+    name = tx.spare(docs, "_deleted")
+    out = without_later_copies(docs, min_words, name)
+    return out.where((F.col(name) == 0) | (F.length(F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))) > 0)).drop(name)

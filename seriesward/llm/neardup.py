@@ -204,5 +204,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but for all documents of a component other than its first; all columns stay."""
-    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    name = tx.spare(docs, "_gone")
+    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -130,9 +130,10 @@ def score(docs: DataFrame, model: dict[int, float], column: str = "score") -> Da
         weights[numbers] = values
         return 1 / (1 + np.exp(-np.clip(slope * (lb.sums(*features(texts), weights) + bias) + shift, -500, 500)))
 
-    return lb.scored(docs, run, column, "_scored_text")
+    return lb.scored(docs, run, column)
 
 
 def kept(docs: DataFrame, model: dict[int, float], least: float = KEEP) -> DataFrame:
     """The rows that score ``least`` or more."""
-    return score(docs, model, "_quality").where(F.col("_quality") >= least).drop("_quality")
+    name = tx.spare(docs, "_quality")
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)

@@ -17,6 +17,14 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
 
+def spare(df, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``limit`` bytes of ``column``; a longer row stands alone."""
     for batch in batches:

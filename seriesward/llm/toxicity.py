@@ -86,4 +86,4 @@ def score(docs: DataFrame, model: dict[int, float], column: str = "score") -> Da
         weights[numbers] = values
         return 1 / (1 + np.exp(-np.clip(slope * (lb.sums(*features(texts), weights) + bias) + shift, -500, 500)))
 
-    return lb.scored(docs, run, column, "_scored_text")
+    return lb.scored(docs, run, column)

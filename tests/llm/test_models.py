@@ -31,11 +31,11 @@ def test_held_out_accuracy(spark, model, label, least, accuracy):
 
 @pytest.mark.parametrize("model", [toxicity, quality])
 def test_odd_rows(spark, model):
-    docs = spark.createDataFrame([(1, None, 3.0), (None, "", 1.0), (2, "word " * 30_000, 0.0), (2, "word " * 30_000, 0.0)], "doc_id long, text string, weight double")
+    docs = spark.createDataFrame([(1, None, 3.0), (None, "", 1.0), (2, "word " * 30_000, 0.0), (2, "word " * 30_000, 0.0)], "doc_id long, text string, _text double")
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = model.score(docs, model.train(docs, empty, "toxic")).collect()
     assert [r.score for r in out] == [0.5] * 4
-    assert model.score(docs, {model.BIAS: 1.0, model.SLOPE: 1.0}).columns == ["doc_id", "text", "weight", "score"]
+    assert model.score(docs, {model.BIAS: 1.0, model.SLOPE: 1.0}).columns == ["doc_id", "text", "_text", "score"]
     assert model.score(docs.where("false"), {}).count() == 0
 
 

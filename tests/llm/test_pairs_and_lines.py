@@ -146,6 +146,7 @@ def test_decontamination(spark, slice_chars):
     assert sorted(str(tuple(r)) for r in got) == brute_hits(items, docs)
     assert decontaminate.hits(table.where("false"), benchmark).count() == 0
     assert decontaminate.hits(table, benchmark.where("false")).where("hits.n_hit > 0").count() == 0
+    table = table.withColumn("_hits", F.lit(1)).withColumn("_text", F.lit(2))
     clean = decontaminate.decontaminated(table, benchmark)
     assert clean.columns == table.columns
     assert clean.count() == sum(", 0, 0, '" in x for x in brute_hits(items, docs))
@@ -197,7 +198,7 @@ def test_line_dedup(spark, seed, least):
 
 def test_line_dedup_drops_documents_left_without_lines(spark):
     text = "\n".join(f"line {k} of a passage with some words" for k in range(10))
-    table = _docs(spark, [(1, text), (2, text), (3, ""), (4, None), (5, "own line\n" + text)]).withColumnRenamed("_deleted", "d")
+    table = _docs(spark, [(1, text), (2, text), (3, ""), (4, None), (5, "own line\n" + text)])
     out = {r.doc_id: r.text for r in line_dedup.line_deduplicated(table).collect()}
     assert out == {1: text, 3: "", 4: None, 5: "own line"}
     assert line_dedup.line_deduplicated(table.where("false")).count() == 0
