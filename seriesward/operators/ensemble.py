@@ -64,10 +64,11 @@ def score_metrics(
     limit: int | None = None,
 ) -> DataFrame:
     """Every metric row with statistics, the three checks and the vote."""
-    sf = running_stats(arrange(metrics.select(*METRIC_COLUMNS), limit=limit))
+    # Quartiles first, while rows are narrow: their groups go through Python as a whole.
+    sf = recent_quartiles(running_stats(arrange(metrics.select(*METRIC_COLUMNS), limit=limit)))
     if forest is not None or sequence is not None:
         sf = sf.with_df(with_vectors(rolling(sf).df, forest, sequence))
-    return score_rows(recent_quartiles(sf).rows(), forest, sequence, iqr_warmup)
+    return score_rows(sf.rows(), forest, sequence, iqr_warmup)
 
 
 METRIC_COLUMNS = ("metric_id", "metric_type", "value", "timestamp", "host", "service")

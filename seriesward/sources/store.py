@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..operators.forest import NODES, ForestModel
 from ..operators.percentile import value_at_rank
 from ..operators.sequence import SequenceModel
-from ..operators.series import arrange
 
 
 def _day(ts: str = "timestamp"):
@@ -89,25 +88,23 @@ def training_history(metrics: DataFrame, hours: int = params.RETENTION_HOURS, no
     return rows.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def newest_per_series(metrics: DataFrame, keep: int, limit: int | None = None) -> DataFrame:
-    """The newest ``keep`` rows of every series."""
-    sizes = metrics.groupBy(*params.KEY).agg(F.count("*").alias("_size"))
-    placed = arrange(metrics, frame=1, limit=limit).rows(keep_position=True)
-    return (
-        placed.join(sizes, list(params.KEY))
-        .where(F.col("_pos") > F.col("_size") - keep)
-        .drop("_pos", "_size")
-    )
+def newest_per_series(metrics: DataFrame, keep: int) -> DataFrame:
+    """The newest ``keep`` rows of every series. Spark drops rows beyond each task's own ``keep`` before the exchange, so
+    a hot series sends no more than that from each task; its optimizer does so up to a threshold, raised here."""
+    conf, name = metrics.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf.set(name, str(max(keep, int(conf.get(name, "1000")))))
+    newest = F.row_number().over(Window.partitionBy(*params.KEY).orderBy(*(F.col(c).desc() for c in params.ORDER)))
+    return metrics.withColumn("_newest", newest).where(F.col("_newest") <= keep).drop("_newest")
 
 
 def retention_trim(
-    metrics: DataFrame, hours: int = params.RETENTION_HOURS, interval: int = params.INTERVAL_SECONDS, limit: int | None = None
+    metrics: DataFrame, hours: int = params.RETENTION_HOURS, interval: int = params.INTERVAL_SECONDS
 ) -> DataFrame:
-    return newest_per_series(metrics, hours * 3600 // max(interval, 1), limit)
+    return newest_per_series(metrics, hours * 3600 // max(interval, 1))
 
 
-def buffer_cap(metrics: DataFrame, rows: int = params.BUFFER_ROWS, limit: int | None = None) -> DataFrame:
-    return newest_per_series(metrics, rows, limit)
+def buffer_cap(metrics: DataFrame, rows: int = params.BUFFER_ROWS) -> DataFrame:
+    return newest_per_series(metrics, rows)
 
 
 def cap_history(df: DataFrame, keep: int = params.HISTORY_CAP, time: str = "timestamp", tie: str = "anomaly_id") -> DataFrame:

@@ -26,6 +26,14 @@ def test_metric_json(spark):
     assert len(rows) == 2 and bad.count() == 3
 
 
+def test_records_need_their_fields(spark):
+    good, bad = records.metric_from_json(texts(spark, {}, {"value": 1.0}, {"metric_type": "cpu_usage"}, {"metric_type": "cpu_usage", "value": 1.0}))
+    row = good.first()
+    assert (good.count(), bad.count()) == (1, 3) and row["timestamp"] is not None
+    assert records.alert_from_json(texts(spark, {"severity": "high"}))[1].count() == 1
+    assert records.anomaly_from_json(texts(spark, {"metric_type": "cpu_usage", "value": 1.0}))[1].count() == 1
+
+
 def test_metric_round_trip(spark, metrics):
     df = metrics([1.25, 2.5])
     good, bad = records.metric_from_json(df.select(records.metric_to_json().alias("json")))
@@ -132,7 +140,6 @@ def test_model_runs(spark, tmp_path):
 
 def test_retention(metrics):
     df = metrics({"values": range(500), "host": "a"}, {"values": range(50), "host": "b"})
-    for limit in (None, 1):
-        kept = store.retention_trim(df, hours=1, interval=36, limit=limit)
-        assert {r["host"]: r["n"] for r in kept.groupBy("host").agg(F.count("*").alias("n")).collect()} == {"a": 100, "b": 50}
-        assert kept.where("host = 'a'").agg(F.min("value")).first()[0] == 400.0
+    kept = store.retention_trim(df, hours=1, interval=36)
+    assert {r["host"]: r["n"] for r in kept.groupBy("host").agg(F.count("*").alias("n")).collect()} == {"a": 100, "b": 50}
+    assert kept.where("host = 'a'").agg(F.min("value")).first()[0] == 400.0
