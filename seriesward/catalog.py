@@ -315,6 +315,25 @@ def training_history(spark, sf_dir):
     return rows.groupBy(*params.KEY).agg(F.count("*").alias("n"), near(F.sum("value"), 2).alias("total"))
 
 
+def _published(spark, sf_dir):
+    """The metrics as a table with a folder per day."""
+    path = scratch(spark)
+    store.publish_metric(co.load_metrics(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query("p4_published_history")
+def published_history(spark, sf_dir):
+    rows = store.metric_history(_published(spark, sf_dir), "host-1", "cpu_usage", minutes=60 * 24 * 7, now="2024-01-31 00:00:00")
+    return rows.select("metric_id", _text("timestamp").alias("ts"), *_r("value"))
+
+
+@query("p5_published_history")
+def published_training_history(spark, sf_dir):
+    rows = store.training_history(_published(spark, sf_dir), hours=24 * 15, now="2024-01-31 00:00:00")
+    return rows.groupBy(*params.KEY).agg(F.count("*").alias("n"), near(F.sum("value"), 2).alias("total"))
+
+
 @query("p6_clean_matrix")
 def clean_matrix(spark, sf_dir):
     """Values with the NaN and infinities a division leaves."""
@@ -695,9 +714,22 @@ def model_state(spark, sf_dir):
     return rows.select("name", fn.micros(F.col("ts")).alias("at_us"), F.col("state")["user"].alias("user"), F.col("state")["value"].alias("value"))
 
 
+@query("s12_save_model_state")
+def save_model_state(spark, sf_dir):
+    """A state per metric type written, then a second run of some, and the latest read back."""
+    path = scratch(spark)
+    counts = co.load_metrics(spark, sf_dir).groupBy("metric_type").agg(F.count("*").alias("n")).collect()
+    for at, share in (("2024-01-01", 1), ("2024-01-02", 2)):
+        for r in counts:
+            if share == 1 or r.metric_type < "m":
+                store.save_model_state(spark, path, r.metric_type, {"points": r.n * share}, at)
+    rows = store.get_model_state(spark.read.parquet(path))
+    return rows.select("name", F.col("state")["points"].cast("long").alias("points"))
+
+
 @query("d11_should_retrain")
 def should_retrain(spark, sf_dir):
-    rows = store.retrain_due(model_runs(spark, sf_dir), "2024-01-31 23:45:00")
+    rows = store.retrain_due(model_runs(spark, sf_dir), "2024-01-31 23:45:00", names=("view", "never_run"))
     return rows.select("name", fn.micros(F.col("last_run")).alias("at_us"), "due")
 
 
@@ -869,6 +901,33 @@ def stream_detection(spark, sf_dir):
     return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"))
 
 
+def _fed(spark, *parts):
+    """A stream of tables that arrive one after the other, each in a micro-batch of its own."""
+    path = scratch(spark)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return store.read_stream(spark, path, parts[0].schema, files_per_batch=1)
+
+
+@query("x1_detect_batches")
+def stream_detection_in_batches(spark, sf_dir):
+    """The same points in three micro-batches by time."""
+    metrics, day = co.load_metrics(spark, sf_dir), F.dayofmonth("timestamp")
+    stream = _fed(spark, metrics.where(day <= 8), metrics.where((day > 8) & (day <= 17)), metrics.where(day > 17))
+    _, rows = _run(spark, detect_stream(stream, delay="0 seconds", flag="stat_flag", score="stat_score"))
+    return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"))
+
+
+@query("x4_late_rows")
+def late_rows(spark, sf_dir):
+    """Every fifth point comes two batches later, when the watermark of the first has closed most periods: it counts
+    only where its period is still open."""
+    metrics, late = co.load_metrics(spark, sf_dir), F.col("metric_id").cast("long") % 5 == 0
+    stream = _fed(spark, metrics.where(~late), metrics.limit(0), metrics.where(late), metrics.limit(0))
+    _, rows = _run(spark, downsample_stream(stream, period=86_400, delay="0 seconds"))
+    return rows.select("host", "metric_type", _text("period_start").alias("period_start"), *_r("average", "maximum"))
+
+
 @query("x2_alert_stream")
 def stream_alerts(spark, sf_dir):
     path = scratch(spark)

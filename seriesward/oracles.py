@@ -470,7 +470,8 @@ SQL["s7_read_stream"] = f"{BASE} SELECT host, metric_type, count(*) AS n FROM m
 SQL["s12_model_state"] = """SELECT event_type AS name, epoch_us(max(ts)) AS at_us, CAST(arg_max(user_id, ts) AS VARCHAR) AS "user",
   CAST(arg_max(value, ts) AS VARCHAR) AS value FROM events GROUP BY 1"""
 SQL["d11_should_retrain"] = """SELECT event_type AS name, epoch_us(max(ts)) AS at_us,
-  epoch_us(TIMESTAMP '2024-01-31 23:45:00') - epoch_us(max(ts)) >= 86400000000 AS due FROM events GROUP BY 1"""
+  epoch_us(TIMESTAMP '2024-01-31 23:45:00') - epoch_us(max(ts)) >= 86400000000 AS due FROM events GROUP BY 1
+  UNION ALL SELECT 'never_run', NULL, true"""
 SQL["d4_isolation_forest_score"] = f"""{BASE} SELECT metric_id, host, metric_type, value > 1 AND value < 50 AS forest_flag,
   {near("CASE WHEN value > 1 THEN 1 / (1 + exp((value - 50) / 100)) ELSE 0.0 END")} AS forest_score FROM m"""
 SQL["d7_ensemble_vote"] = f"""{TO_CHECK},
@@ -515,3 +516,14 @@ SQL["d5_sequence_counts"] = f"""{BASE}{PER_KIND} SELECT metric_type, 'trained' A
   FROM kinds WHERE samples >= 80 UNION ALL SELECT metric_type, 'insufficient_data', samples, NULL, NULL, NULL FROM kinds WHERE samples < 80"""
 SQL["d12_training_status"] = f"""{BASE}{PER_KIND} SELECT 'isolation_forest' AS model, 'trained' AS status, n AS samples FROM vectors
   UNION ALL SELECT 'lstm_' || metric_type, CASE WHEN samples >= 80 THEN 'trained' ELSE 'insufficient_data' END, samples FROM kinds"""
+
+SQL["s12_save_model_state"] = f"""{BASE} SELECT metric_type AS name, CAST(count(*) * CASE WHEN metric_type < 'm' THEN 2 ELSE 1 END AS BIGINT) AS points
+  FROM m GROUP BY metric_type"""
+SQL["p4_published_history"] = SQL["p4_metric_history"]
+SQL["p5_published_history"] = SQL["p5_training_history"]
+SQL["x1_detect_batches"] = SQL["x1_detect_stream"]
+SQL["x4_late_rows"] = f"""{BASE},
+reach AS (SELECT max(epoch_us(ts)) FILTER (WHERE CAST(metric_id AS BIGINT) % 5 <> 0) // 1000 * 1000 AS first_, max(epoch_us(ts)) // 1000 * 1000 AS last_ FROM m),
+p AS (SELECT *, date_trunc('day', ts) AS period, epoch_us(date_trunc('day', ts)) + 86400000000 AS ends FROM m, reach)
+SELECT host, metric_type, strftime(period, '%Y-%m-%d %H:%M:%S.%f') AS period_start, {near("avg(value)")} AS average, {near("max(value)")} AS maximum
+FROM p WHERE ends <= last_ AND (CAST(metric_id AS BIGINT) % 5 <> 0 OR ends > first_) GROUP BY host, metric_type, period"""

@@ -131,10 +131,15 @@ def get_model_state(runs: DataFrame) -> DataFrame:
     return runs.groupBy("name").agg(F.max("ts").alias("ts"), F.max_by("state", "ts").alias("state"))
 
 
-def retrain_due(runs: DataFrame, now, hours: int = params.RETRAIN_HOURS) -> DataFrame:
-    """Per model name, its last run and whether that is ``hours`` old."""
+def retrain_due(runs: DataFrame, now, hours: int = params.RETRAIN_HOURS, names: tuple = ()) -> DataFrame:
+    """Per model name, its last run and whether that is ``hours`` old. ``names`` adds models that must exist; one that
+    never ran is due."""
     age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_run")
-    return runs.groupBy("name").agg(F.max("ts").alias("last_run")).withColumn("due", age >= hours * 3_600_000_000)
+    last = runs.groupBy("name").agg(F.max("ts").alias("last_run"))
+    if names:
+        wanted = runs.sparkSession.createDataFrame([(n,) for n in names], "name string")
+        last = last.join(wanted, "name", "full_outer")
+    return last.withColumn("due", F.coalesce(age >= hours * 3_600_000_000, F.lit(True)))
 
 
 def should_retrain(runs: DataFrame, now, name: str = "latest_training", hours: int = params.RETRAIN_HOURS) -> bool:
