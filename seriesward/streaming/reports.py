@@ -26,12 +26,13 @@ def health_stream(spark, query, service: str, stats: dict | None = None, before:
     a service that outlives them calls this in between and passes ``totals`` of the rows so far. Lost reports raise."""
     before = before or {"batch": -1, "rows_processed": 0, "begin": None}
     rows, total, begin, last = [], before["rows_processed"], before["begin"], before["batch"]
-    for progress in query.recentProgress:
+    kept, most = list(query.recentProgress), int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(kept) >= most and kept[0]["batchId"] > last + 1:
+        raise ValueError(f"the reports of batches {last + 1} to {kept[0]['batchId'] - 1} are gone; pass the totals before them")
+    for progress in kept:
         batch = progress["batchId"]
-        if batch < last or batch == last and before["batch"] == last:
+        if batch <= before["batch"]:
             continue
-        if batch > last + 1:
-            raise ValueError(f"the reports of batches {last + 1} to {batch - 1} are gone; pass the totals before them")
         at = pd.Timestamp(progress["timestamp"]).tz_localize(None)
         begin, last = (begin if begin is not None else at), batch
         total += progress["numInputRows"]

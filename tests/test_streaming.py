@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seriesward import schema as S
@@ -9,7 +10,7 @@ from seriesward.sources.store import read_stream
 from seriesward.streaming import blocks
 from seriesward.streaming.alerts import alert_stream
 from seriesward.streaming.detect import dedup_metrics, score_stream
-from seriesward.streaming.reports import downsample_stream, health_stream, run_to_end
+from seriesward.streaming.reports import downsample_stream, health_stream, run_to_end, totals
 from tests.conftest import metric_rows
 from tests.test_alerts import anomaly
 
@@ -113,3 +114,25 @@ def test_blocks_do_not_depend_on_their_size():
             assert whole[name] == [r for p in parts for r in p[name]]
         else:
             np.testing.assert_allclose(np.concatenate([p[name] for p in parts]), whole[name], rtol=1e-9, atol=1e-6, err_msg=name)
+
+
+class Kept:
+    """A query that keeps some reports."""
+
+    def __init__(self, first, last):
+        self.recentProgress = [
+            {"batchId": b, "timestamp": f"2024-01-01T00:{b // 60:02d}:{b % 60:02d}.000Z", "numInputRows": 10, "stateOperators": []} for b in range(first, last)
+        ]
+
+    def exception(self):
+        return None
+
+
+def test_health_totals_outlive_the_reports_a_query_keeps(spark):
+    first = health_stream(spark, Kept(0, 100), "s")
+    second = health_stream(spark, Kept(80, 180), "s", before=totals(first))
+    rows = second.orderBy("uptime_seconds").collect()
+    assert (len(rows), rows[-1]["details"]["rows_processed"], rows[-1]["uptime_seconds"]) == (80, "1800", 179.0)
+    with pytest.raises(ValueError):
+        health_stream(spark, Kept(80, 180), "s")
+    assert totals(health_stream(spark, Kept(0, 0), "s"), totals(first))["rows_processed"] == 1000
