@@ -122,7 +122,8 @@ def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS, deleted: s
     cut = later_copies(docs, min_words).groupBy(F.col("d").alias(cut_d), F.col("t").alias(cut_t))
     cut = materialise(cut.agg(F.sort_array(F.collect_set("i")).alias(cut_)))
     d, t = _key(docs)
-    out = docs.join(cut, d.eqNullSafe(F.col(cut_d)) & (t == F.col(cut_t)), "left")
+    # A merge join at every size: whether the table of cuts happens to fit a broadcast doesn't change the plan.
+    out = docs.join(cut.hint("merge"), d.eqNullSafe(F.col(cut_d)) & (t == F.col(cut_t)), "left")
     # Split once per row: the generator keeps the lines out of the lambda below.
     split = F.when(F.col(cut_).isNotNull(), F.split(docs["text"].cast("string"), "\n", -1))
     out = out.select(*(docs[c] for c in docs.columns), cut_, F.explode(F.array(split)).alias(cut_lines))
