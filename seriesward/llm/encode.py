@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: How a tokenizer's texts may be cut without a change of its ids.
 #: dropped: white space only separates words. leading: one blank belongs to the word after it. whole: never cut.
 PIECES = ("dropped", "leading", "whole")
-MOST_PIECES = 1_000_000
+MOST_PIECES = 400_000
 
 #: Texts with white space other than single blanks and line breaks between words; they are encoded whole.
 _ODD = (

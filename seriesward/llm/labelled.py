@@ -14,6 +14,7 @@ from . import text as tx
 
 PER_CLASS = 6_000
 FOLDS = 5
+SLICE_BYTES = 2 << 20  # a text makes several features per word
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,7 +37,7 @@ def featurised(rows: DataFrame, features: Callable) -> DataFrame:
     """doc_id, label and the distinct feature numbers of every row; ``features(texts)`` gives (numbers, where each text's begin)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "text"):
+        for batch in tx.slices(batches, "text", SLICE_BYTES):
             numbers, at = features(batch.column("text"))
             own = [np.unique(numbers[at[k] : at[k + 1]]) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "label", "features"])
@@ -134,7 +135,7 @@ def scored(docs: DataFrame, score: Callable, column: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, extra):
+        for batch in tx.slices(batches, extra, SLICE_BYTES):
             values = pa.array(score(batch.column(extra)), pa.float64())
             kept = [batch.column(c) for c in batch.schema.names if c != extra]
             yield pa.RecordBatch.from_arrays([*kept, values], names=[*(c for c in batch.schema.names if c != extra), column])
