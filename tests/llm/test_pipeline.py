@@ -8,7 +8,7 @@ import corpus_pipeline
 from seriesward.llm import oracles
 from seriesward.session import materialise
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
