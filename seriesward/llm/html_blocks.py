@@ -8,7 +8,9 @@ the sample lacks.
 
 Rows: null or empty html gives an empty text; so does a page without main text. Rows that repeat are treated alike. No
 pages to learn from: every text is empty. An empty table gives no rows. Broken markup is read as far as it goes: unclosed
-paragraphs end at the next block, unknown end tags are ignored, an unclosed comment or script hides the rest of the page.
+paragraphs end at the next block, unknown end tags are ignored, an unclosed comment, script or style hides the rest of
+the page. A head ends at its end tag or where text or a tag stands that no head holds. Of other elements that hold no text
+of the page (svg, canvas, iframe, ...), one that closes itself or has no end tag hides nothing.
 """
 
 from __future__ import annotations
@@ -37,11 +39,19 @@ INLINE = frozenset(
 HIDDEN = frozenset("script style noscript template svg iframe object canvas textarea select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
+#: Of the hidden, those that reach to their first end tag whatever stands between, and those that hold each other.
+RAW = frozenset("noscript iframe textarea title".split())
+NESTED = frozenset("template svg object canvas select".split())
+#: Tags that leave a head open, and end tags that close it.
+IN_HEAD = frozenset("base basefont bgsound head link meta title".split())
+ENDS_HEAD = frozenset("head body html br".split())
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_BARE_VALUE = re.compile(r"=\s*[^\s\"']+\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -53,13 +63,43 @@ class Leaf:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _pieces(page: str) -> tuple[list[tuple], dict[int, int]]:
+    """Everything that is no text, as (from, to, slash, name, rest of the tag; no name: nothing to look at), and where the
+    hidden elements that have an end tag of their own end, by where they begin."""
+    out: list[tuple] = []
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in NESTED}
+    unclosed: set[str] = set()
+    at = 0
+    while m := _PIECE.search(page, at):
+        start, at, name = m.start(), m.end(), (m.group(3) or "").lower()
+        slash, rest = m.group(2), m.group(4)
+        out.append((start, at, slash, name, rest))
+        if name in NESTED:
+            if slash and opened[name]:
+                ends[opened[name].pop()] = at
+            elif not slash and not _closes_itself(rest):
+                opened[name].append(start)
+        elif name in RAW and not slash and name not in unclosed and not _closes_itself(rest) and not (name == "title" and opened["svg"]):
+            if end := _ENDS[name].search(page, at):
+                ends[start] = end.end()
+                at = end.start()  # what stands between is no markup
+            else:
+                unclosed.add(name)
+    return out, ends
+
+
+def _closes_itself(rest: str) -> bool:
+    return rest.endswith("/") and not _BARE_VALUE.search(rest)
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """Runs of text in page order, character references decoded, white space single. A path has one tuple per open
     block element: its name, then its class, id and role words with a dot in front."""
     out: list[Leaf] = []
     stack: list[tuple] = []
     parts: list[str] = []
-    linked, in_link, at, page = 0, False, 0, page or ""
+    linked, in_link, in_head, at, page = 0, False, False, 0, page or ""
 
     def close():
         nonlocal linked
@@ -70,25 +110,37 @@ def leaves(page: str | None) -> list[Leaf]:
             parts.clear()
         linked = 0
 
-    for m in _PIECE.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    pieces, ends = _pieces(page)
+    for start, end, slash, name, rest in pieces:
+        if start < at:
+            continue
+        if start > at:
+            piece = page[at:start]
+            in_head = in_head and not piece.strip()
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = m.end()
-        name = m.group(3)
-        if name is None:
+        at = end
+        if not name:
+            continue
+        if name == "head" and not slash:
+            in_head = True
+            continue
+        if name in HIDDEN and name != "head" or name == "title" and in_head and not slash:
+            at = ends.get(start, end)
             continue
-        name = name.lower()
+        if in_head:
+            in_head = name not in ENDS_HEAD if slash else name in IN_HEAD
+            if in_head or name == "head":
+                continue
         if name in INLINE:
             if name == "a":
-                in_link = not m.group(2)
+                in_link = not slash
             elif name == "br":
                 parts.append(" ")
             continue
         close()
-        if m.group(2):
+        if slash:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -96,8 +148,8 @@ def leaves(page: str | None) -> list[Leaf]:
         else:
             if stack and stack[-1][0] in CLOSED_BY_BLOCK or stack and stack[-1][0] == name == "li":
                 stack.pop()
-            if name not in VOID and name not in HIDDEN:
-                words = {w for x in _NAMES.findall(m.group(4)) for w in _WORD.findall("".join(x).lower())} if "=" in m.group(4) else ()
+            if name not in VOID:
+                words = {w for x in _NAMES.findall(rest) for w in _WORD.findall("".join(x).lower())} if "=" in rest else ()
                 stack.append((name, *("." + w for w in sorted(words))))
         in_link = False
     if at < len(page):

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -134,6 +135,39 @@ def test_leaves():
     assert hb.labels(hb.leaves(PAGE)).tolist() == [False, False, True, True, True, False, False]
 
 
+@pytest.mark.parametrize(
+    ("before", "shown"),
+    [
+        ("<head><title>T</title><body>", ""),
+        ("<head><title>T</title><meta charset=x><script>'</head><p>no'</script><style>p{}</style>", ""),
+        ("<head><title>a <!-- b</title></head><body>", ""),
+        ("<head><title>T</title>Bare text", "Bare text"),
+        ("<html><head></meta><link rel=x></head><body>", ""),
+        ("<head><noscript><iframe></iframe></noscript><title>T</title></head>", ""),
+        ("<body><svg class=\"i\"/>", ""),
+        ("<body><canvas/>", ""),
+        ("<body><svg><title>Icon</title><svg/><svg><text>no</text></svg>no</svg>", ""),
+        ("<body><textarea>no <!-- no</textarea><noscript><p>no</p></noscript>", ""),
+        ("<body><svg-icon>", ""),
+        ("<body><iframe src=x>", ""),
+        ("<body><object data=/a/>", ""),
+        *((f"<body><{name} id='a'>", "") for name in ("svg", "iframe", "object", "canvas", "textarea", "select", "noscript", "template")),
+    ],
+)
+def test_leaves_after_what_has_no_end_tag(before, shown):
+    got = [x.text for x in hb.leaves(before + "<article><p>Main text</p></article>")]
+    assert got == [shown, "Main text"] if shown else got == ["Main text"]
+    got = [x.text for x in hb.leaves(before + "<article><p>Main text</p></article><svg></svg><canvas></canvas><object></object>")]
+    assert got[-1] == "Main text"
+
+
+def test_leaves_of_many_unclosed_elements_take_linear_time():
+    for name in ("iframe", "svg"):
+        began = time.process_time()
+        assert len(hb.leaves(f"<{name}><p>x</p>" * 50_000)) == 50_000
+        assert time.process_time() - began < 10
+
+
 def test_gradients():
     rng = np.random.default_rng(4)
     p = {k: v.astype(np.float64) for k, v in hb.fresh(rng, 5, 3).items()}
