@@ -2,7 +2,8 @@
 
 Documents in order of doc_id are sequences of their lines that aren't blank. A run of consecutive lines with ``min_words``
 words or more is repeated if it also occurs at an earlier place; every line of such a later copy is deleted, the first
-copy stays. Words are what single blanks divide. Blank lines belong to no run and stay.
+copy stays. Words are runs of anything but white space (Unicode's: tabs and no-break spaces too), however wide the gaps
+between them. Blank lines, those without a word, belong to no run and stay.
 
 Lines that occur once cut every run, so only stretches of repeated lines of enough words become suffixes. Prefix doubling
 ranks them by their first 1, 2, 4, ... lines: a round sorts the distinct pairs of ranks and numbers them in order. From a
@@ -26,6 +27,7 @@ from . import text as tx
 
 MIN_WORDS = 50
 DOC = ["d", "t"]  # the document: its id and a hash of its text
+WORD = r"[^\x09-\x0D\x85\p{Z}]+"
 
 
 def _key(docs: DataFrame) -> tuple[Column, Column]:
@@ -36,10 +38,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     """Every line that isn't blank: its document, place, two hashes and number of words."""
     d, t = _key(docs)
     split = docs.select(d.alias("d"), t.alias("t"), F.posexplode(F.split(docs["text"].cast("string"), "\n", -1)).alias("i", "line"))
-    bare = F.trim("line")
-    words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    split = split.where(F.length(bare) > 0)
-    return split.select("d", "t", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words.alias("words"))
+    words = F.regexp_count("line", F.lit(WORD))
+    lines = split.select("d", "t", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words.alias("words"))
+    return lines.where("words > 0")
 
 
 def numbered(keys: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -138,4 +139,4 @@ def line_deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """As above; documents that lose all their lines go too."""
     name = tx.spare(docs, "_deleted")
     out = without_later_copies(docs, min_words, name)
-    return out.where((F.col(name) == 0) | (F.length(F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))) > 0)).drop(name)
+    return out.where((F.col(name) == 0) | F.col("text").rlike(WORD)).drop(name)

@@ -196,6 +196,24 @@ def test_line_dedup(spark, seed, least):
     assert sorted(str(tuple(r)) for r in got) == brute_lines(docs, least)
 
 
+def test_line_dedup_counts_words_between_any_white_space(spark):
+    words = [f"w{k}" for k in range(60)]
+    tabs, nbsp, wide = "\t".join(words), "\u00a0".join(words), "\u3000 ".join(words[::-1])
+    total, table, short = "Total" + " " * 60 + "12", "\n".join(f"row {k}" + " " * 30 + str(k) for k in range(12)), "  ".join(words[:26])
+    lined = "\n \t\n".join("\t ".join(words[k : k + 10]) for k in range(0, 50, 10))  # blank lines divide no run
+    repeated, stay = [tabs, nbsp, wide, lined], [total, table, short, "\t" * 70, "x" + "\t" * 70 + "y"]
+    texts = [x for x in (*repeated, *stay) for _ in range(2)]
+    rows = [(k, f"own {k}\n{x}\nmore {k}") for k, x in enumerate(texts)]
+    got = {r.doc_id: (r.text, r.n) for r in line_dedup.without_later_copies(_docs(spark, rows), 50, "n").collect()}
+    want = {i: (t, 0) for i, t in rows}
+    for k, x in enumerate(repeated):
+        left = "\n".join([f"own {2 * k + 1}", *[" \t"] * (4 if x is lined else 0), f"more {2 * k + 1}"])
+        want[2 * k + 1] = left, 5 if x is lined else 1
+    assert got == want
+    out = line_dedup.line_deduplicated(_docs(spark, [(1, tabs), (2, tabs + "\n\t\u00a0"), (3, "\t")]))
+    assert {r.doc_id for r in out.collect()} == {1, 3}
+
+
 def test_line_dedup_drops_documents_left_without_lines(spark):
     text = "\n".join(f"line {k} of a passage with some words" for k in range(10))
     table = _docs(spark, [(1, text), (2, text), (3, ""), (4, None), (5, "own line\n" + text)])
