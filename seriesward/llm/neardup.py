@@ -8,7 +8,8 @@ takes every surviving pair between components that are still apart; no link betw
 
 Rows: no words or a null text is an empty set, linked with nothing. A null doc_id is linked with nothing and kept. Of
 rows that repeat a doc_id, each follows its own text; a link that one of them has joins the others' components only if
-their texts are equal. An empty table gives no rows. Other columns are ignored.
+their texts are equal. An empty table gives no rows. Other columns are ignored. ``deduplicated`` leaves one of rows that
+repeat a doc_id and text, a null doc_id too.
 """
 
 from __future__ import annotations
@@ -203,7 +204,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a component other than its first; all columns stay."""
+    """The rows of ``docs`` but for all documents of a component other than its first; of rows that repeat a doc_id and
+    text, or a text without doc_id, one stays. All columns stay."""
     name = tx.spare(docs, "_gone")
     gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    docs = _without_repeats(docs)
     return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text, nulls being equal: the one whose columns have the smallest hash. Only rows that
+    are repeated are moved, and merged where they are before that."""
+    text = docs["text"].cast("string")
+    key = {tx.spare(docs, c): x for c, x in (("_d", docs["doc_id"].cast("long")), ("_t1", F.xxhash64(text)), ("_t2", F.xxhash64(F.lit(1), text)))}
+    keyed = docs.select("*", *(x.alias(c) for c, x in key.items()))
+    many = keyed.select(*key).groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    many = materialise(many.toDF("d", "t1", "t2"))
+    if many.isEmpty():
+        return docs
+    same = [keyed[c].eqNullSafe(many[m]) for c, m in zip(key, many.columns)]
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_row")
+    one = keyed.join(many, same, "left_semi").groupBy(*key).agg(first).select("_row.*")
+    return keyed.join(many, same, "left_anti").select(*docs.columns).unionByName(one)

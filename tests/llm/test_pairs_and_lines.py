@@ -76,6 +76,14 @@ def test_deduplicated_keeps_one_of_each_group_and_all_columns(spark):
     assert {r.doc_id for r in out.collect()} == {i for i, _, _, kept in brute_components(rows, 5, 80) if kept}
 
 
+def test_deduplicated_keeps_one_of_repeated_rows(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(4, a), (4, a), (4, a), (None, a), (None, a), (None, b), (7, None), (7, None), (None, None), (None, None), (8, ""), (8, ""), (9, b), (9, b), (10, b)]
+    out = neardup.deduplicated(_docs(spark, rows).withColumn("more", F.create_map("key", "text")))
+    assert out.columns == ["doc_id", "text", "key", "_deleted", "more"]
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(4, a), (None, a), (None, b), (7, None), (None, None), (8, ""), (9, b)]))
+
+
 def test_sketches_never_exclude_similar_sets():
     rng = np.random.default_rng(1)
     for size in (5, 40, 300, 3000):
