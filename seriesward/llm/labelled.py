@@ -23,14 +23,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, text, label (0 or 1) of labelled documents outside the held-out fold: at most ``per_class`` label rows of
-    each class, those with the smallest hash of their doc_id. Rows without id or label take no part."""
+    """doc_id, text, label (0 or 1) of labelled documents outside the held-out fold: at most ``per_class`` rows of each
+    class, those of ``docs`` with the smallest hash of their doc_id. Of rows that repeat a doc_id, the text with the
+    smallest hash is taken. Rows without id or label take no part."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialise(rows.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"))
     picked = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     picked = materialise(picked[0].unionByName(picked[1]))  # per_class bounds what is broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    own = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    # Merged where the rows are, so that one doc_id with many rows brings one row a task.
+    own = own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return own.join(F.broadcast(picked), "doc_id")
 
 
 def featurised(rows: DataFrame, features: Callable) -> DataFrame:

@@ -123,6 +123,20 @@ def test_url_plan_runs_no_python(spark):
     assert not re.search("Python|Pandas|MapInArrow", plan)
 
 
+def test_sample_bounds_the_rows_and_takes_labels_of_present_documents(spark):
+    marks = spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id long, toxic int")
+    rows = [(k, f"text {k}") for k in range(0, 4000, 50)] + [(k, f"text {k}") for k in range(1, 4000, 50)]
+    rows += [(rows[1][0], f"other {k % 7}") for k in range(400)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = labelled.sample(docs, marks, "toxic", 20).collect()
+    assert Counter(r.label for r in got) == {0: 20, 1: 20}
+    assert len({r.doc_id for r in got}) == 40
+    whole = labelled.sample(docs, marks, "toxic").collect()
+    present = {i for i, _ in rows if i is not None}
+    assert len(whole) == len({r.doc_id for r in whole}) and {r.doc_id for r in whole} <= present
+    assert sorted(map(tuple, labelled.sample(docs.repartition(5), marks, "toxic").collect())) == sorted(map(tuple, whole))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/a">One</a><li>Two</ul></nav>
 <!-- <p>no</p> --><article class="post"><h1>Head &amp; line</h1><p>First  <b>bold</b>&nbsp;text<br>goes on<p>Second &lt;x&gt; &#233;</article><footer>&copy; foot</footer>tail"""
 
