@@ -163,3 +163,80 @@ from told join scored using (url) cross join best"""
 SQL["op4_markov_url_filter"] = url_filter(
     [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 )
+
+
+def filter_audit(source: str = "documents", labels: str = "labels", least_words: int = 200) -> str:
+    """Each order and step counted from the documents' combinations of failed filters, given as strings of letters."""
+    return f"""
+with texts as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from {source}
+), firsts as (select text, min(doc_id) as least from texts group by text
+), counted as (
+  select t.doc_id, t.part, t.text, f.least, regexp_extract_all(t.text, '[^\\x20\\x09-\\x0D]+') as w from texts t join firsts f on f.text = t.text
+), failing as (
+  select doc_id, part, case when len(w) < {least_words} then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when doc_id > least then 'E' else '' end as fails
+  from counted
+), marks as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from {labels} group by doc_id
+), cells as (
+  select part, fails, count(*) as n, coalesce(sum(m.good), 0) as good, coalesce(sum(m.toxic), 0) as toxic
+  from failing f left join marks m on m.doc_id = f.doc_id group by part, fails
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a join letters b on b.x <> a.x join letters c on c.x not in (a.x, b.x)
+  join letters d on d.x not in (a.x, b.x, c.x) join letters e on e.x not in (a.x, b.x, c.x, d.x)
+), steps as (
+  select filter_order, step, substr(filter_order, step, 1) as own, left(filter_order, step - 1) as earlier
+  from orders cross join (select unnest([1, 2, 3, 4, 5]) as step)
+), held as (
+  select s.filter_order, s.step, s.own, c.part, c.n, c.good, c.toxic, c.fails,
+    contains(c.fails, s.own) as failed, length(translate(c.fails, s.earlier, '')) < length(c.fails) as gone
+  from steps s cross join cells c
+), summed as (
+  select part, filter_order, step, own, coalesce(sum(n) filter (where not failed and not gone), 0)::bigint as kept,
+    coalesce(sum(n) filter (where failed and not gone), 0)::bigint as removed, coalesce(sum(n) filter (where failed and gone), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails = own), 0)::bigint as unique_fails, coalesce(sum(good) filter (where failed and not gone), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where failed and not gone), 0)::bigint as toxic_lost
+  from held group by part, filter_order, step, own
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) over (partition by part, own)::bigint as shapley from summed"""
+
+
+SQL["op12_filter_audit"] = filter_audit()
+
+
+def importance_resampling(source: str = "documents", target: str = "benchmark", buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> str:
+    """Single words as features. The checksum (CRC-32, reflected polynomial 0xEDB88320) is taken byte by byte, once per word."""
+    words = f"unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word"
+    return f"""
+with numbered as (select row_number() over () as k, doc_id, text from {source}
+), own as (select k, word, count(*) as n from (select k, {words} from numbered) group by k, word
+), aim as (select word, count(*) as n from (select {words} from {target}) group by word
+), crc as (
+  select list(c order by b) as t from (
+    select b, list_reduce([b::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(b))
+), hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::bigint)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {buckets} as bucket
+  from (select word from own union select word from aim) cross join crc
+), gains as (
+  select b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (sum(coalesce(s.n, 0)) over () + {buckets}) / ((coalesce(s.n, 0) + 1)::double * (sum(coalesce(t.n, 0)) over () + {buckets}))))::bigint as gain
+  from (select unnest(range({buckets})) as bucket) b
+  left join (select bucket, sum(n) as n from own join hashed using (word) group by bucket) s on s.bucket = b.bucket
+  left join (select bucket, sum(n) as n from aim join hashed using (word) group by bucket) t on t.bucket = b.bucket
+), weights as (
+  select k, sum(n) as n_features, sum(n * gain) as weight from own join hashed using (word) join gains using (bucket) group by k
+), scored as (
+  select k, d.doc_id, coalesce(w.n_features, 0)::bigint as n_features, coalesce(w.weight, 0)::bigint as weight,
+    (coalesce(w.weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('{seed}:' || d.doc_id), 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from numbered d left join weights w using (k)
+), placed as (
+  select k, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_features >= {least_words} and doc_id is not null
+)
+select doc_id, n_features, weight, score, case when place <= floor({percent} * n / 100) then place end::bigint as rank from scored left join placed using (k)"""
+
+
+SQL["op13_importance_resampling"] = importance_resampling()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, html_blocks, labelled, line_dedup, neardup, packing, quality, token_files, topk, toxicity, urls
+from . import decontaminate, filter_audit, html_blocks, labelled, line_dedup, neardup, packing, quality, resampling, simhash, token_files, topk, toxicity, urls
 from .encode import default_path
 
 QUERIES: dict = {}
@@ -85,3 +85,18 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 @query("op4_markov_url_filter")
 def op4(spark, sf_dir):
     return urls.judged(_read(spark, sf_dir, "pages"), RULES).drop("score")
+
+
+@query("op11_simhash_pigeonhole")
+def op11(spark, sf_dir):
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3, distance=3, seed=42)
+
+
+@query("op12_filter_audit")
+def op12(spark, sf_dir):
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query("op13_importance_resampling")
+def op13(spark, sf_dir):
+    return resampling.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20)
