@@ -9,8 +9,9 @@ its own: dynamic programming over the parts takes those of the fewest candidates
 the parts, so that parts in which it has many neighbours are skipped or matched exactly and rare ones take the slack. It
 looks itself up under every value of part i within t_i; all are indexed under their own values. Rows that meet in a
 bucket are verified on all bits, and a bucket yields a spanning forest of its links. A bucket of more than ``LARGE`` rows
-is split by the same principle over the bits it leaves free (distance + 1 parts, one of which is equal) until it is
-small or so few bits are free that it can't be large; no task holds a larger group, and no link is lost.
+is dealt to cells of about that size, each of which also gets a few leaders, the same in all; that joins a dense group
+without comparing all its pairs. What then lies outside the bucket's largest component meets every row of the bucket, cell
+by cell, so no link between components is lost and no task holds a larger group.
 
 Rows: a null or empty text, or one without words, has fingerprint zero, linked like any other; fewer words than the
 width are one shingle. A null doc_id has a fingerprint, is linked with nothing and has no component. Rows that repeat a
@@ -25,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -35,6 +36,7 @@ from .components import components
 
 BITS = 64
 LARGE = 2_048
+LEADERS = 64  # of a large bucket, in each of its cells
 PIECE = 11  # bits of a histogram's values at most
 PROBE = 4.0  # cost of one look-up in verified candidates
 PAIRS_AT_ONCE = 200_000
@@ -220,13 +222,11 @@ class Layout:
         return out
 
 
-_BUCKETS = "key long, fp long, probe boolean, free long"
+_BUCKETS = "key long, fp long, probe boolean"
 
 
 def buckets(fps: DataFrame, layout: Layout) -> DataFrame:
-    """key, fp, probe (it looks itself up there), free (the bits that the key leaves open)."""
-    free = [~(((1 << w) - 1) << low) & ((1 << BITS) - 1) for low, w in zip(layout.lows, layout.widths)]
-    free = [np.array([f], np.uint64).view(np.int64)[0] for f in free]
+    """key, fp (arranged) and probe (it looks itself up there, if only under its own value)."""
 
     def run(fp: np.ndarray):
         for low in range(0, len(fp), ROWS_AT_ONCE):
@@ -234,39 +234,16 @@ def buckets(fps: DataFrame, layout: Layout) -> DataFrame:
             t = layout.thresholds(x)
             for i, (at, width) in enumerate(zip(layout.lows, layout.widths)):
                 value = (x >> np.uint64(at)) & np.uint64((1 << width) - 1)
-                for e in range(int(t[i].max()) + 1 if t[i].max() >= 0 else 1):
+                for e in range(max(0, int(t[i].max(initial=0))) + 1):
                     some = np.flatnonzero(t[i] >= e) if e else np.arange(len(x))
                     masks = np.array([sum(1 << b for b in bits) for bits in combinations(range(width), e)], np.uint64)
                     step = max(1, ROWS_AT_ONCE // len(masks))
                     for a in range(0, len(some), step):
                         own = some[a : a + step]
                         keys = (value[own][:, None] ^ masks).ravel() + (np.uint64(i + 1) << np.uint64(56))
-                        yield [
-                            tx.mixed(keys).view(np.int64),
-                            np.repeat(x[own], len(masks)).view(np.int64),
-                            np.repeat((t[i, own] >= 0) if not e else np.ones(len(own), bool), len(masks)),
-                            np.full(len(own) * len(masks), free[i]),
-                        ]
+                        yield [tx.mixed(keys).view(np.int64), np.repeat(x[own], len(masks)).view(np.int64), np.repeat(t[i, own] >= 0, len(masks))]
 
-    return _mapped(fps, run, ["key", "fp", "probe", "free"], _BUCKETS)
-
-
-def _split(rows: DataFrame, distance: int) -> DataFrame:
-    """Each row in distance + 1 smaller buckets: the free bits in as many parts, one of which two linked rows share."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            free, fp, key = (batch.column(c).to_numpy().view(np.uint64) for c in ("free", "fp", "key"))
-            for mask in np.unique(free):
-                own = np.flatnonzero(free == mask)
-                bits = [b for b in range(BITS) if int(mask) >> b & 1]
-                for j in range(distance + 1):
-                    part = np.uint64(sum(1 << b for b in bits[len(bits) * j // (distance + 1) : len(bits) * (j + 1) // (distance + 1)]))
-                    keys = tx.mixed(tx.mixed(key[own] + np.uint64(j + 1)) + (fp[own] & part))
-                    columns = [keys.view(np.int64), fp[own].view(np.int64), batch.column("probe").take(pa.array(own)), np.full(len(own), mask & ~part).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["key", "fp", "probe", "free"])
-
-    return rows.mapInArrow(run, _BUCKETS)
+    return _mapped(fps, run, ["key", "fp", "probe"], _BUCKETS)
 
 
 def _forest(left: np.ndarray, right: np.ndarray, root: np.ndarray) -> Iterator[int]:
@@ -284,30 +261,35 @@ def _forest(left: np.ndarray, right: np.ndarray, root: np.ndarray) -> Iterator[i
         yield from live[place].tolist()
 
 
-def _links(rows: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) of linked fingerprints that connect what each bucket links."""
+def _links(rows: DataFrame, distance: int, inner: bool) -> DataFrame:
+    """Pairs (a, b) of linked fingerprints that connect what each cell (key, i, j) links across components (comp). Rows are
+    compared with the cell's residents: visitors always, residents among themselves if ``inner``."""
 
     def found(table: pa.Table) -> pa.RecordBatch:
-        key, fp, probe = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["probe"].to_numpy()
-        distinct, node = np.unique(fp, return_inverse=True)
-        root, out = np.arange(len(distinct)), []
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.flatnonzero(new)[np.cumsum(new) - 1]
-        before = np.arange(len(key)) - start
-        ends, first = np.cumsum(before), 0
+        get = lambda c: table[c].to_numpy()
+        key, i, j, probe, visits = get("key"), get("i"), get("j"), get("probe"), get("visits")
+        fp = get("fp").view(np.uint64)
+        root = np.unique(get("comp"), return_inverse=True)[1]
+        node, root = root, np.arange(int(root.max()) + 1)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        cell = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        residents = np.bincount(cell, weights=~visits, minlength=len(start)).astype(np.int64)
+        before = np.where(visits, residents[cell], np.arange(len(key)) - start[cell] if inner else 0)
+        ends, first, out = np.cumsum(before), 0, [(fp[:0], fp[:0])]
         while first < len(key):
             base = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, side="right")))
             left = np.repeat(np.arange(first, last), before[first:last])
-            right = tx.gather(start[first:last], before[first:last])
+            right = tx.gather(start[cell[first:last]], before[first:last])
             first = last
             near = (probe[left] | probe[right]) & (root[node[left]] != root[node[right]])
             left, right = left[near], right[near]
             near = np.bitwise_count(fp[left] ^ fp[right]) <= distance
-            left, right = node[left[near]], node[right[near]]
-            chosen = list(_forest(left, right, root))
-            out.append((left[chosen], right[chosen]))
-        a, b = (distinct[np.concatenate(x)].view(np.int64) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), ())))
+            left, right = left[near], right[near]
+            chosen = list(_forest(node[left], node[right], root))
+            out.append((fp[left[chosen]], fp[right[chosen]]))
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,36 +299,56 @@ def _links(rows: DataFrame, distance: int) -> DataFrame:
             table = pa.concat_tables([held, table]) if held is not None else table
             if not table.num_rows:
                 continue
-            key = table["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1], side="left"))
+            same = np.logical_and.reduce([(x := table[c].to_numpy()) == x[-1] for c in ("key", "i", "j")])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             held = table.slice(cut)
             if cut:
                 yield found(table.slice(0, cut))
         if held is not None and held.num_rows:
             yield found(held)
 
-    dealt = rows.select("key", "fp", "probe").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select("key", "i", "j", "visits", "fp", "probe", "comp").repartition("key", "i", "j")
+    return dealt.sortWithinPartitions("key", "i", "j", "visits", "fp").mapInArrow(run, "a long, b long").distinct()
+
+
+def _every(n: Column) -> Column:
+    """One row for each number below n."""
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+
+
+def _met(rows: DataFrame, distance: int, large: int) -> DataFrame:
+    """The links that connect what the buckets link, as pairs of arranged fingerprints."""
+    none, alone = F.lit(0), {"visits": F.lit(False), "comp": F.col("fp")}
+    many = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large))
+    if many.isEmpty():
+        return materialise(_links(rows.withColumns({"i": none, "j": none, **alone}), distance, True))
+    small = rows.join(many, "key", "left_anti").withColumns({"i": none, "j": none, **alone})
+    hot = rows.join(many, "key").withColumn("cells", F.ceil(F.col("n") / large).cast("int"))
+    hot = materialise(hot.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")))
+    leaders = hot.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("n")) < LEADERS).withColumn("to", _every(F.col("cells")))
+    leaders = leaders.where("to != i").withColumn("i", F.col("to"))
+    cells = hot.unionByName(leaders.drop("to")).withColumns({"j": none, **alone})
+    columns = ["key", "i", "j", "visits", "fp", "probe", "comp"]
+    first = materialise(_links(small.select(*columns).unionByName(cells.select(*columns)), distance, True))
+    roots = components(first).select(F.col("id").alias("fp"), F.col("root"))
+    known = materialise(hot.join(roots, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root"))
+    shares = known.groupBy("key", "comp").agg(F.count("*").alias("own")).groupBy("key").agg(F.max_by("comp", "own").alias("giant"), F.max("own").alias("most"), F.count("*").alias("comps"))
+    mixed = materialise(known.join(shares.where("comps > 1"), "key").withColumn("crowds", F.ceil((F.col("n") - F.col("most")) / large).cast("int")))
+    if mixed.isEmpty():
+        return first
+    strays = mixed.where("comp != giant").withColumn("j", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("crowds")).cast("int"))
+    strays = strays.drop("i").withColumn("i", _every(F.col("cells"))).withColumn("visits", F.lit(True))
+    residents = mixed.withColumn("j", _every(F.col("crowds"))).withColumn("visits", F.lit(False))
+    second = _links(residents.select(*columns).unionByName(strays.select(*columns)), distance, False)
+    return materialise(first.unionByName(second))
 
 
 def linked(fps: DataFrame, distance: int = 3, parts: int | None = None, large: int | None = None) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column fp) within ``distance`` that connect all that are linked."""
-    large = large or LARGE
     groups = grouped_bits(correlations(fps), parts or parts_for(fps.count(), distance))
     layout = Layout(groups, distance)
     layout.learn(fps)
-    rows, out = materialise(buckets(fps, layout)), None
-    while True:
-        # A bucket with few bits free can't be large but for those that looked it up from near values.
-        many = rows.where(F.bit_count("free") > max(distance, large.bit_length() - 1)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
-        many = materialise(many.select("key"))
-        done = many.isEmpty()
-        small = rows if done else rows.join(many, "key", "left_anti")
-        out = _links(small, distance) if out is None else out.unionByName(_links(small, distance))
-        if done:
-            break
-        rows = materialise(_split(rows.join(many, "key", "left_semi").select("key", "fp", "probe", "free"), distance))
-    links = materialise(out)
+    links = _met(materialise(buckets(fps, layout)), distance, large or LARGE)
 
     def back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
