@@ -1,15 +1,15 @@
 """Near duplicates by word shingles: MinHash bands propose, odd sketches estimate, full sets decide.
 
-Documents with the same set form one class, represented by its smallest doc_id. Representatives that share a band meet in
-cells of bounded size; there the XOR of their odd sketches (parity bitmaps of MinHash samples, then of the whole sets)
+Documents with the same set form one class, told by the set's fingerprint and numbered; all links are between classes,
+whatever doc_ids their rows carry. Classes that share a band meet in cells of bounded size; there the XOR of their odd sketches (parity bitmaps of MinHash samples, then of the whole sets)
 drops pairs that are surely too different. Surviving pairs are confirmed on full sets. Pairs inside one component need no
 test, so a first round takes the nearest pairs that would join components (a spanning forest per cell), and a last round
 takes every surviving pair between components that are still apart; no link between components is lost.
 
-Rows: no words or a null text is an empty set, linked with nothing. A null doc_id is linked with nothing and kept. Of
-rows that repeat a doc_id, each follows its own text; a link that one of them has joins the others' components only if
-their texts are equal. An empty table gives no rows. Other columns are ignored. ``deduplicated`` leaves one of rows that
-repeat a doc_id and text, a null doc_id too.
+Rows: no words or a null text is an empty set, linked with nothing. A null doc_id is linked with nothing and kept. Rows
+that repeat a doc_id each follow their own text; a link of one says nothing of the others. An empty table gives no rows.
+Other columns are ignored. ``deduplicated`` leaves one of rows that repeat a doc_id and text, a null doc_id too; it drops a
+text only for one that stays and is reached from it by links.
 """
 
 from __future__ import annotations
@@ -29,11 +29,17 @@ from .components import components
 BLOCK = 512
 PAIRS_AT_ONCE = 200_000
 FOREST_ROUNDS = 1
-_SKETCHED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd binary, parity binary"
+_SKETCHED = "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>, odd binary, parity binary"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes of it."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """Set size, set fingerprint, band keys and odd sketches of every row."""
+    """Hashes of the text, set size, set fingerprint, band keys and odd sketches of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.slices(batches, "text"):
@@ -44,10 +50,10 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(mins) + 1, dtype=np.int32) * sh.BANDS), pa.array(sh.bands(mins).ravel()))
             odd = pa.array([x.tobytes() for x in sh.odd_sketches(mins)], pa.binary())
             parity = pa.array(sh.parities(sets, at), pa.binary())
-            columns = [batch.column("doc_id"), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys.take(place), odd.take(place), parity.take(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "bands", "odd", "parity"])
+            columns = [*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys.take(place), odd.take(place), parity.take(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "n_shingles", "s1", "s2", "bands", "odd", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCHED)
+    return _texts(docs).select("doc_id", "t1", "t2", "text").mapInArrow(run, _SKETCHED)
 
 
 def _surviving(cell, start, doc, comp, block, diagonal, size, odd, parity, most, similarity):
@@ -139,36 +145,50 @@ def _pairs(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``percent`` of intersection over union."""
-    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    texts = materialise(texts)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b"
+def _full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id and the full set of each wanted class (id, rep, s1, s2), from a row of its doc_id whose set it is."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.slices(batches, "text"):
+            sets, at = sh.shingle_sets(batch.column("text"), width)
+            prints = sh.fingerprints(sets, at)
+            own = (prints[:, 0] == batch.column("s1").to_numpy()) & (prints[:, 1] == batch.column("s2").to_numpy())
+            full = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(sets.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), full], names=["id", "shingles"]).filter(pa.array(own))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(wanted, "rep").select("id", "s1", "s2", "text").mapInArrow(run, "id long, shingles array<long>")
+    return rows.dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach ``percent`` of intersection over union."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = materialise(_full_sets(materialise(classes.join(ends, "id", "left_semi")), docs, width))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b"
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "left"):
-            one, at = sh.shingle_sets(batch.column("left"), width)
-            two, to = sh.shingle_sets(batch.column("right"), width)
+        for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                x, y = one[at[k] : at[k + 1]], two[to[k] : to[k + 1]]
-                shared = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = (batch.column(c)[k].values.to_numpy() for c in ("left", "right"))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, root (the group's number, null without a set or doc_id), least (its smallest doc_id)."""
     rows = materialise(sketched(docs, width))
     sets = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = sets.join(classes, (sets.doc_id == classes.rep) & (sets.s1 == classes.s1) & (sets.s2 == classes.s2), "left_semi")
-    reps = materialise(reps.dropDuplicates(["doc_id", "s1", "s2"]))
+    classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
+    reps = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"]).drop("rep", "t1", "t2").withColumnRenamed("id", "doc_id")
+    reps = materialise(reps.dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialise(keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
@@ -189,27 +209,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs = materialise(_pairs(cells.join(sketches, "doc_id"), percent / 100, step < FOREST_ROUNDS))
         if pairs.isEmpty():
             break
-        new = materialise(confirmed(pairs, docs, width, percent))
+        new = materialise(confirmed(pairs, classes, docs, width, percent))
         found = new if found is None else found.unionByName(new)
         roots = components(found)
 
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    out = out.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
-    if roots is not None:
-        out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    if roots is None:
+        classes = classes.select("s1", "s2", F.col("id").alias("root"), F.col("rep").alias("least"))
     else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
-    component = F.coalesce("root", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least = classes.groupBy("root").agg(F.min("rep").alias("least"))
+        classes = classes.join(least, "root").select("s1", "s2", "root", "least")
+    out = rows.select("doc_id", "t1", "t2", "n_shingles", "s1", "s2").join(materialise(classes), ["s1", "s2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "t1", "t2", "n_shingles", F.when(linked, F.col("root")).alias("root"), F.when(linked, F.col("least")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept."""
+    component = F.coalesce("least", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a component other than its first; of rows that repeat a doc_id and
-    text, or a text without doc_id, one stays. All columns stay."""
-    name = tx.spare(docs, "_gone")
-    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    """One row of each group of ``docs``, that of the smallest doc_id (then hash of the text); of rows that repeat a doc_id
+    and text, or a text without doc_id, one stays. All columns stay."""
+    rows = materialise(_grouped(docs, width, percent).where("root is not null").select("root", "doc_id", "t1", "t2"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"))
+    names = {c: tx.spare(docs, "_" + c) for c in ("doc_id", "t1", "t2")}
+    gone = rows.join(first, "root").where(F.struct("doc_id", "t1", "t2") != F.col("first"))
+    gone = materialise(gone.select(*(F.col(c).alias(n) for c, n in names.items())).distinct())
     docs = _without_repeats(docs)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    text = docs["text"].cast("string")
+    same = (docs["doc_id"].cast("long") == gone[names["doc_id"]]) & (F.xxhash64(text) == gone[names["t1"]]) & (F.xxhash64(F.lit(1), text) == gone[names["t2"]])
+    return docs.join(gone, same, "left_anti")
 
 
 def _without_repeats(docs: DataFrame) -> DataFrame:
