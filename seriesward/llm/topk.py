@@ -7,7 +7,8 @@ rows, whose zeros add nothing. The block's k best come out by partition selectio
 Candidates and queries are dealt to blocks of bounded size by a hash of the id, and every query block meets every
 candidate block in a task of its own, as bounded rows of packed bytes. Rows: a null id, a null vector or one with null
 or non-finite components takes no part; rows that repeat an id count once, with the smallest of their vectors; a missing
-component counts as zero; ties go to the smaller id. Empty tables give no rows. Other columns are ignored.
+component counts as zero, so that an empty vector scores 0 with every other; ties go to the smaller id. Components so
+large that a score could leave 64 bits raise an error. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Postings:
     """The lists of one block; vectors are in ascending order of id."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.most, self.lists = ids, int(np.abs(rows).max(initial=0)), []
+        self.ids, self.most, self.lists = ids, max(abs(int(rows.max(initial=0))), abs(int(rows.min(initial=0)))), []
         self.columns = np.ascontiguousarray(rows.T)
         for weights in self.columns:
             where = np.flatnonzero(weights)
@@ -47,7 +48,10 @@ class Postings:
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """The query's dense score array, in 32 bits where no sum can leave them."""
-        wide = self.most * int(np.abs(query).max(initial=0)) * max(1, len(self.lists)) >= 1 << 31
+        most = self.most * max(abs(int(query.max(initial=0))), abs(int(query.min(initial=0)))) * max(1, len(self.lists))
+        if most >= 1 << 63:
+            raise OverflowError("inner products leave 64 bits")
+        wide = most >= 1 << 31
         kind = np.int64 if wide else np.int32
         if kind not in self._scores:
             self._scores[kind], self._buffer[kind] = np.empty(len(self.ids), kind), np.empty(len(self.ids), kind)
@@ -100,7 +104,8 @@ def _packed(rows: DataFrame, blocks: int, copies: int, side: str) -> DataFrame:
 
 
 def _unpacked(ids: bytes, rows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8").reshape(-1, width)
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(rows, "<i8").reshape(len(ids), width)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK) -> DataFrame:
