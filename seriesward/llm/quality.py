@@ -100,11 +100,13 @@ def dual_descent(signs: np.ndarray, rows: list[np.ndarray], scales: np.ndarray,
 
 
 def fit(labels: np.ndarray, rows: list[np.ndarray], cost: float = COST, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from four fifths of the rows, the curve from the rest."""
+    """Weights from four fifths of each class's rows, the curve from the rest; from all rows where a class has too few."""
     if len(np.unique(labels)) < 2:
         return np.empty(0, np.int64), np.empty(0)
-    rest = np.arange(len(rows)) % 5 == 4
-    if len(np.unique(labels[~rest])) < 2:
+    rest = np.zeros(len(rows), bool)
+    for y in (0, 1):
+        rest[np.flatnonzero(labels == y)[4::5]] = True
+    if len(np.unique(labels[rest])) < 2:
         rest[:] = False
     learn = [x for x, r in zip(rows, rest) if not r]
     scales = log_count_ratios(labels[~rest], learn)
