@@ -3,13 +3,14 @@
 A page's leaves (runs of text between block-level tags) form a sequence. Each leaf has a vector of its tag path (names,
 classes, ids), of its hashed words and of a few measures of its text. The network reads the sequence both ways and labels
 every leaf as article or not. It learns from a bounded sample of pages; their labels follow from telling markup (article,
-nav, aside, class names, ...), and copies of the sample with other containers and inserted boilerplate teach layouts that
-the sample lacks.
+nav, aside, class names, ...), and copies of the sample with other containers and inserted boilerplate, or without any
+telling names, teach layouts that the sample lacks.
 
 Rows: null or empty html gives an empty text; so does a page without main text. Rows that repeat are treated alike. No
 pages to learn from: every text is empty. An empty table gives no rows. Broken markup is read as far as it goes: unclosed
 paragraphs end at the next block, unknown end tags are ignored, an unclosed comment, script or style hides the rest of
-the page. A head ends at its end tag or where text or a tag stands that no head holds. Of other elements that hold no text
+the page. A quote begins a value only after an equals sign, and only if the value ends; where no bracket closes any more,
+the rest is text. A head ends at its end tag or where text or a tag stands that no head holds. Of other elements that hold no text
 of the page (svg, canvas, iframe, ...), one that closes itself or has no end tag hides nothing.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,17 +47,19 @@ NESTED = frozenset("template svg object canvas select".split())
 #: Tags that leave a head open, and end tags that close it.
 IN_HEAD = frozenset("base basefont bgsound head link meta title".split())
 ENDS_HEAD = frozenset("head body html br".split())
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends a tag, or begins a quoted value: a quote counts after an equals sign only.
+_STOP = re.compile(r">|=[ \t\n\f\r]*([\"'])")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RAW, "script", "style")}
 _BARE_VALUE = re.compile(r"=\s*[^\s\"']+\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+WHOLE = ("html", "body")  # whose names speak of the layout
+DEEP = 32  # elements of a path from either end
+
+
 class Leaf:
     __slots__ = ("path", "text", "linked")
 
@@ -63,6 +67,37 @@ class Leaf:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(from, to, slash, name, rest) of all tags, and of comments and the like, without name, in one pass. Send the place
+    from which to go on. Where no bracket closes any more there are no tags; a quoted value without end is none."""
+    at, lost = 0, set()
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = (yield start, end + 3 if end >= 0 else len(page), "", "", "")
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start)
+            at = (yield start, end + 1 if end >= 0 else len(page), "", "", "")
+        elif m := _NAME.match(page, start + 1):
+            end = m.end()
+            while end <= last and (stop := _STOP.search(page, end)) and (quote := stop.group(1)):
+                close = -1 if quote in lost else page.find(quote, stop.end())
+                if close < 0:
+                    lost.add(quote)  # nor is there one further on
+                end = close + 1 if close >= 0 else stop.end()
+            if end > last:
+                at = start + 1
+                if (start := page.find("<!--", at)) < 0:
+                    return
+                at = start
+                continue
+            end = stop.end()
+            at = (yield start, end, m.group(1), m.group(2).lower(), page[m.end() : end - 1])
+        else:
+            at = start + 1
+
+
 def _pieces(page: str) -> tuple[list[tuple], dict[int, int]]:
     """Everything that is no text, as (from, to, slash, name, rest of the tag; no name: nothing to look at), and where the
     hidden elements that have an end tag of their own end, by where they begin."""
@@ -70,10 +105,15 @@ def _pieces(page: str) -> tuple[list[tuple], dict[int, int]]:
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {name: [] for name in NESTED}
     unclosed: set[str] = set()
-    at = 0
-    while m := _PIECE.search(page, at):
-        start, at, name = m.start(), m.end(), (m.group(3) or "").lower()
-        slash, rest = m.group(2), m.group(4)
+    markup, at = _markup(page), None
+    while True:
+        try:
+            start, at, slash, name, rest = markup.send(at)
+        except StopIteration:
+            return out, ends
+        if name in ("script", "style") and not slash:
+            end = _ENDS[name].search(page, at)
+            at, name = end.end() if end else len(page), ""
         out.append((start, at, slash, name, rest))
         if name in NESTED:
             if slash and opened[name]:
@@ -86,7 +126,6 @@ def _pieces(page: str) -> tuple[list[tuple], dict[int, int]]:
                 at = end.start()  # what stands between is no markup
             else:
                 unclosed.add(name)
-    return out, ends
 
 
 def _closes_itself(rest: str) -> bool:
@@ -95,9 +134,11 @@ def _closes_itself(rest: str) -> bool:
 
 def leaves(page: str | None) -> list[Leaf]:
     """Runs of text in page order, character references decoded, white space single. A path has one tuple per open
-    block element: its name, then its class, id and role words with a dot in front."""
+    block element: its name, then its class, id and role words with a dot in front; of more than 2 x ``DEEP`` elements the
+    outermost and the innermost."""
     out: list[Leaf] = []
     stack: list[tuple] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     linked, in_link, in_head, at, page = 0, False, False, 0, page or ""
 
@@ -106,7 +147,7 @@ def leaves(page: str | None) -> list[Leaf]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(tuple(stack), text, linked))
+                out.append(Leaf(tuple(stack if len(stack) <= 2 * DEEP else stack[:DEEP] + stack[-DEEP:]), text, linked))
             parts.clear()
         linked = 0
 
@@ -141,21 +182,22 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         close()
         if slash:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened[name]:
+                opened[top := stack.pop()[0]] -= 1
+                if top == name:
                     break
         else:
             if stack and stack[-1][0] in CLOSED_BY_BLOCK or stack and stack[-1][0] == name == "li":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if name not in VOID:
-                words = {w for x in _NAMES.findall(rest) for w in _WORD.findall("".join(x).lower())} if "=" in rest else ()
+                opened[name] += 1
+                words = {w for x in _NAMES.findall(rest) for w in _WORD.findall("".join(x).lower())} if "=" in rest and name not in WHOLE else ()
                 stack.append((name, *("." + w for w in sorted(words))))
         in_link = False
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return settled(out)
 
 
 # ---- labels that telling markup gives ---------------------------------------
@@ -169,6 +211,25 @@ MAIN, MAIN_NAMES = frozenset(("article", "main")), frozenset((".article", ".cont
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 
 
+def _tells(part: tuple) -> bool:
+    return part[0] == "form" or part[0] not in OTHER and not OTHER_NAMES.isdisjoint(part[1:])
+
+
+def settled(page: list[Leaf]) -> list[Leaf]:
+    """The page with plain containers for forms and for classes of boilerplate around over nine tenths of its text: such
+    names speak of the layout (a form around the page, a wrapper called after its sidebar)."""
+    sizes: Counter = Counter()
+    for x in page:
+        for k, part in enumerate(x.path):
+            if _tells(part):
+                sizes[x.path[: k + 1]] += len(x.text)
+    most = 0.9 * sum(len(x.text) for x in page)
+    wide = {p for p, n in sizes.items() if n > most}
+    if not wide:
+        return page
+    return [Leaf(tuple(("div",) if x.path[: k + 1] in wide else part for k, part in enumerate(x.path)), x.text, x.linked) for x in page]
+
+
 def told(leaf: Leaf, any_main: bool) -> bool:
     """Whether markup says that the leaf belongs to the article; ``any_main``: the page marks its article."""
     inside = False
@@ -248,6 +309,14 @@ def varied(page: list[Leaf], rng: np.random.Generator) -> list[Leaf]:
     return out
 
 
+def stripped(page: list[Leaf], rng: np.random.Generator) -> list[Leaf]:
+    """The page without telling names: only text, links, headings, lists and neighbours are left to decide."""
+    plain = MAIN | OTHER | {"section", "header"} - {"button", "label", "title"}
+    if rng.random() < 0.5:
+        plain = plain | {"p"}
+    return [Leaf(tuple(("div" if x[0] in plain else x[0],) for x in leaf.path), leaf.text, leaf.linked) for leaf in page]
+
+
 # ---- vectors ----------------------------------------------------------------
 
 PATH, LAST, WORDS, MEASURES = 96, 48, 32, 8
@@ -390,14 +459,17 @@ def padded(rows: np.ndarray, starts: np.ndarray, counts: np.ndarray, some: np.nd
 
 
 def learn(pages: list[list[Leaf]], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Adam on batches of pages and of their varied copies."""
+    """Adam on batches of pages, of varied copies and of copies without telling names, which keep their labels."""
     rng = np.random.default_rng(seed)
     pages = [p for p in pages if p]
-    pages = pages + [varied(p, rng) for p in pages for _ in range(VARIANTS)]
+    plain = [stripped(p, rng) for p in pages]
+    marks = [labels(p) for p in pages]
+    copies = [varied(p, rng) for p in pages for _ in range(VARIANTS)]
+    pages, marks = pages + copies + plain, marks + [labels(p) for p in copies] + marks
     p = fresh(rng)
     rows, counts = vectors(pages), np.array([len(x) for x in pages], np.int64)
     starts = np.cumsum(counts) - counts
-    truth = np.concatenate([labels(x) for x in pages]).astype(np.float32)[:, None] if pages else np.zeros((0, 1), np.float32)
+    truth = np.concatenate(marks).astype(np.float32)[:, None] if pages else np.zeros((0, 1), np.float32)
     groups = list(batches_of(counts, BATCH, CELLS))
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
