@@ -4,8 +4,8 @@ An item is cut into windows of consecutive words. A document that holds a window
 of them is enough: the rarest over all documents (the prefix that containment needs). A match fixes where the window would
 begin; windows that would reach over an end of the document are dropped, and the rest are compared word by word.
 
-Items are dealt to slices of bounded size; each slice's index is shipped to the tasks, and documents pass once per slice,
-carrying what earlier slices found. Rows: a null or wordless text has no words; items without words or id take no part;
+Items are dealt to slices of bounded size, long ones in parts that overlap by all but one word of a window; each slice's
+index is shipped to the tasks, and documents pass once per slice, carrying what earlier slices found. Rows: a null or wordless text has no words; items without words or id take no part;
 rows that repeat an item_id are one item; rows that repeat a doc_id are separate documents. An empty table gives no rows
 (documents) or no hits (benchmark).
 """
@@ -26,6 +26,9 @@ from . import text as tx
 
 WINDOW, SHINGLE = 10, 3
 SLICE_CHARS = 8_000_000
+PART_WORDS = 100_000  # of an item in one slice
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FACTOR = -7046029254386353131  # of the shingle codes, odd; they wrap in 64 bits, and words are compared in the end
 HITS = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string>"
 _EMPTY = "named_struct('starts', array(), 'ends', array(), 'items', array())"
 _FOUND = "struct<starts:array<int>,ends:array<int>,items:array<long>>"
@@ -39,7 +42,6 @@ class Index:
         words, at = tx.split_words(tx.translated(column, tx.ALNUM))
         codes, self.words = tx.coded(words)
         self.vocabulary = {w: k + 1 for k, w in enumerate(self.words)}
-        self.base = len(self.words) + 1
         owners: dict[tuple, set] = {}
         for k, (item, _) in enumerate(items):
             own = (codes[at[k] : at[k + 1]] + 1).tolist()
@@ -56,8 +58,8 @@ class Index:
     def code(self, words: Iterable[int]) -> int:
         out = 0
         for w in words:
-            out = out * self.base + w
-        return out
+            out = (out * _FACTOR + w) & 0xFFFFFFFFFFFFFFFF
+        return out - (out >> 63 << 64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Every word's number in the vocabulary (0: none), and where each text's words begin."""
@@ -79,7 +81,7 @@ class Index:
         where = where[where + s <= at[text]]
         code = np.zeros(len(where), np.int64)
         for j in range(s):
-            code = code * self.base + ids[where + j]
+            code = code * _FACTOR + ids[where + j]
         place = np.minimum(np.searchsorted(among, code), len(among) - 1)
         hit = among[place] == code
         return where[hit], place[hit]
@@ -197,10 +199,20 @@ def _step(docs: DataFrame, items: list, counts: dict, window: int, shingle: int,
     return docs.mapInArrow(run, schema)
 
 
+def _parts(items: DataFrame, window: int) -> DataFrame:
+    """The items, those of more than ``PART_WORDS`` words in parts that hold every window between them."""
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    starts = F.sequence(F.lit(1), F.size("words") - (window - 1), F.lit(max(1, PART_WORDS - (window - 1))))
+    parts = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("words", i, PART_WORDS)))
+    cut = F.when(F.size("words") > max(PART_WORDS, window), parts).otherwise(F.array("text"))
+    return items.withColumn("words", words).select("item_id", F.explode(cut).alias("text")).distinct()
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits", window: int = WINDOW, shingle: int = SHINGLE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """``docs`` with the struct ``column``: n_words, n_hit (words inside any occurrence of a window), n_items and
     items_sha256 (of the sorted ids of items with occurring windows, comma-joined). A column of that name is replaced."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    items = materialise(_parts(items, window))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_chars))
     docs, text = docs.drop(column), docs["text"].cast("string")
