@@ -74,9 +74,9 @@ def line_dedup(min_words: int, source: str = "documents") -> str:
     """Runs as texts: from every line forwards and backwards, the shortest run of enough words."""
     return f"""
 with lines as (
-  select doc_id, i, line, len(trim(line, ' ')) - len(replace(trim(line, ' '), ' ', '')) + 1 as words
+  select doc_id, i, line, len(regexp_extract_all(line, '[^\\x09-\\x0D\\x{{85}}\\p{{Z}}]+')) as words
   from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from {source})
-  where len(trim(line, ' ')) > 0
+  where words > 0
 ), sums as (
   select *, row_number() over (partition by doc_id order by i) as n, sum(words) over (partition by doc_id order by i) as total from lines
 ), docs as (

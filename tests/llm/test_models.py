@@ -231,6 +231,91 @@ def test_other_layouts():
     assert hb.classify(model, [own])[0].tolist() == [x.path[2][0] == "main" for x in own]
 
 
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<a x=\"", "<a x='>", "<!--", "<div>", "<div>x", "<p a=\"b'>x", "</x>", "<script>", "<b x=y z='", "< ", "<p><svg>", "<!"]
+)
+def test_leaves_of_any_markup_take_linear_time(unit):
+    for page in (unit * 60_000, "<div>" * 30_000 + unit * 30_000, unit * 60_000 + ">"):
+        began = time.process_time()
+        hb.leaves(page)
+        assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<p title='it's'>x</p>", ["x"]),
+        ("<p title=it's>x</p><p b=\"1>2\" c='>'>y</p>", ["x", "y"]),
+        ("<p a=\"oops>x</p><p>y", ["x", "y"]),
+        ("<p \"quoted>x</p>", ["x"]),
+        ("a < b <p>z</p> c <d", ["a < b", "z", "c <d"]),
+        ("t <!-- c", ["t"]),
+        ("<p = 'a'>x<p x = 'a>b'>y", ["x", "y"]),
+        ("<script x='</script>'>no</script>yes", ["yes"]),
+    ],
+)
+def test_leaves_of_stray_quotes_and_brackets(page, shown):
+    assert [x.text for x in hb.leaves(page)] == shown
+
+
+PROSE = (
+    "The river had been rising since the morning, and by noon the lower meadows were under water, so the farmers moved their cattle to the hill behind the church.",
+    "Nobody could remember a spring like this one, although the oldest of them spoke of a year when the mill itself was carried away in the night.",
+    "When the rain stopped at last, they went down together to look at the bridge, which stood, but leaned a little towards the far bank.",
+    "It took them four weeks to repair it, with timber from the woods above the village and iron that was brought by cart from the town.",
+    "On the day it was opened again there was music, and the children ran across it, back and forth, until it was dark.",
+)
+MENU = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "Sport", "Culture", "Contact"))
+FOOT = "<div><a href='/i'>Imprint</a> <a href='/p'>Privacy</a></div>"
+
+
+def _page(body, attributes=""):
+    return f"<html><head><title>Site</title></head><body{attributes}>{body}</body></html>"
+
+
+#: Pages whose truth is written by hand: all prose belongs to the article, no menu and no footer does.
+HAND_WRITTEN = {
+    "divs": _page(f"<div><ul>{MENU}</ul></div><div><h1>The flood</h1>{''.join(f'<div>{x}</div>' for x in PROSE)}</div>{FOOT}"),
+    "paragraphs": _page(f"<div><ul>{MENU}</ul></div><div><h1>The flood</h1>{''.join(f'<p>{x}</p>' for x in PROSE)}</div>{FOOT}"),
+    "no heading": _page(f"<ul>{MENU}</ul><div>{''.join(f'<div><div>{x}</div></div>' for x in PROSE)}</div>{FOOT}"),
+    "foreign names": _page(f"<div class='k1'><ul class='k2'>{MENU}</ul></div><div class='zz9'>{''.join(f'<div class=qq>{x}</div>' for x in PROSE)}</div>{FOOT}"),
+    "body with a sidebar class": _page(f"<nav><ul>{MENU}</ul></nav><article><h1>The flood</h1>{''.join(f'<p>{x}</p>' for x in PROSE)}</article><footer><p>Imprint</p></footer>", " class='has-sidebar'"),
+    "body with comments": _page(f"<nav><ul>{MENU}</ul></nav><main>{''.join(f'<p>{x}</p>' for x in PROSE)}</main><footer><p>Imprint</p></footer>", " class='single with-comments'"),
+    "whole page in a form": _page(f"<form id='main-form'><nav><ul>{MENU}</ul></nav><div>{''.join(f'<p>{x}</p>' for x in PROSE)}</div></form>"),
+    "sections": _page(f"<header><ul>{MENU}</ul></header>{''.join(f'<section><p>{x}</p></section>' for x in PROSE)}<footer>{FOOT}</footer>"),
+    "table": _page(f"<table><tr><td><ul>{MENU}</ul></td><td>{''.join(f'<p>{x}</p>' for x in PROSE)}</td></tr></table>"),
+    "quotes": _page(f"<nav title='it's'><ul>{MENU}</ul></nav><article title=\"it's\">{''.join(f'<p>{x}</p>' for x in PROSE)}</article>"),
+}
+
+
+def test_hand_written_pages_keep_their_prose():
+    model = hb.learn(_pages())
+    for name, page in HAND_WRITTEN.items():
+        own = hb.leaves(page)
+        kept = {x.text for x, keep in zip(own, hb.classify(model, [own])[0]) if keep}
+        assert set(PROSE) <= kept, name
+        assert not kept & {"Home", "News", "Sport", "Culture", "Contact", "Imprint", "Imprint Privacy"}, name
+
+
+def test_body_names_and_names_of_the_whole_page_tell_nothing():
+    for name in ("body with a sidebar class", "body with comments", "whole page in a form"):
+        own = hb.leaves(HAND_WRITTEN[name])
+        assert [x.text for x, y in zip(own, hb.labels(own)) if y and x.text in PROSE] == list(PROSE), name
+
+
+def test_quality_with_a_fold_of_one_class():
+    """Whatever the order of the labels, the curve sees both classes."""
+    rng = np.random.default_rng(1)
+    labels = np.array([k % 5 == 4 for k in range(200)]).astype(int)  # every fifth row is good
+    rows = [np.unique(np.append(rng.integers(0, 50, 8), 60 + y)) for y in labels]
+    numbers, weights = quality.fit(labels, rows)
+    model = dict(zip(numbers.tolist(), weights.tolist()))
+    assert model[quality.SLOPE] > 0.1
+    score = lambda x: 1 / (1 + np.exp(-(model[quality.SLOPE] * (sum(model.get(k, 0.0) for k in x.tolist()) + model.get(quality.BIAS, 0.0)) + model[quality.SHIFT])))
+    assert min(score(x) for x, y in zip(rows, labels) if y) > quality.KEEP > max(score(x) for x, y in zip(rows, labels) if not y)
+    assert len(quality.fit(np.array([0, 0, 0, 1]), rows[:4])[0])
+
+
 def _pages():
     import pyarrow.parquet as pq
 

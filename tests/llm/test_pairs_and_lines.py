@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from seriesward.llm import components, decontaminate, line_dedup, neardup, shingles, topk
+from seriesward.llm import components, decontaminate, line_dedup, neardup, oracles, shingles, topk
 
 
 def _docs(spark, rows):
@@ -84,6 +86,34 @@ def test_deduplicated_keeps_one_of_repeated_rows(spark):
     assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(4, a), (None, a), (None, b), (7, None), (None, None), (8, ""), (9, b)]))
 
 
+def test_no_text_is_dropped_without_a_chain_of_links_to_one_that_stays(spark):
+    """Rows that share a doc_id say nothing of each other's texts."""
+    base = [f"a{k}" for k in range(60)]
+    one, near, two = " ".join(base), " ".join([*base[:-1], "z"]), " ".join(f"b{k}" for k in range(60))
+    out = neardup.deduplicated(_docs(spark, [(5, one), (5, two), (3, near), (9, two)]))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(3, near), (5, two)]
+    rng, rows = random.Random(11), near_copies(9)
+    rows = [(rng.randrange(20), t) for _, t in rows for _ in range(rng.randrange(1, 3))]
+    texts = sorted({t for _, t in rows if t and t.split()})
+    root = {i: r for i, _, r, _ in brute_components(list(enumerate(texts)), 5, 80)}
+    group = {t: root[i] for i, t in enumerate(texts)}
+    kept = [r.text for r in neardup.deduplicated(_docs(spark, rows)).collect() if r.text and r.text.split()]
+    assert sorted(group[t] for t in kept) == sorted(set(group.values()))
+    marks = neardup.near_duplicates(_docs(spark, rows)).collect()
+    assert len(marks) == len(rows) and all(r.component_id <= r.doc_id for r in marks)
+
+
+def test_near_duplicates_in_a_band_of_hundreds(spark):
+    """A band that many dissimilar documents share, among them a group of near copies."""
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(70)]
+    rows = [" ".join([*shared, *_words(30, rng, 100_000)]) for _ in range(600)]
+    rows += [" ".join([*shared, *[f"c{k}" for k in range(30)][: 30 - j], *_words(j, rng)]) for j in (0, 1, 2, 3) for _ in range(3)]
+    rows = list(enumerate(rows))
+    got = {tuple(r) for r in neardup.near_duplicates(_docs(spark, rows), 5, 80).collect()}
+    assert got == brute_components(rows[600:], 5, 80) | {(i, 96, i, True) for i in range(600)}
+
+
 def test_sketches_never_exclude_similar_sets():
     rng = np.random.default_rng(1)
     for size in (5, 40, 300, 3000):
@@ -145,8 +175,9 @@ def brute_hits(items, docs):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("slice_chars", [8_000_000, 900])
-def test_decontamination(spark, slice_chars):
+@pytest.mark.parametrize(("slice_chars", "part_words"), [(8_000_000, 100_000), (900, 100_000), (400, 13)])
+def test_decontamination(spark, monkeypatch, slice_chars, part_words):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part_words)
     items, docs = items_and_docs()
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
@@ -160,6 +191,17 @@ def test_decontamination(spark, slice_chars):
     assert clean.count() == sum(", 0, 0, '" in x for x in brute_hits(items, docs))
 
 
+def test_a_long_item_comes_in_parts(spark):
+    """No slice holds more than its parts, and a passage from any place of the item is found."""
+    words = [f"v{k}" for k in range(230_000)]
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, "w " * 12)], "item_id long, text string")
+    parts = decontaminate._parts(benchmark, 10).collect()
+    assert max(len(r.text.split()) for r in parts) <= decontaminate.PART_WORDS and len(parts) == 4
+    rows = [(k, " ".join(["own", *words[at : at + 12], "words"])) for k, at in enumerate((0, 99_985, 99_990, 99_995, 150_000, 229_988))] + [(9, " ".join(words[5:14]))]
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).select("doc_id", "hits.n_hit", "hits.n_items").collect()
+    assert sorted(map(tuple, got)) == [*((k, 12, 1) for k in range(6)), (9, 0, 0)]
+
+
 def lines_of(seed):
     rng = random.Random(seed)
     pool = [" ".join(_words(rng.randrange(1, 9), rng)) for _ in range(14)]
@@ -173,12 +215,15 @@ def lines_of(seed):
     return [*docs, (40, None), (41, ""), (42, docs[3][1]), (42, docs[3][1]), (43, docs[3][1] + "\nmore")]
 
 
+def words(line):
+    return len(regex.findall(r"[^\x09-\x0D\x85\p{Z}]+", line))
+
+
 def brute_lines(docs, least):
     """A line goes if a run around it with enough words also begins at an earlier place."""
     seq = []
     for i, t in sorted({(i, t) for i, t in docs if t is not None}):
-        seq.append((i, t, [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" ")]))
-    words = lambda x: len(x.strip(" ")) - len(x.strip(" ").replace(" ", "")) + 1
+        seq.append((i, t, [(k, x) for k, x in enumerate(t.split("\n")) if words(x)]))
     first, gone = {}, {}
     for i, t, lines in seq:
         for a in range(len(lines)):
@@ -218,6 +263,10 @@ def test_line_dedup_counts_words_between_any_white_space(spark):
         left = "\n".join([f"own {2 * k + 1}", *[" \t"] * (4 if x is lined else 0), f"more {2 * k + 1}"])
         want[2 * k + 1] = left, 5 if x is lined else 1
     assert got == want
+    con = duckdb.connect()
+    con.register("rows", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    assert {i: (t, n) for i, t, n in con.execute(oracles.line_dedup(50, "rows")).fetchall()} == want
+    assert brute_lines(rows, 50) == sorted(str((i, *x)) for i, x in want.items())
     out = line_dedup.line_deduplicated(_docs(spark, [(1, tabs), (2, tabs + "\n\t\u00a0"), (3, "\t")]))
     assert {r.doc_id for r in out.collect()} == {1, 3}
 
@@ -253,6 +302,16 @@ def test_top_k(spark):
     assert topk.top_k(topk.quantised(table.where("false")), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_empty_and_of_huge_vectors(spark):
+    table = lambda rows: topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    empty = topk.top_k(table([(k, []) for k in range(0, 60, 10)]), F.col("vec_id") % 20 == 0, 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in empty) == [(0, 1, 10, 0), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 10, 0), (40, 1, 0, 0), (40, 2, 10, 0)]
+    some = topk.top_k(table([(0, []), (20, [1.0, 2.0]), (21, [-1.0])]), F.col("vec_id") % 20 == 0, 2).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in some) == [(0, 20, 0), (0, 21, 0), (20, 0, 0), (20, 21, -4096)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(table([(0, [1e30]), (1, [1e30])]), F.col("vec_id") % 20 == 0, 2).collect()
+
+
 def test_sparse_postings_score_like_dense_ones():
     rng = np.random.default_rng(0)
     rows = np.where(rng.random((500, 20)) < 0.1, rng.integers(-9, 9, (500, 20)), 0).astype(np.int64)
