@@ -163,6 +163,48 @@ def test_random_lives(lifecycle, spark, stale, limit):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def dense_life(seed, n=400, acted=0.1):
+    """One series without a pause, with actions on some alerts."""
+    rng, minute, rows, actions = random.Random(seed), 0.0, [], []
+    for i in range(n):
+        minute += rng.choice([0, 0.25, 0.5, 1, 3, 7])
+        rows.append((i, minute, rng.choice(params.SEVERITIES)))
+        if rng.random() < acted:
+            actions.append((i, rng.choice(["acknowledge", "resolve"]), minute + rng.choice([0, 0.5, 6, 20, 29, 31])))
+    return rows, actions
+
+
+@pytest.mark.parametrize(("limit", "stale", "acted"), [(4, 30, 0.3), (7, 30, 0.0), (50, 30, 0.3), (20, 30, 1.0), (9, 12, 0.4), (30, 1, 0.3)])
+def test_slices_of_a_life_without_pauses(lifecycle, limit, stale, acted):
+    """Slices shorter and longer than the stale limit, anomalies at one time, alerts acted on across slices."""
+    rows, actions = dense_life(limit + stale, acted=acted)
+    log = lifecycle([anomaly(i, m, sev) for i, m, sev in rows], [(f"a{i:05d}", what, "ops", m) for i, what, m in actions], limit=limit, stale=stale)
+    got = [(r["action"], r["anomaly_id"] and int(r["anomaly_id"][1:]), r["severity"], r["anomaly_count"]) for r in log]
+    assert sorted(got, key=repr) == sorted(one_by_one(rows, actions, stale), key=repr)
+
+
+def test_jobs_do_not_grow_with_the_slices(spark):
+    rows, _ = dense_life(3, n=600, acted=0)
+    found = spark.createDataFrame([anomaly(i, m, sev) for i, m, sev in rows], S.ANOMALY)
+
+    def jobs(limit):
+        group = f"slices-{limit}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert al.process_anomalies(found, limit=limit).count() >= 600
+        spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert abs(jobs(20) - jobs(200)) <= 2
+
+
+def test_sweep_of_slices(lifecycle):
+    rows = [anomaly(i, i / 2, "low") for i in range(100)]
+    for end, last in ((60, "suppressed"), (90, "auto_resolved")):
+        whole = lifecycle(rows, as_of=at(end).replace(tzinfo=None))
+        assert lifecycle(rows, as_of=at(end).replace(tzinfo=None), limit=8) == whole
+        assert acts(whole)[-1] == last or acts(whole)[-2] == last
+
+
 def test_queries_over_a_log(spark):
     rows = [anomaly(1, 0, host="a"), anomaly(2, 0, host="b"), anomaly(3, 40, host="b"), anomaly(4, 41, host="b"), anomaly(5, 0, "low", host="c")]
     found = spark.createDataFrame(rows, S.ANOMALY)
