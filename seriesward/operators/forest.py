@@ -172,18 +172,23 @@ def isolation_forest_fit(
 
     scored = materialise(clean.select(forest_score_samples(spark, model).alias("score")))
     model.offset = exact_percentile(scored, "score", contamination)[()]
-    decision = F.col("score") - F.lit(model.offset)
+    model.stats = training_stats(scored, model.offset, rows, len(features))
+    return model
+
+
+def training_stats(scored: DataFrame, offset: float, rows: int, features: int) -> dict:
+    """What the report says of a forest: rows flagged by their scores, mean and population std of the decisions."""
+    decision = F.col("score") - F.lit(offset)
     made = scored.agg(F.sum((decision < 0).cast("long")), F.avg(decision), F.stddev_pop(decision)).first()
-    model.stats = {
+    return {
         "status": "trained",
         "samples": rows,
-        "features": len(features),
+        "features": features,
         "anomalies_in_training": made[0],
         "anomaly_rate": round(made[0] / rows, 4),
         "score_mean": round(made[1], 4),
         "score_std": round(made[2], 4),
     }
-    return model
 
 
 def _paths(x: np.ndarray, m: dict) -> np.ndarray:

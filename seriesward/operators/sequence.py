@@ -103,7 +103,7 @@ def sequence_fit(
     sf = sequences(sf.with_df(sf.df.withColumn("_longer", longer)), length)
     windows = sf.rows(keep_position=True).where(F.col("sequence").isNotNull() & F.col("_longer"))
     held = F.pmod(F.xxhash64(*params.KEY, *params.ORDER), F.lit(10)) == 0
-    windows = windows.select("metric_type", "sequence", held.alias("held"))
+    windows = materialise(windows.select("metric_type", "sequence", held.alias("held")))  # laid out once, read twice
 
     terms = (
         windows.where(~F.col("held")).select("metric_type", "sequence")
@@ -129,6 +129,15 @@ def sequence_fit(
 
     error = reconstruction_error(spark, model, F.col("sequence"), kind, normalised=True)
     errors = materialise(windows.select("metric_type", "held", error.alias("mse")))
+    for name, stats in training_stats(errors, quantile).items():
+        model.types[name]["threshold"] = stats["threshold"]
+        model.stats[name] = {"status": "trained", "samples": moments[name][0], **stats}
+    return model
+
+
+def training_stats(errors: DataFrame, quantile: float = params.SEQUENCE_QUANTILE) -> dict:
+    """Per metric type, what the report says of the errors (metric_type, held, mse) of its windows: their number, the
+    mean error of those fitted and of those held out, the threshold, mean and population std."""
     limits = exact_percentile(errors, "mse", quantile, by=("metric_type",))
     report = errors.groupBy("metric_type").agg(
         F.count("*").alias("sequences"),
@@ -137,20 +146,17 @@ def sequence_fit(
         F.avg("mse").alias("mse_mean"),
         F.stddev_pop("mse").alias("mse_std"),
     )
-    for row in report.collect():
-        name = row["metric_type"]
-        model.types[name]["threshold"] = limits[(name,)]
-        model.stats[name] = {
-            "status": "trained",
-            "samples": moments[name][0],
+    return {
+        row["metric_type"]: {
             "sequences": row["sequences"],
             "final_loss": row["loss"],
             "val_loss": row["val_loss"],
-            "threshold": limits[(name,)],
+            "threshold": limits[(row["metric_type"],)],
             "mse_mean": row["mse_mean"],
             "mse_std": row["mse_std"],
         }
-    return model
+        for row in report.collect()
+    }
 
 
 def _trailing(rows: list, length: int) -> np.ndarray:

@@ -42,15 +42,17 @@ def alert_status_counts(alerts: DataFrame, newest: int = 20) -> DataFrame:
     return recent_alerts(alerts, newest).groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def unfolded(df: DataFrame, **values) -> DataFrame:
+    """Columns of a single row as rows of name and value."""
+    pairs = [F.struct(F.lit(name).alias("name"), value.cast("long").alias("value")) for name, value in values.items()]
+    return df.select(F.inline(F.array(*pairs)))
+
+
 def pipeline_stats(metrics: DataFrame, anomalies: DataFrame, alerts: DataFrame, cap: int | None = None) -> DataFrame:
     """Lengths of the logs and the number of series, as name and value. ``cap`` bounds what is shown, for stores that
     keep no more. Each input is counted once and its row then unfolded."""
     shown = lambda n: F.coalesce(F.col(n), F.lit(0)) if cap is None else F.least(F.coalesce(F.col(n), F.lit(0)), F.lit(cap))
 
-    def unfolded(df, **values):
-        pairs = [F.struct(F.lit(name).alias("name"), value.cast("long").alias("value")) for name, value in values.items()]
-        return df.select(F.inline(F.array(*pairs)))
-
     series = metrics.groupBy(*params.KEY).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("s"))
     out = unfolded(series, metrics_stream_length=shown("n"), total_metric_series=F.col("s"))
     for name, plural, df in (("anomaly", "anomalies", anomalies), ("alert", "alerts", alerts)):

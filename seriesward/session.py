@@ -39,3 +39,20 @@ def rows_per_task(spark: SparkSession, override: int | None = None) -> int:
     if override:
         return int(override)
     return int(spark.conf.get(params.ROWS_PER_TASK_CONF, str(params.ROWS_PER_TASK)))
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, on whatever file system."""
+    system, place = _located(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    system, place = _located(spark, path)
+    system.delete(place, True)

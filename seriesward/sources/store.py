@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..operators.forest import NODES, ForestModel
-from ..operators.percentile import value_at_rank
+from ..operators.percentile import cut_from_top
 from ..operators.sequence import SequenceModel
+from ..session import exists, materialise, remove
 
 
 def _day(ts: str = "timestamp"):
@@ -45,8 +46,11 @@ def publish_alert(alerts: DataFrame, *paths: str) -> None:
 
 
 def _append(df: DataFrame, paths) -> None:
+    """The rows are computed once, whatever the number of targets, and laid out by day and time."""
+    rows = df.withColumn("day", _day()).repartitionByRange("day", "timestamp")
+    rows = materialise(rows) if len(paths) > 1 else rows
     for path in paths:
-        df.withColumn("day", _day()).write.mode("append").partitionBy("day").parquet(path)
+        rows.write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100):
@@ -88,11 +92,46 @@ def training_history(metrics: DataFrame, hours: int = params.RETENTION_HOURS, no
     return rows.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+def publish_new_metrics(metrics: DataFrame, path: str) -> None:
+    """Append the rows whose metric_id is not in the table yet, each once. Only the days that the rows fall on are looked
+    at in the table, and of them two columns."""
+    spark = metrics.sparkSession
+    rows = materialise(metrics.withColumn("day", _day()).dropDuplicates(["metric_id", "day"]))
+    days = [r.day for r in rows.select("day").distinct().collect()]  # a row per day
+    if exists(spark, path) and days:
+        known = spark.read.parquet(path).where(F.col("day").isin(days)).select("metric_id", "day")
+        rows = rows.join(known, ["metric_id", "day"], "left_anti")
+    publish_metric(rows.drop("day"), path)
+
+
+def compact(spark: SparkSession, path: str, keep: int) -> dict:
+    """Keep the newest ``keep`` rows of every series in a published table, in place. Rows per series and day tell each
+    series' boundary day; days before all boundaries are dropped as folders, days after all of them stay as they are, and
+    only days on which some series loses rows are read and written anew. Returns how many days went which way."""
+    table = spark.read.parquet(path)
+    sizes = materialise(table.groupBy("day", *params.KEY).agg(F.count("*").alias("n")))  # a row per series and day
+    later = Window.partitionBy(*params.KEY).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(keep) - F.coalesce(F.sum("n").over(later), F.lit(0))
+    sizes = materialise(sizes.withColumn("left", F.greatest(room, F.lit(0))))
+    fate = sizes.groupBy("day").agg(F.max("left").alias("most"), F.max(F.col("n") > F.col("left")).alias("loses"))
+    days = fate.collect()  # a row per day
+    gone, cut = [r.day for r in days if r.most == 0], [r.day for r in days if r.most and r.loses]
+    if cut:
+        rows = table.where(F.col("day").isin(cut)).join(sizes.where(F.col("left") > 0), ["day", *params.KEY])
+        place = F.row_number().over(Window.partitionBy("day", *params.KEY).orderBy(*(F.col(c).desc() for c in params.ORDER)))
+        rows = rows.withColumn("_place", place).where(F.col("_place") <= F.col("left")).select(*table.columns)
+        rows = materialise(rows).repartitionByRange("day", *params.KEY, *params.ORDER).sortWithinPartitions("day", *params.KEY, *params.ORDER)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in gone:
+        remove(spark, f"{path}/day={day}")
+    return {"dropped": len(gone), "rewritten": len(cut), "kept": len(days) - len(gone) - len(cut)}
+
+
 def newest_per_series(metrics: DataFrame, keep: int) -> DataFrame:
     """The newest ``keep`` rows of every series. Spark drops rows beyond each task's own ``keep`` before the exchange, so
     a hot series sends no more than that from each task; its optimizer does so up to a threshold, raised here."""
     conf, name = metrics.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    conf.set(name, str(max(keep, int(conf.get(name, "1000")))))
+    conf.set(name, str(max(keep, int(conf.get(name, "1000")))))  # read when the plan is made, which is later
     newest = F.row_number().over(Window.partitionBy(*params.KEY).orderBy(*(F.col(c).desc() for c in params.ORDER)))
     return metrics.withColumn("_newest", newest).where(F.col("_newest") <= keep).drop("_newest")
 
@@ -111,13 +150,12 @@ def cap_history(df: DataFrame, keep: int = params.HISTORY_CAP, time: str = "time
     """The newest ``keep`` rows. The time of the oldest kept row is found by counting, so the rows
     themselves are filtered in place instead of being sorted into one task."""
     at = F.unix_micros(time)
-    total = df.count()
-    if total <= keep:
+    found = cut_from_top(df.select(at.cast("double").alias("v")), "v", keep)
+    if found is None:
         return df
-    cut = int(value_at_rank(df.select(at.cast("double").alias("v")), "v", total - keep))
-    newer = df.where(at > cut)
-    ties = df.where(at == cut).orderBy(F.col(tie).desc()).limit(keep - newer.count())
-    return newer.unionByName(ties)
+    cut, newer = int(found[0]), found[1]
+    ties = df.where(at == cut).orderBy(F.col(tie).desc()).limit(keep - newer)
+    return df.where(at > cut).unionByName(ties)
 
 
 def save_model_state(spark: SparkSession, path: str, name: str, state: dict, at) -> None:

@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from .. import params
 from ..functions.scalars import finite
 from ..operators.ensemble import anomalies_of, score_rows, with_vectors
+from ..session import materialise
+from ..sources import registry, sink, store
 from . import blocks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,6 +32,7 @@ ROW = T.StructType(
     ]
 )
 STATE = "pos long, mean double, m2 double, lo double, hi double, recent array<double>"
+LAST = "at long, metric_id string"  # of the newest settled row
 NUMBERS = ("mean", "std", "min", "max", "q1", "q3", *[f"_{m}_{k}" for k in (5, 15, 30) for m in ("mean", "std")],
            "_min_30", "_max_30", "_lag1", "_lag2")
 OUTPUT = T.StructType(
@@ -45,6 +48,9 @@ OUTPUT = T.StructType(
 )
 
 
+LATE = ("metric_id", "metric_type", "value", "timestamp", "host", "service")
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -54,6 +60,12 @@ def dedup_metrics(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["metric_id"])
 
 
+def publish_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """A metric stream appended to the metrics table, each metric_id once whatever was read before: a restart without its
+    checkpoint, or a second replica, adds no row."""
+    return sink.run_batches(stream, lambda rows, _: store.publish_new_metrics(rows, path), checkpoint, once)
+
+
 def settle(pending, watermark_ms: int):
     """Rows that the watermark has passed, in order, and the rows that still wait."""
     rows = list(pending)
@@ -67,14 +79,30 @@ def due_ms(at) -> int:
 
 
 class SeriesState(StatefulProcessor):
+    """Settles the rows of a series in time order. With ``keep_late``, rows that belong before what is settled come out
+    at once, marked, without statistics."""
+
+    def __init__(self, keep_late: bool = False):
+        self.keep_late = keep_late
+
     def init(self, handle):
         self.handle = handle
         self.pending = handle.getListState("pending", ROW)
         self.series = handle.getValueState("series", STATE)
+        self.last = handle.getValueState("last", LAST) if self.keep_late else None
 
     def handleInputRows(self, key, rows, timerValues):
         first = None
+        last = tuple(self.last.get()) if self.keep_late and self.last.exists() else None
         for pdf in rows:
+            if last is not None:
+                late = (pdf["at"] < last[0]) | ((pdf["at"] == last[0]) & (pdf["metric_id"] <= last[1]))
+                if late.any():
+                    out = pdf.loc[late, ROW.fieldNames()].assign(host=key[0], metric_type=key[1], late=True)
+                    yield out.reindex(columns=[*OUTPUT.fieldNames(), "late"]).astype({"_pos": "Int64", "count": "Int64"}).assign(_recent=None)
+                    pdf = pdf[~late]
+                if not len(pdf):
+                    continue
             self.pending.appendList(list(pdf[ROW.fieldNames()].itertuples(index=False, name=None)))
             low = due_ms(pdf["at"].min())
             first = low if first is None else min(first, low)
@@ -86,6 +114,8 @@ class SeriesState(StatefulProcessor):
         done, waiting = settle(self.pending.get(), timerValues.getCurrentWatermarkInMs())
         if not done:
             return
+        if self.keep_late:
+            self.last.update((done[-1][2], done[-1][0]))
         if waiting:
             self.pending.put(waiting)
             self.handle.registerTimer(due_ms(min(r[2] for r in waiting)))
@@ -98,26 +128,36 @@ class SeriesState(StatefulProcessor):
         rows = pd.DataFrame(done, columns=ROW.fieldNames())
         state, columns = blocks.advance(state, rows["value"].to_numpy(dtype="float64"))
         self.series.update((*[state[n] for n in ("pos", "mean", "m2", "lo", "hi")], state["recent"].tolist()))
-        yield pd.DataFrame({"host": key[0], "metric_type": key[1], **rows, **columns})[OUTPUT.fieldNames()]
+        out = pd.DataFrame({"host": key[0], "metric_type": key[1], **rows, **columns})[OUTPUT.fieldNames()]
+        yield out.assign(late=False) if self.keep_late else out
 
     def close(self):
         pass
 
 
-def score_stream(stream: DataFrame, forest=None, sequence=None, iqr_warmup: str = "zero", delay: str | None = "10 minutes") -> DataFrame:
-    """Every metric row of the stream with checks and vote; ``delay=None`` when the stream already
-    has its watermark."""
+def series_stream(stream: DataFrame, delay: str | None = "10 minutes", keep_late: bool = False) -> DataFrame:
+    """Every metric row of the stream with the columns of its series' windows; ``delay=None`` when the stream already has
+    its watermark. Rows behind the watermark are dropped and counted; with ``keep_late`` none is: a row that comes after
+    later ones of its series are settled is marked in the column ``late``, without statistics, and all others count."""
     use_rocksdb(stream.sparkSession)
     if delay is not None:
         stream = stream.withWatermark("timestamp", delay)
     stream = stream.where(finite(F.col("value")))
     rows = stream.select("host", "metric_type", "metric_id", "value", F.unix_micros("timestamp").alias("at"), "service", "timestamp")
+    # Spark drops late rows by the event time among the input's columns.
+    rows = rows.drop("timestamp") if keep_late else rows
+    output = T.StructType([*OUTPUT.fields, T.StructField("late", T.BooleanType())]) if keep_late else OUTPUT
     stated = rows.groupBy(*params.KEY).transformWithStateInPandas(
-        statefulProcessor=SeriesState(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=SeriesState(keep_late), outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
-    stated = stated.withColumn("timestamp", F.timestamp_micros("at")).withColumns(
+    return stated.withColumn("timestamp", F.timestamp_micros("at")).withColumns(
         {n: F.when(~F.isnan(n), F.col(n)) for n in ("_lag1", "_lag2")}
     )
+
+
+def score_stream(stream: DataFrame, forest=None, sequence=None, iqr_warmup: str = "zero", delay: str | None = "10 minutes") -> DataFrame:
+    """Every metric row of the stream with checks and vote by models that stay the same."""
+    stated = series_stream(stream, delay)
     return score_rows(with_vectors(stated, forest, sequence), forest, sequence, iqr_warmup).drop("at")
 
 
@@ -127,3 +167,25 @@ def detect_stream(
 ) -> DataFrame:
     """Anomalies of a metric stream, as soon as the watermark has passed them."""
     return anomalies_of(score_stream(stream, forest, sequence, iqr_warmup, delay), flag, score)
+
+
+def detect_versions(
+    stream: DataFrame, models: str, ledger: str, targets: tuple, checkpoint: str, query: str = "detector", iqr_warmup: str = "zero",
+    delay: str | None = "10 minutes", once: bool = True, late: str | None = None,
+):
+    """Continuous detection with model replacement: every micro-batch is scored by the version of the registry ``models``
+    that is committed when it starts, and its anomalies go to all ``targets``. The state of the series outlives versions.
+    The ledger notes the version of each batch; a batch that is replayed after its ledger row keeps what it wrote. ``late``:
+    a table for the rows that come too late for their series, which are dropped otherwise."""
+
+    def each(rows: DataFrame, number: int) -> None:
+        if late is not None:
+            rows = materialise(rows)  # what the state gives is computed once
+            sink.write_batch(rows.where("late").select(*LATE), f"{query}_late", number, ledger, late)
+            rows = rows.where("not late").drop("late")
+        version = registry.load(rows.sparkSession, models)
+        forest, sequence = (version.forest, version.sequence) if version else (None, None)
+        scored = score_rows(with_vectors(rows, forest, sequence), forest, sequence, iqr_warmup).drop("at")
+        sink.write_batch(anomalies_of(scored), query, number, ledger, *targets, note=version.name if version else None)
+
+    return sink.run_batches(series_stream(stream, delay, late is not None), each, checkpoint, once)
