@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import params
+from . import given, params
 from .functions import scalars as fn
 from .operators import alerts as al
 from .operators import features as ft
@@ -19,12 +19,12 @@ from .operators.percentile import exact_percentile
 from .operators.series import arrange
 from .plans import reports as rp
 from .plans import training as tr
-from .session import scratch
+from .session import materialise, scratch
 from .sources import collect as co
 from .sources import records as rc
-from .sources import store
+from .sources import registry, rollup, sink, store
 from .streaming.alerts import alert_stream
-from .streaming.detect import dedup_metrics, detect_stream
+from .streaming.detect import dedup_metrics, detect_stream, detect_versions, publish_stream
 from .streaming.reports import downsample_stream, health_stream, run_to_end
 
 QUERIES: dict = {}
@@ -185,6 +185,7 @@ def user_actions(anomalies: DataFrame) -> DataFrame:
 
 def lifecycle(spark, sf_dir, actions: bool = False, **options):
     found = stat_anomalies(spark, sf_dir)
+    found = materialise(found) if actions else found
     return al.process_anomalies(found, user_actions(found) if actions else None, **options)
 
 
@@ -423,6 +424,15 @@ def retention_trim(spark, sf_dir):
     return rows.select(*IDS, *_r("value"))
 
 
+@query("w16_compacted_table")
+def compacted_table(spark, sf_dir):
+    """The published table after day-level compaction."""
+    path = scratch(spark)
+    store.publish_metric(co.load_metrics(spark, sf_dir), path)
+    store.compact(spark, path, 100)
+    return store.read_metrics(spark, path).select(*IDS, *_r("value"))
+
+
 @query("w17_buffer_cap")
 def buffer_cap(spark, sf_dir):
     return store.buffer_cap(co.load_metrics(spark, sf_dir), 200).select(*IDS, *_r("value"))
@@ -524,7 +534,7 @@ def alert_status_counts(spark, sf_dir):
 
 @query("a4_pipeline_stats")
 def pipeline_stats(spark, sf_dir):
-    found = stat_anomalies(spark, sf_dir)
+    found = materialise(stat_anomalies(spark, sf_dir))
     alerts = al.alert_rows(al.process_anomalies(found)).where(F.col("action").isin("created", "escalated"))
     return rp.pipeline_stats(co.load_metrics(spark, sf_dir), found, alerts)
 
@@ -571,12 +581,8 @@ def health_latest(spark, sf_dir):
     return rows.select("service_name", "status", fn.micros(F.col("last_check")).alias("at_us"), fn.format_uptime(F.col("uptime_seconds")).alias("uptime"))
 
 
-@query("a13_dashboard_summary")
-def dashboard_summary(spark, sf_dir):
+def _summary(parts):
     """The countable parts of the summary in one long table."""
-    found = stat_anomalies(spark, sf_dir)
-    alerts = al.alert_rows(al.process_anomalies(found)).where(F.col("action").isin("created", "escalated"))
-    parts = rp.dashboard_summary(co.load_metrics(spark, sf_dir), found, alerts, health_rows(spark, sf_dir), NOW)
     named = [
         parts["stats"].select(F.lit("stats").alias("part"), "name", "value"),
         parts["severity_counts"].select(F.lit("severity").alias("part"), F.col("severity").alias("name"), F.col("n").alias("value")),
@@ -588,6 +594,43 @@ def dashboard_summary(spark, sf_dir):
     return co.union_sources(*named)
 
 
+def _raised(found):
+    return materialise(al.alert_rows(al.process_anomalies(found)).where(F.col("action").isin("created", "escalated")))
+
+
+@query("a13_dashboard_summary")
+def dashboard_summary(spark, sf_dir):
+    found = materialise(stat_anomalies(spark, sf_dir))
+    return _summary(rp.dashboard_summary(co.load_metrics(spark, sf_dir), found, _raised(found), health_rows(spark, sf_dir), NOW))
+
+
+def _rolled_up(spark, sf_dir):
+    """Rollups kept over three batches of metrics, anomalies and alerts, the second of which comes twice."""
+    root, metrics, found = scratch(spark), co.load_metrics(spark, sf_dir), materialise(stat_anomalies(spark, sf_dir))
+    alerts, third = _raised(found), F.pmod(F.xxhash64("host", "metric_type"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        rollup.add_metrics(metrics.where(F.col("metric_id").cast("long") % 3 == batch), root, batch)
+        rollup.add_events(found.where(third == batch), "anomalies", root, batch)
+        rollup.add_events(alerts.where(third == batch), "alerts", root, batch)
+    return root, found.schema, alerts.schema
+
+
+@query("a1_catalog_from_rollup")
+def catalog_from_rollup(spark, sf_dir):
+    return rollup.series_catalog(spark, _rolled_up(spark, sf_dir)[0])
+
+
+@query("a4_stats_from_rollup")
+def stats_from_rollup(spark, sf_dir):
+    return rollup.pipeline_stats(spark, _rolled_up(spark, sf_dir)[0])
+
+
+@query("a13_summary_from_rollup")
+def summary_from_rollup(spark, sf_dir):
+    root, anomalies, alerts = _rolled_up(spark, sf_dir)
+    return _summary(rollup.dashboard_summary(spark, root, anomalies, alerts, health_rows(spark, sf_dir), NOW))
+
+
 @query("a14_system_health")
 def system_health(spark, sf_dir):
     return rp.system_health(health_rows(spark, sf_dir), NOW, ttl=1800)
@@ -849,6 +892,92 @@ def training_status(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, status string, samples long")
 
 
+# ---- given models, which SQL evaluates too -----------------------------------------------
+
+
+@query("d3_given_forest")
+def given_forest(spark, sf_dir):
+    rows = fo.isolation_forest_predict(tr.forest_training_rows(co.load_metrics(spark, sf_dir)), given.forest(1))
+    return rows.select(*IDS, "forest_label", *_r("forest_decision"))
+
+
+def _windows(spark, sf_dir):
+    return ft.sequences(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=30)).rows()
+
+
+@query("d6_given_sequence")
+def given_sequence(spark, sf_dir):
+    rows = sq.sequence_predict(_windows(spark, sf_dir), given.sequence(1))
+    return rows.select(*IDS, "sequence_flag", *_r("sequence_score", "sequence_mse"))
+
+
+@query("d10_given_ensemble")
+def given_ensemble(spark, sf_dir):
+    """The whole detection: statistics, forest, sequence model, vote, severity and text."""
+    rows = detect_batch(co.load_metrics(spark, sf_dir), given.forest(1), given.sequence(1))
+    return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"), "description")
+
+
+@query("a11_ensemble_quality")
+def ensemble_quality(spark, sf_dir):
+    """False positives and detections of the whole ensemble, against the same truth as ``a11_detection_quality``."""
+    metrics = co.load_metrics(spark, sf_dir)
+    truth = metrics.select("metric_id", (F.col("tags")["k"].cast("int") >= 90).alias("label"))
+    return rp.detection_quality(score_metrics(metrics, given.forest(1), given.sequence(1)).join(truth, "metric_id"))
+
+
+def _forest_stats(spark, sf_dir) -> dict:
+    """The training report of the given forest, its offset being the contamination quantile of its scores."""
+    rows = tr.forest_training_rows(co.load_metrics(spark, sf_dir))
+    scored = materialise(rows.select(fo.forest_score_samples(spark, given.forest(1)).alias("score")))
+    offset = exact_percentile(scored, "score", params.CONTAMINATION)[()]
+    return fo.training_stats(scored, offset, scored.count(), len(params.FEATURES))
+
+
+def _sequence_stats(spark, sf_dir) -> dict:
+    """The training reports of the given basis; every tenth id is held out."""
+    rows = _windows(spark, sf_dir).where("sequence is not null")
+    error = sq.reconstruction_error(spark, given.sequence(1), F.col("sequence"), F.col("metric_type"))
+    held = F.col("metric_id").cast("long") % 10 == 0
+    errors = materialise(rows.select("metric_type", held.alias("held"), error.alias("mse")).where("mse is not null"))
+    return sq.training_stats(errors)
+
+
+@query("a7_training_stats_forest")
+def forest_stats(spark, sf_dir):
+    stats = _forest_stats(spark, sf_dir)
+    rows = spark.createDataFrame([tuple(stats.values())], "status string, samples long, features long, anomalies long, rate double, mean double, std double")
+    return rows.select("status", "samples", "features", "anomalies", *_r("rate", "mean", "std"))
+
+
+@query("a8_training_stats_sequence")
+def sequence_stats(spark, sf_dir):
+    rows = [(k, *v.values()) for k, v in _sequence_stats(spark, sf_dir).items()]
+    rows = spark.createDataFrame(rows, "metric_type string, sequences long, loss double, val_loss double, threshold double, mse_mean double, mse_std double")
+    return rows.select("metric_type", "sequences", *_r("loss", "val_loss", "threshold", "mse_mean", "mse_std"))
+
+
+@query("a9_training_report")
+def training_report(spark, sf_dir):
+    """The long table of both reports; numbers as numbers."""
+    results = {"isolation_forest": _forest_stats(spark, sf_dir)} | {f"lstm_{k}": v for k, v in _sequence_stats(spark, sf_dir).items()}
+    report, number = rp.training_report(spark, results), F.expr("try_cast(value as double)")
+    return report.select("model", "key", near(number).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+RETRAINED = ("2024-01-25 00:00:00", "2024-01-25 12:00:00", "2024-01-26 00:00:00", "2024-01-27 06:00:00")
+
+
+@query("d11_retrain_job")
+def retrain_job(spark, sf_dir):
+    """The periodic job at four times, of which one comes too early: the committed runs."""
+    metrics, root = materialise(co.load_metrics(spark, sf_dir)), f"{scratch(spark)}/models"
+    for now in RETRAINED:
+        tr.retrain(metrics, root, now, retention=600, trees=8)
+    runs = registry.runs(spark, root).where(F.col("name") != registry.LATEST_RUN)
+    return runs.select(_text("ts").alias("at"), F.col("name").alias("model"), F.col("state")["status"].alias("status"), F.col("state")["samples"].cast("long").alias("samples"))
+
+
 @query("a8_exact_percentile")
 def percentile(spark, sf_dir):
     """The percentile that sets thresholds, per metric type."""
@@ -901,12 +1030,18 @@ def stream_detection(spark, sf_dir):
     return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"))
 
 
-def _fed(spark, *parts):
-    """A stream of tables that arrive one after the other, each in a micro-batch of its own."""
-    path = scratch(spark)
+FILES = 4  # of a micro-batch
+
+
+def _fed(spark, *parts, path: str | None = None):
+    """A stream of tables that arrive one after the other, each in a micro-batch of its own and in as many files."""
+    path = path or scratch(spark)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return store.read_stream(spark, path, parts[0].schema, files_per_batch=1)
+        spread = part.count() >= 100 * FILES
+        (part.repartition(FILES) if spread else part.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range(0 if spread else FILES - 1):
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return store.read_stream(spark, path, parts[0].schema, files_per_batch=FILES)
 
 
 @query("x1_detect_batches")
@@ -918,6 +1053,42 @@ def stream_detection_in_batches(spark, sf_dir):
     return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"))
 
 
+@query("x1_versioned_detection")
+def versioned_detection(spark, sf_dir):
+    """The whole detection over four micro-batches, with another version of the models after the second; anomalies go to
+    two targets, of which the copy is read, with the version that scored them."""
+    metrics, day, base = co.load_metrics(spark, sf_dir), F.dayofmonth("timestamp"), scratch(spark)
+    weeks = [metrics.where((day > a) & (day <= b)) for a, b in ((0, 8), (8, 16), (16, 24), (24, 31))]
+    targets = (f"{base}/log", f"{base}/history")
+    for version, parts, at in ((1, weeks[:2], "2024-01-01"), (2, weeks[2:], "2024-01-17")):
+        registry.commit(spark, f"{base}/models", given.forest(version), given.sequence(version), {}, at)
+        stream = _fed(spark, *parts, path=f"{base}/in")
+        detect_versions(stream, f"{base}/models", f"{base}/ledger", targets, f"{base}/offsets", delay="0 seconds")
+    schema = anomalies_of(score_metrics(metrics.limit(0), given.forest(1), given.sequence(1))).schema
+    rows = sink.read_target(spark, targets[1], f"{base}/ledger", "detector", schema)
+    return rows.select("anomaly_id", "host", "metric_type", "severity", *_r("value", "anomaly_score"), "description", F.substring("sink_note", 1, 8).alias("version"))
+
+
+@query("s5_stream_to_two_targets")
+def stream_to_two_targets(spark, sf_dir):
+    """Anomalies that arrive in three micro-batches, written once to log and history; then the first and the last batch
+    come again, one of them with its ledger row and one without."""
+    found, base, hour = materialise(stat_anomalies(spark, sf_dir)), scratch(spark), F.hour("timestamp")
+    stream = _fed(spark, found.where(hour < 4), found.where((hour >= 4) & (hour < 8)), found.where(hour >= 8))
+    targets = (f"{base}/log", f"{base}/history")
+
+    def each(rows, number):
+        sink.write_batch(rows, "anomalies", number, f"{base}/ledger", *targets)
+        if number == 0:
+            sink.write_batch(rows, "anomalies", number, f"{base}/ledger", *targets)
+        if number == 2:
+            sink.write_batch(rows, "anomalies", number, f"{base}/lost", *targets)
+
+    sink.run_batches(stream, each, f"{base}/offsets")
+    rows = [sink.read_target(spark, t, f"{base}/ledger", "anomalies", found.schema).select(F.lit(n).alias("target"), "severity") for t, n in zip(targets, ("log", "history"))]
+    return co.union_sources(*rows).groupBy("target", "severity").agg(F.count("*").alias("n"))
+
+
 @query("x4_late_rows")
 def late_rows(spark, sf_dir):
     """Every fifth point comes two batches later, when the watermark of the first has closed most periods: it counts
@@ -937,6 +1108,20 @@ def stream_alerts(spark, sf_dir):
     return _log(log)
 
 
+@query("x2_alert_actions")
+def stream_alerts_with_actions(spark, sf_dir):
+    """Two streams, anomalies and what users did, in three micro-batches by time."""
+    found, hour = materialise(stat_anomalies(spark, sf_dir)), F.hour("timestamp")
+    acted = user_actions(found).join(found.select(al.alert_id_of().alias("alert_id"), *params.KEY), "alert_id")
+    done = F.hour("ts")
+    streams = [
+        _fed(spark, rows.where(h < 4), rows.where((h >= 4) & (h < 8)), rows.where(h >= 8))
+        for rows, h in ((found, hour), (acted, done))
+    ]
+    _, log = _run(spark, alert_stream(*streams, delay="0 seconds"))
+    return _log(log)
+
+
 @query("x3_dedup_metrics")
 def stream_dedup(spark, sf_dir):
     """Two replicas of the stream, each row kept once."""
@@ -945,6 +1130,16 @@ def stream_dedup(spark, sf_dir):
     return rows.groupBy("host", "metric_type").agg(F.count("*").alias("n"), F.countDistinct("metric_id").alias("ids"))
 
 
+@query("x3_restart")
+def stream_restart(spark, sf_dir):
+    """The published table after a run to the end, and another from the beginning without the first one's checkpoint."""
+    path = scratch(spark)
+    for run in ("first", "second"):
+        publish_stream(metric_stream(spark, sf_dir), f"{path}/metrics", f"{path}/{run}")
+    rows = store.read_metrics(spark, f"{path}/metrics")
+    return rows.groupBy("host", "metric_type").agg(F.count("*").alias("n"), F.countDistinct("metric_id").alias("ids"))
+
+
 @query("x5_downsample_stream")
 def stream_downsample(spark, sf_dir):
     _, rows = _run(spark, downsample_stream(metric_stream(spark, sf_dir), delay="0 seconds"))

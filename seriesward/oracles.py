@@ -1,6 +1,8 @@
 """SQL twins of the registered queries, for DuckDB over the same tables."""
 
-from . import params
+import math
+
+from . import given, params
 
 SQL: dict = {}
 
@@ -527,3 +529,120 @@ reach AS (SELECT max(epoch_us(ts)) FILTER (WHERE CAST(metric_id AS BIGINT) % 5 <
 p AS (SELECT *, date_trunc('day', ts) AS period, epoch_us(date_trunc('day', ts)) + 86400000000 AS ends FROM m, reach)
 SELECT host, metric_type, strftime(period, '%Y-%m-%d %H:%M:%S.%f') AS period_start, {near("avg(value)")} AS average, {near("max(value)")} AS maximum
 FROM p WHERE ends <= last_ AND (CAST(metric_id AS BIGINT) % 5 <> 0 OR ends > first_) GROUP BY host, metric_type, period"""
+
+# ---- given models ---------------------------------------------------------------------------------
+
+
+def _path(size):
+    """Mean path below a leaf of so many rows."""
+    return 0.0 if size < 2 else 1.0 if size == 2 else 2 * (math.log(size - 1) + 0.5772156649015329) - 2 * (size - 1) / size
+
+
+def scored_by(version, source="x"):
+    """CTE d: the rows of x with both given models and the vote."""
+    paths = " + ".join(f"CASE WHEN {f} <= {split!r} THEN {1 + _path(left)!r} ELSE {1 + _path(right)!r} END" for f, split, left, right in given.TREES[version])
+    mean, std = (_case("metric_type", {k: v[i] for k, v in given.NORMAL.items()}) for i in (0, 1))
+    n = params.SEQUENCE_LENGTH
+    return f"""
+d0 AS (
+  SELECT *, CASE WHEN n >= 30 THEN -pow(2.0, -(({paths}) / 3.0) / {_path(given.ROWS)!r}) END AS forest_raw,
+         CASE WHEN n >= 30 THEN list_transform(seq, lambda v: (v - {mean}) / {std}) END AS norm FROM {source}),
+d1 AS (
+  SELECT *, forest_raw - {given.OFFSETS[version]!r} AS decision,
+         (list_sum(list_transform(norm, lambda v: v * v)) - pow(list_sum(norm), 2) / {n}
+          - pow(list_sum(list_transform(norm, lambda v, i: v * (i - {(n + 1) / 2}))), 2) / {n * (n * n - 1) / 12}) / {n} AS mse FROM d0),
+d2 AS (
+  SELECT *, coalesce(decision < 0, false) AS forest_flag, coalesce(1 / (1 + exp(decision)), 0.0) AS forest_score,
+         coalesce(mse > {given.LIMITS[version]}, false) AS sequence_flag, CASE WHEN mse IS NULL THEN 0.0 ELSE least(1.0, mse / {2 * given.LIMITS[version]}) END AS sequence_score FROM d1),
+d AS (
+  SELECT *, 0.25 * stat_score + 0.40 * forest_score + 0.35 * sequence_score AS ens, round(0.25 * stat_score + 0.40 * forest_score + 0.35 * sequence_score, 4) AS anomaly_score,
+         0.25 * stat_score + 0.40 * forest_score + 0.35 * sequence_score >= 0.85
+         OR stat_flag::INTEGER + forest_flag::INTEGER + sequence_flag::INTEGER >= 2 AS is_anomaly FROM d2)"""
+
+
+TO_VOTE = f"""{TO_CHECK},{features(30, True)},
+seqs AS (SELECT metric_id, list(value) OVER (PARTITION BY host, metric_type ORDER BY ts, metric_id ROWS 29 PRECEDING) AS seq FROM m),
+x AS (
+  SELECT c.*, seqs.seq, g.z_score, g.dev_5, g.dev_15, g.percentile, g.range_position
+  FROM c JOIN seqs ON seqs.metric_id = c.metric_id JOIN g ON g.metric_id = c.metric_id)"""
+
+
+def anomalies_by(version, where="true"):
+    """The anomalies of the ensemble with one version of the models."""
+    sev = severity("value", "ens")
+    return f"""SELECT sha256('anomaly|' || metric_id) AS anomaly_id, host, metric_type, {sev} AS severity, {near("value")} AS value,
+  {near("anomaly_score")} AS anomaly_score,
+  upper({sev}) || ' anomaly detected on ' || host || ' for ' || metric_type || '. Current value: ' || format('{{:.2f}}', value) || ', Expected: '
+  || format('{{:.2f}}', round(mean, 6)) || ' ± ' || format('{{:.2f}}', round(std, 6)) || '. Detected by: '
+  || concat_ws(', ', CASE WHEN stat_flag THEN 'statistical' END, CASE WHEN forest_flag THEN 'isolation_forest' END, CASE WHEN sequence_flag THEN 'lstm' END)
+  || '. Scores: statistical=' || {score_text("stat_score")} || ', isolation_forest=' || {score_text("forest_score")}
+  || ', lstm=' || {score_text("sequence_score")} || '.' AS description FROM d WHERE is_anomaly AND {where}"""
+
+
+SQL["d3_given_forest"] = f"""{TO_VOTE},{scored_by(1)}
+SELECT metric_id, host, metric_type, CASE WHEN decision < 0 THEN -1 ELSE 1 END AS forest_label, {near("decision")} AS forest_decision FROM d WHERE n >= 30"""
+SQL["d6_given_sequence"] = f"""{TO_VOTE},{scored_by(1)}
+SELECT metric_id, host, metric_type, sequence_flag, {near("sequence_score")} AS sequence_score, {near("mse")} AS sequence_mse FROM d"""
+SQL["d10_given_ensemble"] = f"{TO_VOTE},{scored_by(1)} {anomalies_by(1)}"
+SQL["a11_ensemble_quality"] = SQL["a11_detection_quality"].replace(TO_CHECK, f"{TO_VOTE},{scored_by(1)}").replace("SELECT stat_flag AS p", "SELECT is_anomaly AS p").replace("FROM c)", "FROM d)")
+# The version valid when a row is settled: the first until the watermark of the second micro-batch.
+BEFORE = "epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM m WHERE day(ts) <= 16)"
+SETTLED = "epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM m)"
+SQL["x1_versioned_detection"] = f"""{TO_VOTE},
+first_ AS (SELECT * FROM (WITH {scored_by(1)} {anomalies_by(1, BEFORE)})),
+second_ AS (SELECT * FROM (WITH {scored_by(2)} {anomalies_by(2, f"NOT ({BEFORE}) AND {SETTLED}")}))
+SELECT *, '20240101' AS version FROM first_ UNION ALL SELECT *, '20240117' FROM second_"""
+FOREST_STATS = f"""
+fo AS (SELECT quantile_cont(forest_raw, {params.CONTAMINATION}) AS off FROM d WHERE n >= 30),
+fs AS (
+  SELECT count(*) AS samples, count(*) FILTER (WHERE forest_raw - off < 0) AS anomalies, round(count(*) FILTER (WHERE forest_raw - off < 0) / count(*), 4) AS rate,
+         round(avg(forest_raw - off), 4) AS mean, round(stddev_pop(forest_raw - off), 4) AS std FROM d, fo WHERE n >= 30)"""
+SEQUENCE_STATS = """
+ss AS (
+  SELECT metric_type, count(*) AS sequences, avg(mse) FILTER (WHERE metric_id::BIGINT % 10 <> 0) AS final_loss, avg(mse) FILTER (WHERE metric_id::BIGINT % 10 = 0) AS val_loss,
+         quantile_cont(mse, 0.95) AS threshold, avg(mse) AS mse_mean, stddev_pop(mse) AS mse_std FROM d WHERE mse IS NOT NULL GROUP BY 1)"""
+TO_STATS = f"{TO_VOTE},{scored_by(1)},{FOREST_STATS},{SEQUENCE_STATS}"
+SQL["a7_training_stats_forest"] = f"""{TO_STATS} SELECT 'trained' AS status, samples, 16::BIGINT AS features, anomalies, {near("rate")} AS rate,
+  {near("mean")} AS mean, {near("std")} AS std FROM fs"""
+SQL["a8_training_stats_sequence"] = f"""{TO_STATS} SELECT metric_type, sequences, {near("final_loss")} AS loss, {near("val_loss")} AS val_loss,
+  {near("threshold")} AS threshold, {near("mse_mean")} AS mse_mean, {near("mse_std")} AS mse_std FROM ss"""
+SQL["a9_training_report"] = f"""{TO_STATS},
+long AS (
+  SELECT 'isolation_forest' AS model, unnest(['samples', 'features', 'anomalies_in_training', 'anomaly_rate', 'score_mean', 'score_std']) AS key,
+         unnest([samples, 16, anomalies, rate, mean, std]::DOUBLE[]) AS number FROM fs
+  UNION ALL
+  SELECT 'lstm_' || metric_type, unnest(['sequences', 'final_loss', 'val_loss', 'threshold', 'mse_mean', 'mse_std']),
+         unnest([sequences, final_loss, val_loss, threshold, mse_mean, mse_std]::DOUBLE[]) FROM ss)
+SELECT model, key, {near("number")} AS number, NULL::VARCHAR AS text FROM long UNION ALL SELECT 'isolation_forest', 'status', NULL, 'trained'"""
+
+# A run is due a day after the last one, or while there is no forest for want of rows.
+_DUE = ["2024-01-25 00:00:00", "2024-01-25 12:00:00", "2024-01-26 00:00:00", "2024-01-27 06:00:00"]
+SQL["d11_retrain_job"] = f"""{BASE},
+t AS (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in _DUE)}]) AS due),
+h AS (SELECT t.due, m.host, m.metric_type, m.value FROM t JOIN m ON m.ts >= t.due - INTERVAL 600 HOUR AND m.ts <= t.due),
+sizes AS (SELECT due, host, metric_type, count(*) AS n FROM h GROUP BY ALL),
+fit AS (SELECT due, sum(greatest(n - 29, 0))::BIGINT AS n FROM sizes GROUP BY due),
+runs AS (SELECT * FROM fit WHERE due <> TIMESTAMP '{_DUE[1]}' OR (SELECT n FROM fit WHERE due = TIMESTAMP '{_DUE[0]}') < 50),
+kinds AS (
+  SELECT r.due, k.kind, (SELECT coalesce(sum(s.n), 0)::BIGINT FROM sizes s WHERE s.due = r.due AND s.metric_type = k.kind AND s.n > 30) AS n
+  FROM runs r, (VALUES {KINDS}) AS k(kind)),
+result AS (
+  SELECT due, 'isolation_forest' AS model, CASE WHEN n >= 50 THEN 'trained' ELSE 'insufficient_data' END AS status, n AS samples FROM runs
+  UNION ALL SELECT due, 'lstm_' || kind, CASE WHEN n >= 80 THEN 'trained' ELSE 'insufficient_data' END, n FROM kinds)
+SELECT strftime(due, '%Y-%m-%d %H:%M:%S.%f') AS "at", model, status, samples FROM result"""
+SQL["s5_stream_to_two_targets"] = SQL["s5_publish_anomaly"]
+# The watermark of two streams is that of the slower one; what is newer still waits.
+SEEN = "(SELECT least((SELECT max(at_us) FROM a), (SELECT max(at_us) FROM act)) // 1000 * 1000)"
+SQL["x2_alert_actions"] = (
+    SQL["l8_auto_resolve"]
+    .replace(LIFE, LIFE_ACTED)
+    .replace("epoch_us(TIMESTAMP '2024-01-01 11:30:00')", SEEN)
+    .replace("FROM log WHERE action = 'auto_resolved'", "FROM log")
+    .replace("title, description FROM a\n", f"title, description FROM a WHERE at_us <= {SEEN}\n")
+    .replace("NULL, alert_id, usr, NULL, NULL FROM act))", f"NULL, alert_id, usr, NULL, NULL FROM act WHERE at_us <= {SEEN}))")
+)
+SQL["w16_compacted_table"] = SQL["w16_retention_trim"]
+SQL["x3_restart"] = SQL["x3_dedup_metrics"]
+SQL["a1_catalog_from_rollup"] = SQL["a1_series_catalog"]
+SQL["a4_stats_from_rollup"] = SQL["a4_pipeline_stats"]
+SQL["a13_summary_from_rollup"] = SQL["a13_dashboard_summary"]
