@@ -145,36 +145,28 @@ def _pairs(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def _full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """id and the full set of each wanted class (id, rep, s1, s2), from a row of its doc_id whose set it is."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "text"):
-            sets, at = sh.shingle_sets(batch.column("text"), width)
-            prints = sh.fingerprints(sets, at)
-            own = (prints[:, 0] == batch.column("s1").to_numpy()) & (prints[:, 1] == batch.column("s2").to_numpy())
-            full = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(sets.view(np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), full], names=["id", "shingles"]).filter(pa.array(own))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(wanted, "rep").select("id", "s1", "s2", "text").mapInArrow(run, "id long, shingles array<long>")
-    return rows.dropDuplicates(["id"])
-
-
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach ``percent`` of intersection over union."""
+    """The pairs (a, b) of classes whose full sets reach ``percent`` of intersection over union. A class's text is that of
+    its first row (rep, t1, t2)."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialise(_full_sets(materialise(classes.join(ends, "id", "left_semi")), docs, width))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b"
+    wanted = materialise(classes.join(ends, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "t1", "t2"))
+    texts = materialise(_texts(docs).join(wanted, ["doc_id", "t1", "t2"]).select("id", "text"))
+    many = materialise(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not many.isEmpty():  # rows that repeat a doc_id and text
+        one = texts.join(many, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        texts = materialise(texts.join(many, "id", "left_anti").unionByName(one))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, "left"):
+            one, at = sh.shingle_sets(batch.column("left"), width)
+            two, to = sh.shingle_sets(batch.column("right"), width)
             keep = []
             for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy() for c in ("left", "right"))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = one[at[k] : at[k + 1]], two[to[k] : to[k + 1]]
+                shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -185,9 +177,10 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, t1, t2, n_shingles, root (the group's number, null without a set or doc_id), least (its smallest doc_id)."""
     rows = materialise(sketched(docs, width))
     sets = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
-    reps = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"]).drop("rep", "t1", "t2").withColumnRenamed("id", "doc_id")
+    classes = sets.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"))
+    classes = classes.select("s1", "s2", F.col("first.doc_id").alias("rep"), "first.t1", "first.t2", F.monotonically_increasing_id().alias("id"))
+    classes = materialise(classes)
+    reps = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep", "t1", "t2"]).drop("rep", "t1", "t2").withColumnRenamed("id", "doc_id")
     reps = materialise(reps.dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
