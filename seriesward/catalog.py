@@ -230,7 +230,7 @@ def anomaly_json(spark, sf_dir):
     pair = rc.range_to_list(F.col("expected_range"))
     return good.select(
         "anomaly_id", "severity", fn.micros(F.col("timestamp")).alias("at_us"),
-        near(pair[0], 1).alias("lower"), near(pair[1], 1).alias("upper"),
+        near(pair[0], 2).alias("lower"), near(pair[1], 2).alias("upper"),
     )
 
 
@@ -278,7 +278,7 @@ def downsample_lookback(spark, sf_dir):
 @query("s10_counters_to_rate")
 def counters_to_rate(spark, sf_dir):
     rows = co.counters_to_rate(counter_rows(spark, sf_dir))
-    return rows.select("host", "counter", _text("ts").alias("ts"), near(F.col("rate_mb"), 3).alias("rate_mb"))
+    return rows.select("host", "counter", _text("ts").alias("ts"), near(F.col("rate_mb"), 4).alias("rate_mb"))
 
 
 # ---- projections, lookups, joins --------------------------------------------
@@ -300,7 +300,7 @@ def host_to_service(spark, sf_dir):
 @query("p3_clamp_value")
 def clamp_value(spark, sf_dir):
     wide = (F.col("value") - 40) * 3
-    return co.load_metrics(spark, sf_dir).select(*IDS, near(fn.clamp_value(F.col("metric_type"), wide), 3).alias("value"))
+    return co.load_metrics(spark, sf_dir).select(*IDS, near(fn.clamp_value(F.col("metric_type"), wide), 4).alias("value"))
 
 
 @query("p4_metric_history")
@@ -415,7 +415,7 @@ def sequences(spark, sf_dir):
 def expected_range(spark, sf_dir):
     sf = st.running_stats(arrange(_slim(co.load_metrics(spark, sf_dir)), frame=1))
     r = st.expected_range(sf.rows())
-    return r.select(*IDS, near(F.col("expected_range.lower"), 1).alias("lower"), near(F.col("expected_range.upper"), 1).alias("upper"))
+    return r.select(*IDS, near(F.col("expected_range.lower"), 2).alias("lower"), near(F.col("expected_range.upper"), 2).alias("upper"))
 
 
 @query("w16_retention_trim")

@@ -259,7 +259,7 @@ SELECT alert_id, severity, host, 'slack', NULL,
   '","fields":{{"what":"' || metric_type || '","where":"unknown / ' || host || '","level":"' || severity || '","state":"' || status ||
   '","since":"' || iso || '","id":"' || alert_id || '"}}}}}}' FROM n"""
 
-SQL["s2_anomaly_json"] = f"""{TO_ANOMALIES} SELECT anomaly_id, severity, at_us, {near("lower", 1)} AS lower, {near("upper", 1)} AS upper FROM a"""
+SQL["s2_anomaly_json"] = f"""{TO_ANOMALIES} SELECT anomaly_id, severity, at_us, {near("lower", 2)} AS lower, {near("upper", 2)} AS upper FROM a"""
 SQL["s3_alert_json"] = f"""{LIFE} SELECT alert_id, severity, status, title, created_at AS at_us, resolved FROM log WHERE {CHANGES}"""
 SQL["d9_describe_anomaly"] = f"{TO_ANOMALIES} SELECT anomaly_id, host, metric_type, severity, description FROM a"
 SQL["d8_determine_severity"] = f"""{BASE} SELECT metric_id, host, metric_type, {severity("value", "(value / 100)")} AS severity FROM m"""
@@ -301,7 +301,7 @@ SQL["s10_counters_to_rate"] = f"""WITH k AS (
 d AS (SELECT *, (value - lag(value) OVER w) / greatest((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 0.1) / 1048576.0 AS rate
   FROM k WINDOW w AS (PARTITION BY host, counter ORDER BY ts, value))
 SELECT host, counter, {STAMP} AS ts,
-  {near("CASE WHEN counter LIKE 'disk%' THEN round(rate, 2) ELSE round(rate, 4) END", 3)} AS rate_mb FROM d"""
+  {near("CASE WHEN counter LIKE 'disk%' THEN round(rate, 2) ELSE round(rate, 4) END", 4)} AS rate_mb FROM d"""
 
 # ---- projections, lookups, joins ------------------------------------------------
 
@@ -313,7 +313,7 @@ SELECT event_id, host, CASE WHEN contains(host, 'web') THEN 'web' WHEN contains(
 LOWS = _case("metric_type", {k: v[0] for k, v in params.PROFILES.items()})
 HIGHS = _case("metric_type", {k: v[1] for k, v in params.PROFILES.items()})
 SQL["p3_clamp_value"] = f"""{BASE} SELECT metric_id, host, metric_type,
-  {near(f"round(greatest({LOWS}, least({HIGHS}, (value - 40) * 3)), 4)", 3)} AS value FROM m"""
+  {near(f"round(greatest({LOWS}, least({HIGHS}, (value - 40) * 3)), 4)", 4)} AS value FROM m"""
 SQL["p4_metric_history"] = f"""{BASE} SELECT metric_id, {STAMP} AS ts, {near("value")} AS value FROM m
   WHERE host = 'host-1' AND metric_type = 'cpu_usage' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY"""
 SQL["p5_training_history"] = f"""{BASE} SELECT host, metric_type, count(*) AS n, {near("sum(value)", 2)} AS total FROM m
@@ -375,8 +375,8 @@ b AS (SELECT *, list(value) OVER w AS s FROM m WINDOW w AS (PARTITION BY host, m
 SELECT metric_id, host, metric_type, CAST(len(s) AS INTEGER) AS length, {near("s[1]", 3)} AS first_value, {near("list_sum(s)", 3)} AS total
 FROM b WHERE len(s) = 30"""
 SQL["w15_expected_range"] = f"""{BASE},{RUNNING} SELECT metric_id, host, metric_type,
-  {near("CASE WHEN n < 30 THEN 0.0 ELSE round(mean - 2 * std, 2) END", 1)} AS lower,
-  {near("CASE WHEN n < 30 THEN 100.0 ELSE round(mean + 2 * std, 2) END", 1)} AS upper FROM r"""
+  {near("CASE WHEN n < 30 THEN 0.0 ELSE round(mean - 2 * std, 2) END", 2)} AS lower,
+  {near("CASE WHEN n < 30 THEN 100.0 ELSE round(mean + 2 * std, 2) END", 2)} AS upper FROM r"""
 
 
 def newest(k):
