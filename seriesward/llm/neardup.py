@@ -150,7 +150,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     its first row (rep, t1, t2)."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = materialise(classes.join(ends, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "t1", "t2"))
-    texts = materialise(_texts(docs).join(wanted, ["doc_id", "t1", "t2"]).select("id", "text"))
+    texts = materialise(_texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))  # few ids, one column
+    texts = materialise(texts.join(wanted, ["doc_id", "t1", "t2"]).select("id", "text"))
     many = materialise(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     if not many.isEmpty():  # rows that repeat a doc_id and text
         one = texts.join(many, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
@@ -180,8 +181,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = sets.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"))
     classes = classes.select("s1", "s2", F.col("first.doc_id").alias("rep"), "first.t1", "first.t2", F.monotonically_increasing_id().alias("id"))
     classes = materialise(classes)
-    reps = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep", "t1", "t2"]).drop("rep", "t1", "t2").withColumnRenamed("id", "doc_id")
-    reps = materialise(reps.dropDuplicates(["doc_id"]))
+    own = ["s1", "s2", "rep", "t1", "t2"]  # of the join and of what is unique, so that rows move once
+    reps = sets.withColumnRenamed("doc_id", "rep").join(classes, own).dropDuplicates(own)
+    reps = materialise(reps.drop("rep", "t1", "t2").withColumnRenamed("id", "doc_id"))
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialise(keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
