@@ -218,10 +218,13 @@ def _tells(part: tuple) -> bool:
 def settled(page: list[Leaf]) -> list[Leaf]:
     """The page with plain containers for forms and for classes of boilerplate around over nine tenths of its text: such
     names speak of the layout (a form around the page, a wrapper called after its sidebar)."""
+    telling = {part for part in set().union(*(x.path for x in page)) if _tells(part)}
+    if not telling:
+        return page
     sizes: Counter = Counter()
     for x in page:
         for k, part in enumerate(x.path):
-            if _tells(part):
+            if part in telling:
                 sizes[x.path[: k + 1]] += len(x.text)
     most = 0.9 * sum(len(x.text) for x in page)
     wide = {p for p, n in sizes.items() if n > most}
