@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.scalars import decimals, determine_severity, stable_id
-from .features import drop_rolling, feature_columns, rolling
+from .features import drop_rolling, feature_columns, feature_window, sequence_window
 from .forest import ForestModel, isolation_forest_predict, isolation_forest_score
 from .sequence import SequenceModel, sequence_predict
 from .series import arrange
-from .stats import expected_range, recent_quartiles, running_stats, statistical_check
+from .stats import expected_range, quartile_window, running_stats, statistical_check
 
 
 def ensemble_vote(df: DataFrame, threshold: float = params.ANOMALY_THRESHOLD) -> DataFrame:
@@ -64,10 +64,12 @@ def score_metrics(
     limit: int | None = None,
 ) -> DataFrame:
     """Every metric row with statistics, the three checks and the vote."""
-    # Quartiles first, while rows are narrow: their groups go through Python as a whole.
-    sf = recent_quartiles(running_stats(arrange(metrics.select(*METRIC_COLUMNS), limit=limit)))
-    if forest is not None or sequence is not None:
-        sf = sf.with_df(with_vectors(rolling(sf).df, forest, sequence))
+    windows = [quartile_window()]
+    if forest is not None:
+        windows.append(feature_window(tuple("f_" + n for n in params.FEATURES)))
+    if sequence is not None:
+        windows.append(sequence_window(params.MIN_POINTS))
+    sf = running_stats(arrange(metrics.select(*METRIC_COLUMNS), limit=limit)).trailing(*windows)
     return score_rows(sf.rows(), forest, sequence, iqr_warmup)
 
 

@@ -119,6 +119,7 @@ def grow_tree(x: np.ndarray, tree: int, seed: int, limit: int) -> list:
             continue
         f = int(rng.choice(usable))
         split = float(rng.uniform(low[f], high[f]))
+        split = split if split < high[f] else float(low[f])  # neighbouring numbers: a draw may round up to the higher one
         goes_left = x[rows, f] <= split
         left, right = used, used + 1
         used += 2
@@ -196,14 +197,19 @@ def _paths(x: np.ndarray, m: dict) -> np.ndarray:
     rows, inner = len(x), 2 ** m["depth"] - 1
     flat = np.ascontiguousarray(x.T).ravel()  # column after column
     start, total = np.arange(rows), np.zeros(rows)
+    at, place = np.empty(rows, dtype="int64"), np.empty(rows, dtype="int64")
+    value_at, split_at, right = np.empty(rows), np.empty(rows), np.empty(rows, dtype=bool)
     for column, split, value in zip(m["feature"].astype("int64") * rows, m["split"], m["value"]):
-        at = np.zeros(rows, dtype="int64")
+        at[:] = 0
         for _ in range(m["depth"]):
-            right = flat.take(column.take(at) + start) > split.take(at)
+            # All places are inside; with "clip", take writes to the given array without a copy.
+            np.add(column.take(at, out=place, mode="clip"), start, out=place)
+            np.greater(flat.take(place, out=value_at, mode="clip"), split.take(at, out=split_at, mode="clip"), out=right)
             at *= 2
             at += 1
             at += right
-        total += value.take(at - inner)
+        at -= inner
+        total += value.take(at, out=value_at, mode="clip")
     return total / len(m["value"])
 
 

@@ -11,10 +11,14 @@ and running aggregates add the prefix of all earlier chunks.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import params
 from ..functions.scalars import finite
@@ -23,6 +27,26 @@ from ..session import materialise, rows_per_task
 ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
+@dataclass(frozen=True)
+class Trailing:
+    """Columns that follow from the last ``frame`` values of a row. ``compute`` gets the values of a batch with ``frame - 1``
+    earlier ones in front, the rows' numbers in their window partition, and their positions in the series. What lies in
+    front of a row belongs to its series only from number ``frame`` on."""
+
+    frame: int
+    fields: tuple
+    compute: Callable
+
+
+def led(batches, lead: int):
+    """Arrow batches of ordered rows, each with its values behind the ``lead`` values before them."""
+    before = np.zeros(lead)
+    for batch in batches:
+        x = np.concatenate([before, batch.column("value").to_numpy(zero_copy_only=False).astype("float64")])
+        before = x[len(x) - lead :]
+        yield batch, x
+
+
 @dataclass(frozen=True)
 class SeriesFrame:
     df: DataFrame
@@ -83,6 +107,31 @@ class SeriesFrame:
             cond = cond & df[c].eqNullSafe(right["_r_" + c])
         return df.join(right, cond, "left").drop(*["_r_" + c for c in self.part])
 
+    def numbered(self) -> DataFrame:
+        """The rows, partitioned and in order, with their number ``_row`` in the window partition."""
+        order = (*self.order, "_pos") if self.chunked else self.order
+        row = F.row_number().over(Window.partitionBy(*self.part).orderBy(*order))
+        return self.df.withColumn("_row", row)
+
+    def trailing(self, *windows: Trailing) -> SeriesFrame:
+        """Columns of the last values, by numpy on Arrow batches in one pass. A task holds a batch and the values of the
+        longest frame before it."""
+        for w in windows:
+            self.last(w.frame)  # checks that the arrangement covers the window
+        df, most = self.numbered(), max(w.frame for w in windows)
+
+        def add(batches):
+            for batch, x in led(batches, most - 1):
+                row, pos = batch.column("_row").to_numpy(), batch.column("_pos").to_numpy()
+                columns = dict(zip(batch.schema.names, batch.columns))
+                del columns["_row"]
+                for w in windows:
+                    columns |= zip([f.name for f in w.fields], w.compute(x[most - w.frame :], row, pos))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        fields = [f for w in windows for f in w.fields]
+        return self.with_df(df.mapInArrow(add, T.StructType([*self.df.schema.fields, *fields])))
+
     def rows(self, keep_position: bool = False) -> DataFrame:
         """The result without halo copies and helper columns."""
         df = self.df.where(~F.col("_halo")) if self.chunked else self.df

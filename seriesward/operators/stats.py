@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import params
 from ..functions.scalars import finite, threshold
-from .series import SeriesFrame
+from .series import SeriesFrame, Trailing
 
 
 def running_stats(sf: SeriesFrame) -> SeriesFrame:
@@ -99,27 +99,26 @@ def trailing_order_stats(values: np.ndarray, window: int, minimum: int):
     return q1, q3
 
 
+def quartile_window(window: int = params.QUARTILE_WINDOW, minimum: int = params.QUARTILE_MIN_POINTS) -> Trailing:
+    def compute(x, row, pos):
+        found = [v[window - 1 :] for v in trailing_order_stats(x, window, window)]
+        for v in found:
+            v[row < window] = 0.0
+        for i in np.flatnonzero((row >= minimum) & (row < window) & (row == pos)):  # where a series begins, not halo rows
+            head = np.sort(x[window + i - row[i] : window + i])
+            for v, place in zip(found, (row[i] // 4, 3 * row[i] // 4)):
+                v[i] = head[place]
+        return [pa.array(v) for v in found]
+
+    return Trailing(window, (T.StructField("q1", T.DoubleType()), T.StructField("q3", T.DoubleType())), compute)
+
+
 def recent_quartiles(
     sf: SeriesFrame, window: int = params.QUARTILE_WINDOW, minimum: int = params.QUARTILE_MIN_POINTS
 ) -> SeriesFrame:
-    """Quartiles of the recent values. A sliding sort per row is the one costly window here, so it
-    runs as an Arrow group function; groups are the window partitions, already shuffled, sorted
-    and bounded, so no exchange is added when it follows other windows."""
-    sf.last(window)  # checks that the arrangement covers the window
-
-    def add(table: pa.Table) -> pa.Table:
-        position = table.column("_pos").to_numpy()
-        value = table.column("value").to_numpy().astype("float64")
-        order = np.argsort(position, kind="stable")
-        # A chunk after the first begins with halo rows: the window is full from its own first row.
-        lead = minimum if len(order) == 0 or position[order[0]] == 1 else window
-        low, high = trailing_order_stats(value[order], window, lead)
-        q1, q3 = np.empty(len(order)), np.empty(len(order))
-        q1[order], q3[order] = low, high
-        return table.append_column("q1", pa.array(q1)).append_column("q3", pa.array(q3))
-
-    schema = T.StructType(sf.df.schema.fields + [T.StructField("q1", T.DoubleType()), T.StructField("q3", T.DoubleType())])
-    return sf.with_df(sf.df.groupBy(*sf.part).applyInArrow(add, schema))
+    """Quartiles of the recent values. A sliding sort per row is the one costly window here, so it runs on Arrow batches
+    of the window partitions, already shuffled and sorted: no exchange is added when it follows other windows."""
+    return sf.trailing(quartile_window(window, minimum))
 
 
 def statistical_check(df: DataFrame, iqr_warmup: str = "zero") -> DataFrame:
