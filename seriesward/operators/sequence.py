@@ -9,17 +9,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.scalars import clean_number, lookup
 from ..session import materialise
-from .features import sequences
 from .percentile import exact_percentile
-from .series import arrange
+from .series import arrange, led
 
 
 @dataclass
@@ -30,10 +29,10 @@ class SequenceModel:
 
 
 def _type_moments(metrics: DataFrame, length: int) -> dict:
-    """Rows, mean and population std per metric type over its series of more than ``length`` rows.
+    """Rows, mean and population std per known metric type over its series of more than ``length`` rows.
     The data is read once, for one partial per series; the partials are merged twice, for the mean
     and for the spread around it."""
-    series = metrics.where(F.col("metric_type").isin(*params.METRIC_TYPES)).groupBy(*params.KEY).agg(
+    series = metrics.groupBy(*params.KEY).agg(
         F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )
     kept = materialise(series.where(F.col("n") > length))
@@ -48,26 +47,73 @@ def _type_moments(metrics: DataFrame, length: int) -> dict:
     return {k: (r["n"], r["mean"], float(np.sqrt(var[k]))) for k, r in rows.items()}
 
 
-def _products(batches):
-    """Per task and metric type: rows, sums and sums of products of the windows."""
-    sums = {}
+def _blocks(length: int):
+    """Per batch of ordered rows one row: the values with ``length - 1`` earlier ones in front, and per window 0 if it
+    takes no part, else twice the number of its metric type (from 1), plus 1 if it is held out. The windows themselves
+    would be ``length`` times as large."""
+
+    def pack(batches):
+        for batch, x in led(batches, length - 1):
+            codes = batch.column("code").to_numpy(zero_copy_only=False).copy()
+            codes[batch.column("_row").to_numpy() < length] = 0
+            if codes.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], pa.list_(pa.float64())), pa.array([codes], pa.list_(pa.int8()))], names=["x", "codes"]
+                )
+
+    return pack
+
+
+def _unpacked(batches, length: int):
+    """Code after code, the windows of every block."""
     for batch in batches:
-        types = np.asarray(batch.column("metric_type").to_pylist())
-        seqs = batch.column("sequence")
-        x = seqs.flatten().to_numpy(zero_copy_only=False).reshape(len(types), -1)
-        for kind in set(types):
-            part = x[types == kind]
-            n, s, g = sums.get(kind, (0, 0.0, 0.0))
-            sums[kind] = (n + len(part), s + part.sum(axis=0), g + part.T @ part)
-    if sums:
-        yield pa.RecordBatch.from_pydict(
-            {
-                "metric_type": list(sums),
-                "terms": pa.array(
-                    [np.concatenate([[float(n)], s, g.ravel()]).tolist() for n, s, g in sums.values()], pa.list_(pa.float64())
-                ),
-            }
-        )
+        for x, codes in zip(batch.column("x"), batch.column("codes")):
+            view = np.lib.stride_tricks.sliding_window_view(x.values.to_numpy(), length)
+            codes = codes.values.to_numpy()
+            for code in np.unique(codes[codes > 0]):
+                yield int(code), view[codes == code]
+
+
+def _products(kinds: list, length: int):
+    """Per task and metric type: rows, sums and sums of products of the windows that are not held out."""
+
+    def run(batches):
+        sums = {}
+        for code, part in _unpacked(batches, length):
+            if code % 2 == 0:
+                n, s, g = sums.get(code, (0, 0.0, 0.0))
+                sums[code] = (n + len(part), s + part.sum(axis=0), g + part.T @ part)
+        if sums:
+            terms = [np.concatenate([[float(n)], s, g.ravel()]).tolist() for n, s, g in sums.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kinds[c // 2 - 1] for c in sums]), pa.array(terms, pa.list_(pa.float64()))], names=["metric_type", "terms"]
+            )
+
+    return run
+
+
+def _block_errors(spark, kinds: list, model: SequenceModel):
+    """The error of every window, already normalised, with its metric type and whether it is held out."""
+    shipped = spark.sparkContext.broadcast((model.length, model.types))
+
+    def run(batches):
+        length, types = shipped.value
+        for code, part in _unpacked(batches, length):
+            m = types.get(kinds[code // 2 - 1])
+            if m is not None:
+                mse = pa.array(_error(part, m))
+                kind = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), "int8")), pa.array([kinds[code // 2 - 1]])).cast(pa.string())
+                held = pa.array(np.full(len(part), code % 2 == 1))
+                yield pa.RecordBatch.from_arrays([kind, held, mse], names=["metric_type", "held", "mse"])
+
+    return run
+
+
+def _error(x: np.ndarray, m: dict) -> np.ndarray:
+    """Mean squared error of normalised windows by the model of their type."""
+    d = np.nan_to_num(x) - m["center"]
+    r = d - (d @ m["components"]) @ m["components"].T
+    return np.mean(r * r, axis=1)
 
 
 def sequence_fit(
@@ -80,7 +126,10 @@ def sequence_fit(
     """Fit all metric types. Windows never cross series; one tenth of them, by hash, is held out of
     the fit and gives ``val_loss``."""
     spark = metrics.sparkSession
-    metrics = metrics.withColumn("value", clean_number(F.coalesce("value", F.lit(0.0)), infinity=None))
+    value = clean_number(F.coalesce("value", F.lit(0.0)), infinity=None)
+    known = metrics.where(F.col("metric_type").isin(*params.METRIC_TYPES))
+    # Read three times; expressions over the caller's metric types would be worked out anew in every branch of a lookup.
+    metrics = materialise(known.select(*params.KEY, *params.ORDER, value.alias("value")))
     moments = _type_moments(metrics, length)
     model = SequenceModel(length)
     for kind in params.METRIC_TYPES:
@@ -100,14 +149,15 @@ def sequence_fit(
     sf = arrange(chosen, frame=length, limit=limit)
     # A series of exactly `length` rows is too short to train on.
     longer = (F.col("_pos") > length) | ((F.col("_pos") == length) & F.lead("value").over(sf.ordered()).isNotNull())
-    sf = sequences(sf.with_df(sf.df.withColumn("_longer", longer)), length)
-    windows = sf.rows(keep_position=True).where(F.col("sequence").isNotNull() & F.col("_longer"))
     held = F.pmod(F.xxhash64(*params.KEY, *params.ORDER), F.lit(10)) == 0
-    windows = materialise(windows.select("metric_type", "sequence", held.alias("held")))  # laid out once, read twice
+    kinds = list(moments)
+    number = lookup(kind, {k: 2 * (i + 1) for i, k in enumerate(kinds)})
+    code = F.when(sf.own(longer), number + held.cast("int")).otherwise(0).cast("byte")
+    rows = sf.with_df(sf.df.withColumn("code", code)).numbered().select("value", "_row", "code")
+    packed = materialise(rows.mapInArrow(_blocks(length), "x array<double>, codes array<tinyint>"))  # laid out once, read twice
 
     terms = (
-        windows.where(~F.col("held")).select("metric_type", "sequence")
-        .mapInArrow(_products, "metric_type string, terms array<double>")
+        packed.mapInArrow(_products(kinds, length), "metric_type string, terms array<double>")
         .select("metric_type", F.posexplode("terms").alias("i", "v"))
         .groupBy("metric_type", "i")
         .agg(F.sum("v").alias("v"))
@@ -127,8 +177,7 @@ def sequence_fit(
             "threshold": float("nan"),
         }
 
-    error = reconstruction_error(spark, model, F.col("sequence"), kind, normalised=True)
-    errors = materialise(windows.select("metric_type", "held", error.alias("mse")))
+    errors = materialise(packed.mapInArrow(_block_errors(spark, kinds, model), "metric_type string, held boolean, mse double"))
     for name, stats in training_stats(errors, quantile).items():
         model.types[name]["threshold"] = stats["threshold"]
         model.stats[name] = {"status": "trained", "samples": moments[name][0], **stats}
@@ -159,40 +208,29 @@ def training_stats(errors: DataFrame, quantile: float = params.SEQUENCE_QUANTILE
     }
 
 
-def _trailing(rows: list, length: int) -> np.ndarray:
-    """The last ``length`` values of every row, NaN in front of shorter ones."""
-    if all(len(r) == length for r in rows):
-        return np.concatenate(rows).reshape(-1, length).astype("float64")
-    out = np.full((len(rows), length), np.nan)
-    for i, r in enumerate(rows):
-        if len(r):
-            out[i, -min(len(r), length) :] = r[-length:]
-    return out
-
-
-def reconstruction_error(spark, model: SequenceModel, seq: Column, metric_type: Column, normalised: bool = False) -> Column:
+def reconstruction_error(spark, model: SequenceModel, seq: Column, metric_type: Column) -> Column:
     """Mean squared reconstruction error of the last ``length`` values. Shorter input is padded with
     zeros in front, after normalising. Null without a sequence or a model for the type."""
     shipped = spark.sparkContext.broadcast((model.length, model.types))
 
-    @F.pandas_udf("double")
-    def mse(seqs: pd.Series, kinds: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def mse(seqs: pa.Array, kinds: pa.Array) -> pa.Array:
         length, types = shipped.value
         out = np.full(len(seqs), np.nan)
-        known = seqs.notna().to_numpy()
-        for kind in kinds.dropna().unique():
-            part = np.flatnonzero(known & (kinds == kind).to_numpy())
+        size = pc.fill_null(pc.list_value_length(seqs), 0).to_numpy(zero_copy_only=False).astype("int64")
+        known, ends = seqs.is_valid().to_numpy(zero_copy_only=False), np.cumsum(size)
+        values = seqs.flatten().to_numpy(zero_copy_only=False)
+        for kind in kinds.unique().to_pylist():
             m = types.get(kind)
-            if m is None or len(part) == 0:
+            part = np.flatnonzero(known & pc.fill_null(pc.equal(kinds, kind), False).to_numpy(zero_copy_only=False)) if m else []
+            if len(part) == 0:
                 continue
-            x = _trailing(seqs.iloc[part].to_list(), length)
-            if not normalised:
-                x = (x - m["mean"]) / m["std"]
-            x = np.nan_to_num(x)
-            d = x - m["center"]
-            r = d - (d @ m["components"]) @ m["components"].T
-            out[part] = np.mean(r * r, axis=1)
-        return pd.Series(out).where(~np.isnan(out), None)
+            back = np.arange(length, 0, -1)
+            there = size[part][:, None] >= back
+            x = np.full(there.shape, np.nan)
+            x[there] = values[(ends[part][:, None] - back)[there]]
+            out[part] = _error((x - m["mean"]) / m["std"], m)
+        return pa.array(out, mask=np.isnan(out))
 
     # Declared nondeterministic so that a filter on the result does not evaluate it a second time.
     return mse.asNondeterministic()(seq, metric_type)
