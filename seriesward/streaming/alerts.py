@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from .. import params
 from ..operators.alerts import EVENT_COLUMNS, LOG_COLUMNS, MINUTE, RAW_LOG, TIMES, expire, fold, lifecycle_events, new_state, typed_log
 from .detect import due_ms, use_rocksdb
+from .pending import ROWS, Pending, slices
 
 PENDING = [c for c in EVENT_COLUMNS if c not in params.KEY]
 KINDS = {"at": T.LongType(), "kind": T.LongType()}
@@ -25,14 +27,13 @@ class AlertState(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.pending = handle.getListState("pending", EVENT)
+        self.pending = Pending(handle, EVENT, ("at", "kind", "event_id"))
         self.saved = handle.getValueState("state", "state string")
 
     def handleInputRows(self, key, rows, timerValues):
         first = None
         for pdf in rows:
-            events = pdf[PENDING].astype(object).where(pdf[PENDING].notna(), None)
-            self.pending.appendList([tuple(r) for r in events.itertuples(index=False, name=None)])
+            self.pending.add(pdf)
             low = due_ms(pdf["at"].min())
             first = low if first is None else min(first, low)
         if first is not None:
@@ -41,25 +42,20 @@ class AlertState(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [dict(zip(PENDING, r), host=key[0], metric_type=key[1]) for r in self.pending.get()]
-        due = sorted((e for e in rows if e["at"] <= now * 1000), key=lambda e: (e["at"], e["kind"], e["event_id"]))
-        waiting = [e for e in rows if e["at"] > now * 1000]
-        if due:
-            if waiting:
-                self.pending.put([tuple(e[c] for c in PENDING) for e in waiting])
-                self.handle.registerTimer(due_ms(min(e["at"] for e in waiting)))
-            else:
-                self.pending.clear()
+        due, waits = self.pending.settle(now)
+        if len(due) and waits is not None:
+            self.handle.registerTimer(due_ms(waits))
         state = json.loads(self.saved.get()[0]) if self.saved.exists() else new_state()
-        log = list(fold(state, due, self.stale)) + list(expire(state, now * 1000, self.stale))
-        self.saved.update((json.dumps(state),))
-        if state["alert"] is not None:
-            self.handle.registerTimer((state["alert"]["timestamp"] + self.stale * MINUTE) // 1000 + 1)
-        if log:
-            out = pd.DataFrame(log, columns=LOG_COLUMNS)
+        events = (dict(e, host=key[0], metric_type=key[1]) for part in slices(due) for e in part.to_pylist())
+        log = chain(fold(state, events, self.stale), expire(state, now * 1000, self.stale))
+        while rows := list(islice(log, ROWS)):
+            out = pd.DataFrame(rows, columns=LOG_COLUMNS)
             for name in (*TIMES, "anomaly_count"):
                 out[name] = out[name].astype("Int64")
             yield out
+        self.saved.update((json.dumps(state),))
+        if state["alert"] is not None:
+            self.handle.registerTimer((state["alert"]["timestamp"] + self.stale * MINUTE) // 1000 + 1)
 
     def close(self):
         pass

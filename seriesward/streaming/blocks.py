@@ -12,8 +12,9 @@ def empty() -> dict:
     return {"pos": 0, "mean": 0.0, "m2": 0.0, "lo": float("inf"), "hi": float("-inf"), "recent": np.zeros(0)}
 
 
-def advance(state: dict, values: np.ndarray) -> tuple[dict, dict]:
-    """New state, and for every value the columns that the batch windows would give it."""
+def advance(state: dict, values: np.ndarray, vectors: bool = True) -> tuple[dict, dict]:
+    """New state, and for every value the columns that the batch windows would give it; without ``vectors`` only those
+    of the statistical check."""
     n0, size = state["pos"], len(values)
     base = state["mean"] if n0 else values[0]
     n = n0 + np.arange(1, size + 1)
@@ -34,15 +35,8 @@ def advance(state: dict, values: np.ndarray) -> tuple[dict, dict]:
     q1, q3 = trailing_order_stats(joined, params.QUARTILE_WINDOW, start)
     out["q1"], out["q3"] = q1[len(past) :], q3[len(past) :]
 
-    wide = params.SEQUENCE_LENGTH
-    padded = np.concatenate([np.full(wide, np.nan), joined])[-(size + wide - 1) :]
-    frames = np.lib.stride_tricks.sliding_window_view(padded, wide)
-    for name, k in FRAMES.items():
-        out[f"_mean_{name}"] = np.nanmean(frames[:, wide - k :], axis=1)
-        out[f"_std_{name}"] = np.nanstd(frames[:, wide - k :], axis=1)
-    out["_min_30"], out["_max_30"] = np.nanmin(frames, axis=1), np.nanmax(frames, axis=1)
-    out["_recent"] = [f[~np.isnan(f)].tolist() for f in frames]
-    out["_lag1"], out["_lag2"] = frames[:, -2], frames[:, -3]
+    if vectors:
+        out |= _windows(joined, size)
     after = {
         "pos": int(n[-1]),
         "mean": float(out["mean"][-1]),
@@ -52,3 +46,18 @@ def advance(state: dict, values: np.ndarray) -> tuple[dict, dict]:
         "recent": joined[-params.QUARTILE_WINDOW :],
     }
     return after, out
+
+
+def _windows(joined: np.ndarray, size: int) -> dict:
+    """Columns of the last ``FRAMES`` rows of the newest ``size`` ones."""
+    out, wide = {}, params.SEQUENCE_LENGTH
+    padded = np.concatenate([np.full(wide, np.nan), joined])[-(size + wide - 1) :]
+    frames = np.lib.stride_tricks.sliding_window_view(padded, wide)
+    for name, k in FRAMES.items():
+        out[f"_mean_{name}"] = np.nanmean(frames[:, wide - k :], axis=1)
+        out[f"_std_{name}"] = np.nanstd(frames[:, wide - k :], axis=1)
+    out["_min_30"], out["_max_30"] = np.nanmin(frames, axis=1), np.nanmax(frames, axis=1)
+    short = min(size, max(0, wide - 1 - (len(joined) - size)))  # rows with fewer values before them
+    out["_recent"] = [f[~np.isnan(f)].tolist() for f in frames[:short]] + frames[short:].tolist()
+    out["_lag1"], out["_lag2"] = frames[:, -2], frames[:, -3]
+    return out

@@ -20,6 +20,7 @@ from ..operators.ensemble import anomalies_of, score_rows, with_vectors
 from ..session import materialise
 from ..sources import registry, sink, store
 from . import blocks
+from .pending import Pending, slices
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,8 +34,8 @@ ROW = T.StructType(
 )
 STATE = "pos long, mean double, m2 double, lo double, hi double, recent array<double>"
 LAST = "at long, metric_id string"  # of the newest settled row
-NUMBERS = ("mean", "std", "min", "max", "q1", "q3", *[f"_{m}_{k}" for k in (5, 15, 30) for m in ("mean", "std")],
-           "_min_30", "_max_30", "_lag1", "_lag2")
+STATISTICS = ("mean", "std", "min", "max", "q1", "q3")
+NUMBERS = (*STATISTICS, *[f"_{m}_{k}" for k in (5, 15, 30) for m in ("mean", "std")], "_min_30", "_max_30", "_lag1", "_lag2")
 OUTPUT = T.StructType(
     [
         T.StructField("host", T.StringType()),
@@ -48,6 +49,8 @@ OUTPUT = T.StructType(
 )
 
 
+WITHOUT_VECTORS = T.StructType([f for f in OUTPUT.fields if f.name not in (*NUMBERS[len(STATISTICS) :], "_recent")])
+
 LATE = ("metric_id", "metric_type", "value", "timestamp", "host", "service")
 
 
@@ -66,13 +69,6 @@ def publish_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = T
     return sink.run_batches(stream, lambda rows, _: store.publish_new_metrics(rows, path), checkpoint, once)
 
 
-def settle(pending, watermark_ms: int):
-    """Rows that the watermark has passed, in order, and the rows that still wait."""
-    rows = list(pending)
-    done = sorted((r for r in rows if r[2] <= watermark_ms * 1000), key=lambda r: (r[2], r[0]))
-    return done, [r for r in rows if r[2] > watermark_ms * 1000]
-
-
 def due_ms(at) -> int:
     """The first watermark, in milliseconds, that passes a time in microseconds."""
     return -(-int(at) // 1000)
@@ -82,12 +78,13 @@ class SeriesState(StatefulProcessor):
     """Settles the rows of a series in time order. With ``keep_late``, rows that belong before what is settled come out
     at once, marked, without statistics."""
 
-    def __init__(self, keep_late: bool = False):
-        self.keep_late = keep_late
+    def __init__(self, keep_late: bool = False, vectors: bool = True):
+        self.keep_late, self.vectors = keep_late, vectors
+        self.columns = (OUTPUT if vectors else WITHOUT_VECTORS).fieldNames()
 
     def init(self, handle):
         self.handle = handle
-        self.pending = handle.getListState("pending", ROW)
+        self.pending = Pending(handle, ROW, ("at", "metric_id"))
         self.series = handle.getValueState("series", STATE)
         self.last = handle.getValueState("last", LAST) if self.keep_late else None
 
@@ -99,11 +96,12 @@ class SeriesState(StatefulProcessor):
                 late = (pdf["at"] < last[0]) | ((pdf["at"] == last[0]) & (pdf["metric_id"] <= last[1]))
                 if late.any():
                     out = pdf.loc[late, ROW.fieldNames()].assign(host=key[0], metric_type=key[1], late=True)
-                    yield out.reindex(columns=[*OUTPUT.fieldNames(), "late"]).astype({"_pos": "Int64", "count": "Int64"}).assign(_recent=None)
+                    out = out.reindex(columns=[*self.columns, "late"]).astype({"_pos": "Int64", "count": "Int64"})
+                    yield out.assign(_recent=None) if self.vectors else out
                     pdf = pdf[~late]
                 if not len(pdf):
                     continue
-            self.pending.appendList(list(pdf[ROW.fieldNames()].itertuples(index=False, name=None)))
+            self.pending.add(pdf)
             low = due_ms(pdf["at"].min())
             first = low if first is None else min(first, low)
         if first is not None:
@@ -111,34 +109,33 @@ class SeriesState(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        done, waiting = settle(self.pending.get(), timerValues.getCurrentWatermarkInMs())
-        if not done:
+        done, waits = self.pending.settle(timerValues.getCurrentWatermarkInMs())
+        if not len(done):
             return
         if self.keep_late:
-            self.last.update((done[-1][2], done[-1][0]))
-        if waiting:
-            self.pending.put(waiting)
-            self.handle.registerTimer(due_ms(min(r[2] for r in waiting)))
-        else:
-            self.pending.clear()
+            self.last.update((done["at"][-1].as_py(), done["metric_id"][-1].as_py()))
+        if waits is not None:
+            self.handle.registerTimer(due_ms(waits))
         state = blocks.empty()
         if self.series.exists():
             state = dict(zip(state, self.series.get()))
             state["recent"] = np.array(state["recent"], dtype="float64")
-        rows = pd.DataFrame(done, columns=ROW.fieldNames())
-        state, columns = blocks.advance(state, rows["value"].to_numpy(dtype="float64"))
+        for part in slices(done):
+            rows = part.to_pandas()
+            state, columns = blocks.advance(state, rows["value"].to_numpy(dtype="float64"), self.vectors)
+            out = pd.DataFrame({"host": key[0], "metric_type": key[1], **rows, **columns})[self.columns]
+            yield out.assign(late=False) if self.keep_late else out
         self.series.update((*[state[n] for n in ("pos", "mean", "m2", "lo", "hi")], state["recent"].tolist()))
-        out = pd.DataFrame({"host": key[0], "metric_type": key[1], **rows, **columns})[OUTPUT.fieldNames()]
-        yield out.assign(late=False) if self.keep_late else out
 
     def close(self):
         pass
 
 
-def series_stream(stream: DataFrame, delay: str | None = "10 minutes", keep_late: bool = False) -> DataFrame:
+def series_stream(stream: DataFrame, delay: str | None = "10 minutes", keep_late: bool = False, vectors: bool = True) -> DataFrame:
     """Every metric row of the stream with the columns of its series' windows; ``delay=None`` when the stream already has
     its watermark. Rows behind the watermark are dropped and counted; with ``keep_late`` none is: a row that comes after
-    later ones of its series are settled is marked in the column ``late``, without statistics, and all others count."""
+    later ones of its series are settled is marked in the column ``late``, without statistics, and all others count. Without
+    ``vectors``, the windows that only models need are left out."""
     use_rocksdb(stream.sparkSession)
     if delay is not None:
         stream = stream.withWatermark("timestamp", delay)
@@ -146,18 +143,18 @@ def series_stream(stream: DataFrame, delay: str | None = "10 minutes", keep_late
     rows = stream.select("host", "metric_type", "metric_id", "value", F.unix_micros("timestamp").alias("at"), "service", "timestamp")
     # Spark drops late rows by the event time among the input's columns.
     rows = rows.drop("timestamp") if keep_late else rows
-    output = T.StructType([*OUTPUT.fields, T.StructField("late", T.BooleanType())]) if keep_late else OUTPUT
+    output = OUTPUT if vectors else WITHOUT_VECTORS
+    output = T.StructType([*output.fields, T.StructField("late", T.BooleanType())]) if keep_late else output
     stated = rows.groupBy(*params.KEY).transformWithStateInPandas(
-        statefulProcessor=SeriesState(keep_late), outputStructType=output, outputMode="Append", timeMode="EventTime"
-    )
-    return stated.withColumn("timestamp", F.timestamp_micros("at")).withColumns(
-        {n: F.when(~F.isnan(n), F.col(n)) for n in ("_lag1", "_lag2")}
+        statefulProcessor=SeriesState(keep_late, vectors), outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
+    lags = ("_lag1", "_lag2") if vectors else ()
+    return stated.withColumn("timestamp", F.timestamp_micros("at")).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in lags})
 
 
 def score_stream(stream: DataFrame, forest=None, sequence=None, iqr_warmup: str = "zero", delay: str | None = "10 minutes") -> DataFrame:
     """Every metric row of the stream with checks and vote by models that stay the same."""
-    stated = series_stream(stream, delay)
+    stated = series_stream(stream, delay, vectors=forest is not None or sequence is not None)
     return score_rows(with_vectors(stated, forest, sequence), forest, sequence, iqr_warmup).drop("at")
 
 
