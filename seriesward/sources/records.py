@@ -20,9 +20,12 @@ def _parse(df: DataFrame, column: str, schema: T.StructType, needs: tuple):
     needed one, goes to quarantine. A record without a time gets the time of the query."""
     read = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     known = F.array(*[F.lit(f.name) for f in schema.fields])
-    parsed = df.withColumn(
-        "_r", F.from_json(column, read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    ).withColumn("_unknown", F.size(F.array_except(F.coalesce(F.json_object_keys(column), F.array()), known)) > 0)
+    record = F.from_json(column, read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    unknown = F.size(F.array_except(F.coalesce(F.json_object_keys(column), F.array()), known)) > 0
+    # As a generator, for expressions are otherwise copied to wherever a field is used, and the text read again at each.
+    parsed = df.select("*", F.explode(F.array(F.struct(record.alias("_r"), unknown.alias("_unknown")))).alias("_p")).select(
+        *[df[c] for c in df.columns], "_p.*"
+    )
     bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull() | F.col("_unknown")
     for name in needs:
         bad = bad | F.col(f"_r.{name}").isNull()
