@@ -23,6 +23,7 @@ class Pending:
         rows = pa.concat_tables(blocks) if blocks else self.schema.empty_table()
         passed = pc.fill_null(pc.less_equal(rows["at"], watermark_ms * 1000), False)
         due, waiting = rows.filter(passed), rows.filter(pc.invert(passed))
+        del blocks, rows, passed  # a long series is held once while it is sorted
         if len(due):
             if len(waiting):
                 self.blocks.put([(_packed(waiting),)])
