@@ -165,7 +165,7 @@ def _shingle_counts(docs: DataFrame, items: list, window: int, shingle: int, key
 
 def _step(docs: DataFrame, items: list, counts: dict, window: int, shingle: int, key: str, column: str, extra: str, final: bool) -> DataFrame:
     kind = T._parse_datatype_string(HITS if final else _FOUND)
-    fields = [f for f in docs.schema.fields if f.name != column and not (final and f.name == extra)]
+    fields = [f for f in docs.schema.fields if f.name != column and not (final and f.name == extra != "text")]
     schema = T.StructType([*fields, T.StructField(column, kind)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +215,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits", window: in
     items = materialise(_parts(items, window))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_chars))
-    docs, text = docs.drop(column), docs["text"].cast("string")
-    extra = tx.spare(docs, "_text")
-    docs = docs.withColumn(extra, text).withColumn(column, F.expr(_EMPTY).cast(_FOUND))
+    docs, extra = tx.with_text(docs.drop(column), docs["text"])
+    docs = docs.withColumn(column, F.expr(_EMPTY).cast(_FOUND))
     for k in range(slices):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
         own = [(r.item_id, r.text) for r in own]

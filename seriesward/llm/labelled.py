@@ -14,7 +14,7 @@ from . import text as tx
 
 PER_CLASS = 6_000
 FOLDS = 5
-SLICE_BYTES = 2 << 20  # a text makes several features per word
+SLICE_BYTES = 512 << 10  # a text makes several features per word, each of several numbers
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,7 +60,7 @@ def fitted(rows: DataFrame, fit: Callable, most: int) -> dict[int, float]:
             labels.append(batch.column("label").to_numpy())
             column = batch.column("features")
             values, at = column.values.to_numpy(), column.offsets.to_numpy()
-            lists += [values[at[k] : at[k + 1]].copy() for k in range(batch.num_rows)]
+            lists += [values[at[k] : at[k + 1]] for k in range(batch.num_rows)]  # parts of the batch, not thousands of small copies
         if lists:
             numbers, weights = fit(np.concatenate(labels), lists)
             if len(numbers) > most:
@@ -134,15 +134,15 @@ def scored(docs: DataFrame, score: Callable, column: str) -> DataFrame:
     """``docs`` with a double column; ``score(texts)`` works on Arrow strings. A column of that name is replaced."""
     from pyspark.sql import types as T
 
-    docs, text = docs.drop(column), docs["text"].cast("string")
-    extra = tx.spare(docs, "_text")
-    rows = docs.withColumn(extra, text)
+    rows, extra = tx.with_text(docs.drop(column), docs["text"])
+    docs = docs.drop(column)
+    many = len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.slices(batches, extra, SLICE_BYTES):
             values = pa.array(score(batch.column(extra)), pa.float64())
-            kept = [batch.column(c) for c in batch.schema.names if c != extra]
-            yield pa.RecordBatch.from_arrays([*kept, values], names=[*(c for c in batch.schema.names if c != extra), column])
+            kept = batch.schema.names[:many]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), values], names=[*kept, column])
 
     return rows.mapInArrow(run, schema)

@@ -77,17 +77,25 @@ def log_count_ratios(labels: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return np.where(counts.sum(axis=0) >= LEAST_DOCS, np.log(share[1] / share[0]), 0.0)
 
 
+def _live(rows: list[np.ndarray], live: np.ndarray) -> list[np.ndarray]:
+    """Each row's ``live`` features and the bias, as parts of one array that is given back whole."""
+    ends = np.cumsum([0, *(np.count_nonzero(live[x]) + 1 for x in rows)])
+    flat = np.full(ends[-1], BIAS, np.int32)
+    for x, at, to in zip(rows, ends, ends[1:]):
+        flat[at : to - 1] = x[live[x]]
+    return [flat[at:to] for at, to in zip(ends, ends[1:])]
+
+
 def dual_descent(signs: np.ndarray, rows: list[np.ndarray], scales: np.ndarray, cost: float, passes: int) -> np.ndarray:
     """Hinge loss with a squared norm; one dual variable at a time, in an order drawn anew for each pass."""
     w, rng = np.zeros(SIZE + 1), np.random.default_rng(7)
-    columns = [np.append(x[scales[x] != 0], BIAS) for x in rows]
-    full = np.append(scales, 1.0)
-    values = [full[i] for i in columns]
-    norms, dual = np.array([v @ v for v in values]), np.zeros(len(rows))
+    columns, full = _live(rows, scales != 0), np.append(scales, 1.0)
+    norms, dual = np.array([v @ v for v in (full[i] for i in columns)]), np.zeros(len(rows))
     for _ in range(passes):
         most = 0.0
         for k in rng.permutation(len(rows)):
-            i, v = columns[k], values[k]
+            i = columns[k]
+            v = full[i]
             slope = signs[k] * (w[i] @ v) - 1
             new = min(max(dual[k] - slope / norms[k], 0.0), cost)
             if new != dual[k]:
@@ -126,10 +134,13 @@ def score(docs: DataFrame, model: dict[int, float], column: str = "score") -> Da
     """``docs`` with the probability of label 1. The model has ``SIZE`` + 3 numbers at most."""
     numbers, values = np.array([k for k in model if k < SIZE], np.int64), np.array([v for k, v in model.items() if k < SIZE])
     bias, slope, shift = model.get(BIAS, 0.0), model.get(SLOPE, 0.0), model.get(SHIFT, 0.0)
+    weights = None
 
     def run(texts: pa.Array) -> np.ndarray:
-        weights = np.zeros(SIZE)
-        weights[numbers] = values
+        nonlocal weights
+        if weights is None:  # once a task
+            weights = np.zeros(SIZE)
+            weights[numbers] = values
         return 1 / (1 + np.exp(-np.clip(slope * (lb.sums(*features(texts), weights) + bias) + shift, -500, 500)))
 
     return lb.scored(docs, run, column)

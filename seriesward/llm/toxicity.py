@@ -80,10 +80,13 @@ def score(docs: DataFrame, model: dict[int, float], column: str = "score") -> Da
     """``docs`` with the probability of label 1. The model has ``SIZE`` + 3 numbers at most."""
     numbers, values = np.array([k for k in model if k < SIZE], np.int64), np.array([v for k, v in model.items() if k < SIZE])
     bias, slope, shift = model.get(BIAS, 0.0), model.get(SLOPE, 0.0), model.get(SHIFT, 0.0)
+    weights = None
 
     def run(texts: pa.Array) -> np.ndarray:
-        weights = np.zeros(SIZE)
-        weights[numbers] = values
+        nonlocal weights
+        if weights is None:  # once a task
+            weights = np.zeros(SIZE)
+            weights[numbers] = values
         return 1 / (1 + np.exp(-np.clip(slope * (lb.sums(*features(texts), weights) + bias) + shift, -500, 500)))
 
     return lb.scored(docs, run, column)

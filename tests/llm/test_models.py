@@ -3,6 +3,7 @@
 import math
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -330,3 +331,26 @@ def test_arrow_slices_of_a_text_column_are_whole():
     assert [x for b in cut for x in b.column("text").to_pylist()] == batch.column("text").to_pylist()
     assert [b.num_rows for b in cut] == [2, 1, 2] or sum(b.num_rows for b in cut) == 5
     assert tx.filled(cut[-1].column("text")).to_pylist() == ["", "c"]
+
+
+def test_texts_go_to_the_workers_once_and_in_small_slices(spark):
+    docs = spark.createDataFrame([(k, "word " * 20_000, 7) for k in range(40)], "doc_id long, text string, other int").coalesce(1)
+    rows = labelled.scored(docs, lambda texts: np.full(len(texts), float(sum(len(t.as_py()) for t in texts))), "score")
+    assert rows.columns == ["doc_id", "text", "other", "score"]
+    assert max(r.score for r in rows.select("score").collect()) <= 600_000
+    assert "_text" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    cast = docs.withColumn("text", F.col("text").cast("binary"))  # no string: sent as one beside it
+    assert labelled.scored(cast, lambda texts: np.full(len(texts), 1.0), "score").select("doc_id", "other", "score").distinct().count() == 40
+
+
+def test_dual_descent_holds_each_feature_once_in_four_bytes():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, quality.SIZE, 4000)).astype(np.int32) for _ in range(2000)]
+    signs = np.where(rng.random(len(rows)) < 0.5, 1.0, -1.0)
+    tracemalloc.start()
+    try:
+        quality.dual_descent(signs, rows, np.ones(quality.SIZE), 0.02, 1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 6 * sum(map(len, rows)) + 4 * 8 * quality.SIZE  # and a few arrays of weights

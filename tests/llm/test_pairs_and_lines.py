@@ -324,3 +324,15 @@ def test_shingles_of_words_that_meet_at_borders():
     sets, at = shingles.shingle_sets(pa.array(["a b c", "a b c d", "d", None, "a b", "c d"]), 3)
     assert np.diff(at).tolist() == [1, 2, 1, 0, 1, 1]
     assert sets[0] in sets[1:3]
+
+
+def test_decontamination_sends_texts_once(spark):
+    passage = " ".join(f"p{k}" for k in range(10))
+    docs = _docs(spark, [(1, f"a {passage} b"), (2, "c d"), (3, None)])
+    benchmark = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    rows = decontaminate.hits(docs, benchmark)
+    assert "_text" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.columns == [*docs.columns, "hits"]
+    assert {r.doc_id: (r.text, r.hits.n_hit) for r in rows.collect()} == {1: (f"a {passage} b", 10), 2: ("c d", 0), 3: (None, 0)}
+    several = decontaminate.hits(docs, benchmark.union(spark.createDataFrame([(6, "c d")], "item_id long, text string")), slice_chars=20)
+    assert {r.doc_id: (r.text, r.hits.n_items) for r in several.collect()} == {1: (f"a {passage} b", 1), 2: ("c d", 1), 3: (None, 0)}
