@@ -28,6 +28,7 @@ from .components import components
 
 BLOCK = 512
 PAIRS_AT_ONCE = 200_000
+SLICE_BYTES = 1 << 20  # of text; its hashes take many times that
 FOREST_ROUNDS = 1
 _SKETCHED = "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>, odd binary, parity binary"
 
@@ -42,7 +43,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """Hashes of the text, set size, set fingerprint, band keys and odd sketches of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "text"):
+        for batch in tx.slices(batches, "text", SLICE_BYTES):
             sets, at = sh.shingle_sets(batch.column("text"), width)
             n, prints, mins = np.diff(at), sh.fingerprints(sets, at), sh.samples(sets, at)
             full = np.cumsum(n > 0) - 1
@@ -161,7 +162,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "left"):
+        for batch in tx.slices(batches, "left", SLICE_BYTES):
             one, at = sh.shingle_sets(batch.column("left"), width)
             two, to = sh.shingle_sets(batch.column("right"), width)
             keep = []

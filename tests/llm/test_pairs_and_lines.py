@@ -336,3 +336,20 @@ def test_decontamination_sends_texts_once(spark):
     assert {r.doc_id: (r.text, r.hits.n_hit) for r in rows.collect()} == {1: (f"a {passage} b", 10), 2: ("c d", 0), 3: (None, 0)}
     several = decontaminate.hits(docs, benchmark.union(spark.createDataFrame([(6, "c d")], "item_id long, text string")), slice_chars=20)
     assert {r.doc_id: (r.text, r.hits.n_items) for r in several.collect()} == {1: (f"a {passage} b", 1), 2: ("c d", 1), 3: (None, 0)}
+
+
+def test_near_duplicates_hash_small_slices_of_text(monkeypatch):
+    texts = [" ".join(_words(5_000, random.Random(k))) for k in range(120)]
+    batch = pa.record_batch({"doc_id": pa.array(range(120)), "t1": pa.array([0] * 120), "t2": pa.array([0] * 120), "text": pa.array(texts)})
+
+    class Rows:  # runs here what Spark would run in a worker
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([batch]))
+
+    monkeypatch.setattr(neardup, "_texts", lambda docs: Rows())
+    parts = neardup.sketched(None, 5)
+    assert sum(p.num_rows for p in parts) == 120
+    assert max(sum(len(texts[d.as_py()]) for d in p.column("doc_id")) for p in parts) <= 1 << 20
