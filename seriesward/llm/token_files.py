@@ -32,6 +32,8 @@ SKIPPABLE, SEEKABLE, DOCUMENTS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 FRAME_BYTES = 1 << 18
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file
 MANIFEST = "shard int, file string, n_docs long, n_tokens long"
+SLICE_BYTES = 1 << 20  # pieces, places and ids of a slice take many times its size
+TASK_IDS = 4_000_000  # files are read back together up to about so many ids a task
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -133,7 +135,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pieces: str
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, sink = encoder(tokenizer, pieces), None, None
         part = TaskContext.get().partitionId()
-        for batch in tx.slices(batches, "text"):
+        for batch in tx.slices(batches, "text", SLICE_BYTES):
             if writer is None:
                 system, base = filesystem(folder)
                 system.create_dir(base, recursive=True)
@@ -146,22 +148,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pieces: str
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 own = ids[at[k] : at[k + 1]]
                 writer.add(doc_id, own if end_id is None else np.append(own, np.uint32(end_id)))
+            pa.default_memory_pool().release_unused()  # Arrow would keep what a slice took
         if writer:
             n_docs, n_tokens = writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    return materialise(rows.mapInArrow(write, MANIFEST))
+    # One row per file; the table of them is one part, not a small file from each task.
+    return materialise(rows.mapInArrow(write, MANIFEST).repartition(1))
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
-    32-bit integers). The driver sees one row per file."""
+    32-bit integers). The driver sees one row per file. Small files are read several in a task."""
     files, start = [], 0
     for r in manifest.orderBy("shard").collect():
         files.append((r.file, start))
         start += r.n_tokens
-    listed = spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files)))
+    tasks = min(len(files), max(spark.sparkContext.defaultParallelism, -(-start // TASK_IDS)))
+    listed = spark.createDataFrame(files, "file string, start long").repartition(max(1, tasks))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

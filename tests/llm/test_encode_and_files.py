@@ -122,3 +122,24 @@ def test_each_placement_has_the_smallest_sum_of_squares(sizes):
         assert offsets[k] == state[bins[k]]
         state[bins[k]] += sizes[k]
     assert state == fills.tolist()
+
+
+def test_small_files_make_no_small_tables(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(docs, scratch(spark), WORD, "dropped", end_id=2)
+        rows = token_files.read_token_files(spark, manifest)
+        assert manifest.count() > 20 > rows.rdd.getNumPartitions()
+        assert len(manifest.inputFiles()) == 1
+        rows = rows.orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    start = 0
+    for i, r in enumerate(rows):
+        ids = np.array([*ENCODERS[WORD, "dropped"].tokenizer.encode(f"text {i}", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(rows) == 400
