@@ -29,7 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(rows.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rows = rows.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Each class is picked by a pass of its own over the ids; a table of them would be as many small files as partitions.
     picked = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     picked = materialise(picked[0].unionByName(picked[1]))  # per_class bounds what is broadcast
     own = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")

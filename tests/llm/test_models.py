@@ -138,6 +138,22 @@ def test_sample_bounds_the_rows_and_takes_labels_of_present_documents(spark):
     assert sorted(map(tuple, labelled.sample(docs.repartition(5), marks, "toxic").collect())) == sorted(map(tuple, whole))
 
 
+def test_sample_stores_no_file_per_partition(spark, monkeypatch):
+    marks = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(400)], "doc_id long, text string").repartition(3)
+    stored, store = [], labelled.materialise
+    monkeypatch.setattr(labelled, "materialise", lambda df: stored.append(store(df)) or stored[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = labelled.sample(docs, marks, "toxic", 30).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter(r.label for r in rows) == {0: 30, 1: 30}
+    assert sum(len(df.inputFiles()) for df in stored) <= 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/a">One</a><li>Two</ul></nav>
 <!-- <p>no</p> --><article class="post"><h1>Head &amp; line</h1><p>First  <b>bold</b>&nbsp;text<br>goes on<p>Second &lt;x&gt; &#233;</article><footer>&copy; foot</footer>tail"""
 
