@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import bounded_batches, materialise
 from . import text as tx
 from .encode import encoder
 
 CAPACITY, GROUP_PIECES = 2048, 20_000
+SLICE_BYTES = 2 << 20  # pieces, places and ids of a slice take many times its size
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,7 +34,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, pieces: str = "whole", end_id: in
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, pieces)
-        for batch in tx.slices(batches, "text"):
+        for batch in tx.slices(batches, "text", SLICE_BYTES):
             ids, at = encode(batch.column("text"))
             rows: list[tuple] = []
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
@@ -49,6 +50,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, pieces: str = "whole", end_id: in
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(names))
+            pa.default_memory_pool().release_unused()  # Arrow would keep what a slice took
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -100,4 +102,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, pieces: str = "whole", end_id: int | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(materialise(pieces_of(docs, tokenizer, pieces, end_id, capacity)), capacity)
+    with bounded_batches(docs.sparkSession):
+        stored = materialise(pieces_of(docs, tokenizer, pieces, end_id, capacity))
+    return pack(stored, capacity)

@@ -1,5 +1,6 @@
 """Encoding, token files and packing, against the tokenizer itself and exact round trips."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from seriesward.llm import packing, token_files
 from seriesward.llm.encode import Encoder, default_path
-from seriesward.session import scratch
+from seriesward.session import ARROW_BYTES, BATCH_BYTES, scratch
 
 WORD, BYTE = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
 ENCODERS = {(p, m): Encoder(p, m) for p, m in ((WORD, "dropped"), (BYTE, "leading"), (WORD, "whole"), (BYTE, "whole"))}
@@ -143,3 +144,40 @@ def test_small_files_make_no_small_tables(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert len(rows) == 400
+
+
+@pytest.mark.parametrize("path, mode", [(WORD, "dropped"), (BYTE, "leading")])
+def test_cutting_takes_little_memory(path, mode):
+    column = pa.array(["some words, and more of them " * 1000] * 35, pa.large_string())
+    encode = ENCODERS[path, mode]
+    tracemalloc.start()
+    try:
+        encode._cut(column)
+        assert tracemalloc.get_traced_memory()[1] < 16 * column.nbytes
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("own", [None, "16m"])
+def test_packing_sends_texts_in_bounded_batches(spark, monkeypatch, own):
+    docs = spark.range(6000, numPartitions=1).selectExpr("id doc_id", "repeat('word ', 1000) text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    seen = []
+
+    def stored(pieces):
+        seen.extend(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+        return pieces.limit(0)
+
+    monkeypatch.setattr(packing, "materialise", stored)
+    if own:
+        spark.conf.set(ARROW_BYTES, own)
+    try:
+        assert packing.pack_documents(docs, BYTE, "leading", end_id=0).count() == 0
+        assert max(seen) < (1.2 if not own else 2.4) * BATCH_BYTES and sum(seen) > 3 * BATCH_BYTES
+        assert spark.conf.getAll.get(ARROW_BYTES) == own
+    finally:
+        spark.conf.unset(ARROW_BYTES)
