@@ -51,6 +51,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, pieces: str = "whole", end_id: in
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(names))
             pa.default_memory_pool().release_unused()  # Arrow would keep what a slice took
+        encode.rest()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

@@ -158,6 +158,24 @@ def test_cutting_takes_little_memory(path, mode):
         tracemalloc.stop()
 
 
+def test_workers_at_rest_keep_no_pieces(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(50)], "doc_id long, text string")
+
+    def kept(batches):
+        list(cut(batches))
+        yield pa.RecordBatch.from_pydict({"n": [len(packing.encoder(BYTE, "leading")._index)]})
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    cut = packing.pieces_of(Rows(), BYTE, "leading")
+    assert {r.n for r in docs.mapInArrow(kept, "n long").collect()} == {0}
+
+
 @pytest.mark.parametrize("own", [None, "16m"])
 def test_packing_sends_texts_in_bounded_batches(spark, monkeypatch, own):
     docs = spark.range(6000, numPartitions=1).selectExpr("id doc_id", "repeat('word ', 1000) text")
