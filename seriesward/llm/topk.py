@@ -4,8 +4,11 @@ A component is a term. A block of candidates holds a posting list per term: vect
 non-zero terms and adds weight times weights into a dense array of scores over the block; long lists are kept as dense
 rows, whose zeros add nothing. The block's k best come out by partition selection and meet in a merge per query.
 
-Candidates and queries are dealt to blocks of bounded size by a hash of the id, and every query block meets every
-candidate block in a task of its own, as bounded rows of packed bytes. Rows: a null id, a null vector or one with null
+Candidates and queries are dealt to blocks of bounded size by a hash of the id, rows of packed bytes in the narrowest
+type that holds them. Blocks form groups, and every group of queries meets every group of candidates in a task, which
+takes the candidates block by block and keeps the k best of its queries so far. Blocks are stored once, not once per
+pair, and there are about ``MOST_TASKS`` tasks for any number of rows, so the driver's share doesn't grow with the pairs;
+from 4 * ``MOST_TASKS`` blocks of queries on there is a task per ``HELD`` of them. Rows: a null id, a null vector or one with null
 or non-finite components takes no part; rows that repeat an id count once, with the smallest of their vectors; a missing
 component counts as zero, so that an empty vector scores 0 with every other; ties go to the smaller id. Components so
 large that a score could leave 64 bits raise an error. Empty tables give no rows. Other columns are ignored.
@@ -20,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import bounded_batches, materialise
 
 BLOCK, DENSE_SHARE = 16_384, 0.25
+#: Tasks for a small grid; the most for a large one; groups of candidates, each of which yields k rows per query; blocks of
+#: queries whose best a worker holds.
+TASKS, MOST_TASKS, GROUPS, HELD = 24, 1024, 16, 4
+NONE = np.iinfo(np.int64).min  # below every score
 _HITS = "query_id long, vec_id long, score long"
 
 
@@ -84,8 +91,40 @@ class Postings:
         return self.ids[some], scores[some].astype(np.int64)
 
 
-def _packed(rows: DataFrame, blocks: int, copies: int, side: str) -> DataFrame:
-    """One row per block and copy: ids and vectors as bytes. A block goes through one task, which bounds its size."""
+class Best:
+    """The k best of each query of a block so far; places not taken yet score ``NONE``."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.ids, self.scores = query_ids, np.zeros((len(query_ids), k), np.int64), np.full((len(query_ids), k), NONE)
+
+    def meet(self, postings: Postings, queries: np.ndarray) -> None:
+        k = self.ids.shape[1]
+        ids, scores = np.zeros_like(self.ids), np.full_like(self.scores, NONE)
+        for i, query in enumerate(queries):
+            some, values = postings.best(int(self.query_ids[i]), query, k)
+            ids[i, : len(some)], scores[i, : len(some)] = some, values
+        ids, scores = np.concatenate([self.ids, ids], axis=1), np.concatenate([self.scores, scores], axis=1)
+        order = np.lexsort((ids, ~scores))[:, :k]
+        self.ids, self.scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+    def batches(self, most: int = 2048) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(self.query_ids), most):
+            some = slice(low, low + most)
+            there = self.scores[some] != NONE
+            columns = [np.repeat(self.query_ids[some], there.sum(axis=1)), self.ids[some][there], self.scores[some][there]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def _grid(n: int, q: int, block: int) -> tuple[int, int, int, int]:
+    """Blocks and groups of candidates, blocks and groups of queries."""
+    n_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-q // block))
+    q_blocks = max(q_blocks, min(16, q, TASKS // n_blocks))  # smaller ones, so that a small grid has tasks enough
+    q_groups = max(min(q_blocks, 32), -(-q_blocks // HELD))
+    return n_blocks, min(n_blocks, max(GROUPS, 96 // q_groups), max(1, MOST_TASKS // q_groups)), q_blocks, q_groups
+
+
+def _packed(rows: DataFrame, blocks: int, groups: int, side: str) -> DataFrame:
+    """One row per block: ids and vectors as bytes. A block goes through one task, which bounds its size; a partition is a group."""
 
     def run(key, frame):
         import pandas as pd
@@ -95,45 +134,45 @@ def _packed(rows: DataFrame, blocks: int, copies: int, side: str) -> DataFrame:
         table = np.zeros((len(frame), width), "<i8")
         for k, v in enumerate(frame["v"]):
             table[k, : len(v)] = v
-        return pd.DataFrame({"block": [key[0]], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "rows": [table.tobytes()], "width": [width]})
+        least, most = table.min(initial=0), table.max(initial=0)
+        size = next(x for x in (1, 2, 4, 8) if -(1 << 8 * x - 1) <= least and most < 1 << 8 * x - 1)
+        return pd.DataFrame({"block": [key[0]], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "rows": [table.astype(f"<i{size}").tobytes()], "width": [width], "size": [size]})
 
     block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(blocks)).alias("block")
-    dealt = rows.select(block, "vec_id", "v").groupBy("block").applyInPandas(run, "block long, ids binary, rows binary, width int")
-    other = F.explode(F.expr(f"sequence(0L, {copies - 1}L)")).alias("other")
-    return materialise(dealt).select("block", other, "ids", "rows", "width")
+    dealt = rows.select(block, "vec_id", "v").groupBy("block").applyInPandas(run, "block long, ids binary, rows binary, width int, size int")
+    return dealt.repartitionById(groups, F.pmod("block", F.lit(groups)).cast("int"))
 
 
-def _unpacked(ids: bytes, rows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(ids: bytes, rows: bytes, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
-    return ids, np.frombuffer(rows, "<i8").reshape(len(ids), width)
+    return ids, np.frombuffer(rows, f"<i{size}").reshape(len(ids), width).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK) -> DataFrame:
     """For every row of ``vectors`` (vec_id, v) with ``is_query``: query_id, rank (from 1), vec_id, score of its k best."""
     rows = materialise(vectors)
     queries = rows.where(is_query)
-    n, q = rows.count(), queries.count()
-    # Blocks of both sides, so that there are tasks enough but no more copies than the scores need.
-    q_blocks, n_blocks = max(1, -(-q // block)), max(1, -(-n // block))
-    left = _packed(queries, q_blocks, n_blocks, "query").select("block", "other", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("width").alias("q_width"))
-    right = _packed(rows, n_blocks, q_blocks, "candidate").select(F.col("other").alias("block"), F.col("block").alias("other"), "ids", "rows", "width")
-    slices = max(1, min(16, 24 // (q_blocks * n_blocks)))  # shares of a query block, so that a small grid has tasks enough
-    pairs = left.join(right, ["block", "other"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    pairs = pairs.repartition(max(1, q_blocks * n_blocks * slices))
+    n_blocks, n_groups, q_blocks, q_groups = _grid(rows.count(), queries.count(), block)
+    left, right = _packed(rows, n_blocks, n_groups, "candidate"), _packed(queries, q_blocks, q_groups, "query")
+    # Candidates come one block after the other, the group of queries stays; neither is broadcast by the driver.
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right.toDF(*(f"q_{c}" for c in right.columns)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = {}, None
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r].as_py()  # noqa: E731, B023
-                q_ids, q_rows = _unpacked(get("q_ids"), get("q_rows"), get("q_width"))
-                postings, share = Postings(*_unpacked(get("ids"), get("rows"), get("width"))), get("share")
-                for low in range(0, len(q_ids), 512 * slices):
-                    some = range(low + share, min(low + 512 * slices, len(q_ids)), slices)
-                    found = [postings.best(int(q_ids[i]), q_rows[i], k) for i in some]
-                    if found:
-                        ids, scores = map(np.concatenate, zip(*found))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[some], [len(x) for x, _ in found])), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    hits = pairs.mapInArrow(run, _HITS)
+                get = lambda *names: [batch.column(c)[r].as_py() for c in names]  # noqa: E731, B023
+                (this, other) = get("block", "q_block")
+                if this != at:
+                    postings, at = Postings(*_unpacked(*get("ids", "rows", "width", "size"))), this
+                q_ids, q_rows = _unpacked(*get("q_ids", "q_rows", "q_width", "q_size"))
+                if other not in best:
+                    best[other] = Best(q_ids, k)
+                best[other].meet(postings, q_rows)
+        for held in best.values():
+            yield from held.batches()
+
+    with bounded_batches(rows.sparkSession):
+        hits = materialise(pairs.mapInArrow(run, _HITS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

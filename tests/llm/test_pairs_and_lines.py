@@ -312,6 +312,35 @@ def test_top_k_of_empty_and_of_huge_vectors(spark):
         topk.top_k(table([(0, [1e30]), (1, [1e30])]), F.col("vec_id") % 20 == 0, 2).collect()
 
 
+def test_top_k_takes_many_blocks_in_few_tasks(spark):
+    rng = np.random.default_rng(7)
+    whole = {k: rng.integers(-9, 9, 4) for k in range(400)}
+    # Blocks hold about one vector each, in a type of their own: these need one, two, four and eight bytes.
+    whole |= {100: np.array([127, -128]), 200: np.array([128]), 201: np.array([-129]), 202: np.array([40_000]), 203: np.array([1 << 31]), 300: np.array([-32_769])}
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in whole.items()], "vec_id long, v array<long>")
+    want = []
+    for q in range(0, 400, 100):
+        dot = {k: int((v[: len(whole[q])] * whole[q][: len(v)]).sum()) for k, v in whole.items() if k != q}
+        want += [(q, r + 1, k, dot[k]) for r, k in enumerate(sorted(dot, key=lambda k: (-dot[k], k))[:20])]
+    spark.sparkContext.setJobGroup("few tasks", "")
+    try:
+        got = topk.top_k(table, F.col("vec_id") % 100 == 0, 20, 1).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == want
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) <= 100  # 400 blocks times 4
+
+
+def test_tasks_of_top_k_do_not_grow_with_the_pairs():
+    for n, q in ((0, 0), (500, 25), (51_282, 2_565), (615_384, 30_780), (15_000_000, 750_000), (15_000_000, 15_000_000)):
+        n_blocks, n_groups, q_blocks, q_groups = topk._grid(n, q, topk.BLOCK)
+        assert n_blocks * topk.BLOCK >= n and q_blocks * topk.BLOCK >= q
+        assert 1 <= n_groups <= n_blocks and 1 <= q_groups <= q_blocks <= q_groups * topk.HELD
+        assert n_groups * q_groups <= topk.MOST_TASKS and n_groups <= 96
+
+
 def test_sparse_postings_score_like_dense_ones():
     rng = np.random.default_rng(0)
     rows = np.where(rng.random((500, 20)) < 0.1, rng.integers(-9, 9, (500, 20)), 0).astype(np.int64)
